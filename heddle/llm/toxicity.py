@@ -205,13 +205,14 @@ def _likelihood_ratio(a: float, nt: float, c: float, nc: float) -> float:
 
 
 def choose_terms(toxic: dict[str, int], clean: dict[str, int], nt: int, nc: int) -> Lexicon:
-    """Features that tell toxic documents, each at its most telling length: no term extends or begins another stem."""
+    """Features that tell toxic documents, each at its most telling length (by likelihood ratio): no term extends or begins another stem."""
     rows = []
     for f, a in toxic.items():
         c = clean.get(f, 0)
         weight = math.log((a + 0.5) / (nt + 1)) - math.log((c + 0.5) / (nc + 1))
-        if weight > math.log(8) and _likelihood_ratio(a, nt, c, nc) > 2 * math.log(len(toxic) + 1) + 8:
-            rows.append((-a * weight, f.endswith("*"), -len(f), f, weight))
+        gain = _likelihood_ratio(a, nt, c, nc)
+        if weight > math.log(5) and gain > 2 * math.log(len(toxic) + 1) + 6:
+            rows.append((-gain, f.endswith("*"), -len(f), f, weight))
     out, taken = Lexicon(), []
     for _, stem, _, f, weight in sorted(rows):
         own = f.rstrip("*")
