@@ -5,7 +5,7 @@ documents and in few others, by a likelihood-ratio test that allows for the numb
 trie. Each distinct word of a text builds a Levenshtein automaton (bit-parallel, one edit), which is intersected with
 the trie, so misspelled terms are caught too; a stem matches words that begin with it. Every hit looks at a window of
 words around it: quotation marks about it and words of reporting near it move its weight from abuse to quotation. A
-logistic model over the exact, misspelled and quoted weight of a text gives the score.
+logistic model over a text's exact, misspelled and quoted weight and its density gives the score.
 
 Learning: from at most `SAMPLE` labelled rows of each class that are not held out (by hash order, so that the sample
 doesn't depend on the table's order); that bound keeps the lexicon and what reaches the driver small at any size of
@@ -89,7 +89,7 @@ class Lexicon:
     terms: list[str] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     stems: dict[str, float] = field(default_factory=dict)
-    coefficients: tuple[float, ...] = (-math.inf, 0.0, 0.0, 0.0)
+    coefficients: tuple[float, ...] = (-math.inf, 0.0, 0.0, 0.0, 0.0)
 
     def prepare(self) -> Matcher:
         return Matcher(self)
@@ -124,8 +124,8 @@ class Matcher:
                 return self.lexicon.weights[self.fuzzy[got[1]]], False
         return None
 
-    def features(self, text: str) -> tuple[float, float, float]:
-        """Logarithms of the weight of exact, misspelled and quoted hits."""
+    def features(self, text: str) -> tuple[float, float, float, float]:
+        """Logarithms of the weight of exact, misspelled and quoted hits, and of the unquoted weight in a hundred words."""
         low, known = text.lower(), self.known
         words = _WORD.findall(low)
         kinds = set(words)
@@ -133,7 +133,7 @@ class Matcher:
             known[w] = self.look_up(w)
         if not any(map(known.get, kinds)):
             self._forget()
-            return 0.0, 0.0, 0.0
+            return 0.0, 0.0, 0.0, 0.0
         exact = fuzzy = quoted = 0.0
         spans = [m.span() for m in _WORD.finditer(low)]
         for i, w in enumerate(words):
@@ -146,7 +146,7 @@ class Matcher:
             else:
                 fuzzy += hit[0] * (1 - share)
         self._forget()
-        return math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted)
+        return math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted), math.log1p(100 * (exact + fuzzy) / (len(words) + 20))
 
     def _forget(self) -> None:
         if len(self.known) > KNOWN_WORDS:
@@ -243,7 +243,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float =
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Lexicon:
-    """Learn the lexicon and the logistic model. The driver sees terms and four figures a sampled row."""
+    """Learn the lexicon and the logistic model. The driver sees terms and five figures a sampled row."""
     sample = materialize(labelled_sample(docs, labels, per_class), "toxicity-sample")
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     nt, nc = size.get(1, 0), size.get(0, 0)
@@ -260,11 +260,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Lexico
         own = lexicon.prepare()
         for batch in chunks(batches):
             x = [own.features(t) for t in as_texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array([r[i] for r in x], pa.float64()) for i in range(3))], ["toxic", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array([r[i] for r in x], pa.float64()) for i in range(4))], ["toxic", *"abcd"])
 
-    got = sample.mapInArrow(run, "toxic int, a double, b double, c double").toArrow()
-    x = np.stack([got.column(c).to_numpy() for c in "abc"], axis=1)
-    beta = fit_logistic(x, got.column("toxic").to_numpy().astype(float), np.array([-2.0, 2.0, 1.0, 0.0]))
+    got = sample.mapInArrow(run, "toxic int, a double, b double, c double, d double").toArrow()
+    x = np.stack([got.column(c).to_numpy() for c in "abcd"], axis=1)
+    beta = fit_logistic(x, got.column("toxic").to_numpy().astype(float), np.array([-2.0, 2.0, 1.0, 0.0, 2.0]))
     lexicon.coefficients = tuple(beta.tolist())
     return lexicon
 
