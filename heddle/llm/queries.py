@@ -5,10 +5,11 @@ from __future__ import annotations
 from heddle.llm.bpe import op3_bpe
 from heddle.llm.language import op6_language
 from heddle.llm.media import op9_media
+from heddle.llm.mixing import op2_mix
 from heddle.llm.quality import op5_quality
 from heddle.llm.secrets import op1_secrets
 from heddle.llm.simhash import op8_simhash
 from heddle.llm.toxicity import op10_toxicity
 
-QUERIES = {"op1_secrets": op1_secrets, "op3_bpe": op3_bpe, "op5_quality": op5_quality, "op6_language": op6_language, "op8_simhash": op8_simhash, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_secrets": op1_secrets, "op2_mix": op2_mix, "op3_bpe": op3_bpe, "op5_quality": op5_quality, "op6_language": op6_language, "op8_simhash": op8_simhash, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {}
