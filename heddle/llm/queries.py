@@ -10,7 +10,8 @@ from heddle.llm.passages import op4_passages
 from heddle.llm.quality import op5_quality
 from heddle.llm.secrets import op1_secrets
 from heddle.llm.simhash import op8_simhash
+from heddle.llm.suffixes import op7_suffixes
 from heddle.llm.toxicity import op10_toxicity
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_mix": op2_mix, "op3_bpe": op3_bpe, "op4_passages": op4_passages, "op5_quality": op5_quality, "op6_language": op6_language, "op8_simhash": op8_simhash, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_secrets": op1_secrets, "op2_mix": op2_mix, "op3_bpe": op3_bpe, "op4_passages": op4_passages, "op5_quality": op5_quality, "op6_language": op6_language, "op7_suffixes": op7_suffixes, "op8_simhash": op8_simhash, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {}
