@@ -129,8 +129,9 @@ class Matcher:
         low, known = text.lower(), self.known
         words = _WORD.findall(low)
         kinds = set(words)
-        for w in kinds - known.keys():
-            known[w] = self.look_up(w)
+        for w in kinds:
+            if w not in known:
+                known[w] = self.look_up(w)
         if not any(map(known.get, kinds)):
             self._forget()
             return 0.0, 0.0, 0.0, 0.0
@@ -174,10 +175,10 @@ def text_features(text: str) -> set[str]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:
-    """(toxic, text) of at most `per_class` labelled rows of each class that are not held out."""
+    """(toxic, text) of at most `per_class` labelled rows of each class that are not held out; equal texts count once."""
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("toxic", "text")
+    return docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text")
 
 
 def _count_features(sample: DataFrame, wanted: frozenset | None = None) -> DataFrame:
