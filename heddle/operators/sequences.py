@@ -57,7 +57,7 @@ def sequential_schedule(items: Column) -> Column:
     the dependencies' arrivals; arrive after the delay, but after the item before."""
     one = "struct(x.id as id, {launch} as launch, {arrive} as arrive)"
     launch = "greatest(x.activation, coalesce(array_max(transform(filter(acc, y -> array_contains(x.depends_on, y.id)), y -> y.arrive)), 0))"
-    arrive = f"greatest({launch} + x.delay, coalesce(element_at(acc, -1).arrive + 1, 0))"
+    arrive = f"greatest({launch} + x.delay, coalesce(try_element_at(acc, -1).arrive + 1, 0))"
     return F.expr(f"aggregate({{items}}, cast(array() as array<struct<id:string,launch:long,arrive:long>>), (acc, x) -> concat(acc, array({one.format(launch=launch, arrive=arrive)})))".replace("{items}", items))
 
 

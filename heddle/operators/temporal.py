@@ -30,14 +30,14 @@ def as_of(probes: DataFrame, versions: DataFrame, keys: list[str], time: str, va
 def delivered_versions(polls: DataFrame, versions: DataFrame, keys: list[str], time: str, version: str) -> DataFrame:
     """Polls that deliver something new: the newest due version, if it wasn't delivered by the poll before. Versions between two polls are skipped."""
     seen = as_of(polls, versions, keys, time, [version], version)
-    before = F.lag(f"asof_{version}").over(W.partitionBy(*keys).orderBy(time))
-    return seen.filter(F.col(f"asof_{version}").isNotNull() & ~F.col(f"asof_{version}").eqNullSafe(before))
+    seen = seen.withColumn("_before", F.lag(f"asof_{version}").over(W.partitionBy(*keys).orderBy(time)))
+    return seen.filter(F.col(f"asof_{version}").isNotNull() & ~F.col(f"asof_{version}").eqNullSafe(F.col("_before"))).drop("_before")
 
 
 def changed_only(events: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Rows whose value differs from the row before of their key (a version probe that reads only what changed)."""
-    before = F.lag(value).over(W.partitionBy(*keys).orderBy(*order))
-    return events.filter(~F.col(value).eqNullSafe(before))
+    marked = events.withColumn("_before", F.lag(value).over(W.partitionBy(*keys).orderBy(*order)))
+    return marked.filter(~F.col(value).eqNullSafe(F.col("_before"))).drop("_before")
 
 
 def freshness(expected: DataFrame, observed: DataFrame, key: str) -> DataFrame:

@@ -11,7 +11,7 @@ from heddle.sources.shared import read_table
 
 
 def events(spark, d):
-    return read_table(spark, d, "events").withColumn("us", F.unix_micros("ts"))
+    return read_table(spark, d, "events").withColumn("us", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"))
 
 
 @query("j8_latest_per_key", "SELECT user_id, event_type, arg_max(event_id, ts::VARCHAR || lpad(event_id::VARCHAR, 12, '0')) event_id, round(arg_max(value, ts::VARCHAR || lpad(event_id::VARCHAR, 12, '0')), 6) AS \"value\" FROM (SELECT * REPLACE (strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts) FROM events) GROUP BY ALL")
@@ -164,7 +164,7 @@ def w8(spark, d):
 @query("w10_carry_forward", """WITH st AS (SELECT DISTINCT user_id, unnest(range(0, 10000, 500)) step FROM events), v AS (SELECT user_id, event_id step, event_type FROM events) SELECT st.user_id, st.step::BIGINT step, arg_max(v.event_type, v.step) asof_event_type FROM st LEFT JOIN v ON v.user_id = st.user_id AND v.step <= st.step GROUP BY ALL""")
 def w10(spark, d):
     e = events(spark, d)
-    steps = e.select("user_id").distinct().withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(9999), F.lit(500))).cast("long")).withColumn("tag", F.lit(1))
+    steps = e.select("user_id").distinct().withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9999).cast("long"), F.lit(500).cast("long")))).withColumn("tag", F.lit(1))
     arrivals = e.select("user_id", F.col("event_id").alias("step"), "event_type", F.col("event_id").alias("ord"))
     return temporal.carry_forward(steps, arrivals, ["user_id"], "step", "event_type", "ord").select("user_id", "step", "asof_event_type")
 
@@ -265,9 +265,7 @@ def r4(spark, d):
 
 @query("r6_version_probe", "SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) p FROM events) WHERE event_type IS DISTINCT FROM p")
 def r6(spark, d):
-    e = events(spark, d)
-    before = F.lag("event_type").over(W.partitionBy("user_id").orderBy("event_id"))
-    return e.withColumn("b", before).filter(~F.col("event_type").eqNullSafe(F.col("b"))).select("event_id")
+    return temporal.changed_only(events(spark, d), ["user_id"], ["event_id"], "event_type").select("event_id")
 
 
 @query("r7_one_observation_a_step", "SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) offset_step FROM events")
