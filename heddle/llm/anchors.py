@@ -8,7 +8,8 @@ some half a window of text, so what is counted and shuffled is a small part of t
 
 Texts that are equal as a whole are collapsed first (`distinct_texts`): thousands of copies count as one.
 
-The steps are one lazy plan, so Spark shuffles the texts once, by text, and reads that exchange again for each later step.
+The steps are one lazy plan, so Spark shuffles the texts once, by key, and reads that exchange again for each later
+step. Texts travel compressed one by one: only Python reads them, and a row's text compresses better than a shuffle block.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,49 +83,66 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def distinct_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, t1, t2, text): a row for each different text, that of the smallest id; and (t1, t2, first_id, copies)."""
+    """(key, id, t1, t2, packed): a row for each different text, that of the smallest id, its text compressed; and (t1, t2, first_id, copies).
+
+    `key` hashes id, t1 and t2. Rows that are joined by key carry the id too where a stranger's row would matter.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in chunks(batches):
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "id", "t1", "t2")), pa.array([squeeze(t) for t in as_bytes(batch.column("text"))], pa.binary())], ["key", "id", "t1", "t2", "packed"])
+
     firsts = rows.groupBy("t1", "t2").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
-    own = firsts.select("t1", "t2", F.col("first_id").alias("id"))
-    base = rows.select("id", "t1", "t2", "text").join(own.hint("merge"), ["t1", "t2", "id"], "left_semi")
-    return base, firsts
+    own = firsts.select(F.xxhash64("first_id", "t1", "t2").alias("key"))
+    all_rows = rows.select(F.xxhash64("id", "t1", "t2").alias("key"), "id", "t1", "t2", "text").mapInArrow(pack, "key long, id long, t1 long, t2 long, packed binary")
+    return all_rows.join(own.hint("merge"), "key", "left_semi"), firsts
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of batches with their texts."""
+    for batch in chunks(batches, "packed", 1 << 20):
+        expand = zstandard.ZstdDecompressor().decompress
+        yield batch, [expand(x) for x in batch.column("packed").to_pylist()]
 
 
 Units = Callable[[bytes], np.ndarray]
 
 
 def repeated_anchors(base: DataFrame, units: Units, window: int, gram: int) -> DataFrame:
-    """(t1, t2, id, anchors): of each text the anchors that occur twice or more in the corpus."""
+    """(key, anchors): of each text the anchors that occur twice or more in the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch, texts in unpacked(batches):
             anchors, counts, at = [], [], []
-            for i, t in enumerate(as_bytes(batch.column("text"))):
+            for i, t in enumerate(texts):
                 h, place, _, _ = window_runs(units(t), window, gram)
                 h, n = np.unique(h[np.concatenate([[True], place[1:] != place[:-1]])], return_counts=True) if len(h) else (h, h)
                 anchors.append(h)
                 counts.append(np.minimum(n, 2).astype(np.int8))
                 at.append(np.full(len(h), i))
-            own = batch.select(["t1", "t2", "id"]).take(pa.array(np.concatenate(at))) if at else batch.select(["t1", "t2", "id"]).slice(0, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors)), pa.array(np.concatenate(counts)), *own.columns], ["anchor", "n", "t1", "t2", "id"])
+            if at:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors)), pa.array(np.concatenate(counts)), batch.column("key").take(pa.array(np.concatenate(at)))], ["anchor", "n", "key"])
 
-    found = base.select("t1", "t2", "id", "text").mapInArrow(run, "anchor long, n byte, t1 long, t2 long, id long")
+    found = base.mapInArrow(run, "anchor long, n byte, key long")  # all columns of base: one exchange serves every step
     often = found.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
-    return found.select("anchor", "t1", "t2", "id").join(often, "anchor").groupBy("t1", "t2", "id").agg(F.collect_list("anchor").alias("anchors"))
+    return found.select("anchor", "key").join(often, "anchor").groupBy("key").agg(F.collect_list("anchor").alias("anchors"))
 
 
 def segments(base: DataFrame, hits: DataFrame, units: Units, cut: Callable[[bytes, int, int], bytes], window: int, gram: int) -> DataFrame:
     """Stretches of text that hold the windows with one repeated anchor.
 
-    (anchor, s1, s2, id, t1, start, shift, text): `start` is the first window's place, `shift` the anchor's within the
-    stretch, s1 and s2 hash the stretch. Every such window is in exactly one stretch of its text.
+    (anchor, stretch, key, id, start, shift, text): `start` is the first window's place, `shift` the anchor's within the
+    text, `stretch` hashes the text, to be compared among those of one anchor. Every such window is in exactly one
+    stretch of its text.
     """
-    schema = "anchor long, id long, t1 long, t2 long, start int, shift int, text binary"
+    schema = "anchor long, key long, id long, start int, shift int, text binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch, texts in unpacked(batches):
             out: list[list] = [[] for _ in range(4)]
             at = []
-            for i, (t, hit) in enumerate(zip(as_bytes(batch.column("text")), batch.column("anchors"), strict=True)):
+            for i, (t, hit) in enumerate(zip(texts, batch.column("anchors"), strict=True)):
                 h, place, first, last = window_runs(units(t), window, gram)
                 use = np.flatnonzero(np.isin(h, np.asarray(hit.values)))
                 out[0].append(h[use])
@@ -131,12 +150,20 @@ def segments(base: DataFrame, hits: DataFrame, units: Units, cut: Callable[[byte
                 out[2].append(place[use] - first[use])
                 out[3] += cut(t, first[use], last[use] + window)
                 at.append(np.full(len(use), i))
-            own = batch.select(["id", "t1", "t2"]).take(pa.array(np.concatenate(at))) if at else None
+            own = batch.select(["key", "id"]).take(pa.array(np.concatenate(at))) if at else None
             if own is not None and own.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), *own.columns, pa.array(np.concatenate(out[1]).astype(np.int32)), pa.array(np.concatenate(out[2]).astype(np.int32)), pa.array(out[3], pa.binary())], ["anchor", "id", "t1", "t2", "start", "shift", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), *own.columns, pa.array(np.concatenate(out[1]).astype(np.int32)), pa.array(np.concatenate(out[2]).astype(np.int32)), pa.array(out[3], pa.binary())], ["anchor", "key", "id", "start", "shift", "text"])
+
+    joined = base.join(hits.hint("merge"), "key")
+    return joined.mapInArrow(run, schema).withColumn("stretch", F.xxhash64("text", "shift"))
+
 
-    joined = base.join(hits.hint("merge"), ["t1", "t2", "id"]).select("id", "t1", "t2", "text", "anchors")
-    return joined.mapInArrow(run, schema).withColumns({"s1": F.xxhash64("text", "shift"), "s2": F.xxhash64(F.lit(7), "text")})
+def with_ranges(base: DataFrame, ranges: DataFrame) -> DataFrame:
+    """base with `ranges`, its removed stretches from (key, id, first, last)."""
+    by_key = ranges.groupBy("key").agg(F.collect_set(F.struct("id", "first", "last")).alias("ranges"))
+    both = base.join(by_key.hint("merge"), "key", "left")
+    own = F.filter("ranges", lambda r: r["id"] == F.col("id"))
+    return both.select("t1", "t2", "packed", F.transform(own, lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"))).alias("ranges"))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], column: str = "anchor", least: int = 2 << 20) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ with map-side sums; no task sees all of a common passage, only the different str
 
 Defined cases: a null text is the empty text; fewer than 20 words lose none; a null doc_id comes after all others;
 rows that repeat an id and a text are one document stated twice, with the same result; rows that repeat an id with
-another text are ordered by their text's hash; other columns are ignored; an empty table gives an empty result.
+another text are ordered by a hash of the text; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.anchors import distinct_texts, keyed, repeated_anchors, segments, whole_groups
-from heddle.llm.common import as_bytes, chunks, read_table
+from heddle.llm.anchors import distinct_texts, keyed, repeated_anchors, segments, unpacked, whole_groups, with_ranges
+from heddle.llm.common import read_table
 
 WINDOW = 20
 GRAM = 8
@@ -91,11 +91,11 @@ def recurring_windows(stretches: list[bytes], window: int = WINDOW) -> list[list
 
 
 def removed_ranges(found: DataFrame) -> DataFrame:
-    """(t1, t2, id, first, last): words [first, last) of the texts that a window which started earlier covers."""
+    """(key, id, first, last): words [first, last) of the texts that a window which started earlier covers."""
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = F.struct("id", "t1", "t2", "start")
-    distinct = found.groupBy("anchor", "s1", "s2").agg(F.min(order).alias("m"), F.first("text").alias("text"))
-    dealt = distinct.select("anchor", "m.id", "m.t1", "m.t2", "m.start", "text").repartition(n, "anchor").sortWithinPartitions("anchor", "id", "t1", "t2", "start")
+    order = F.struct("id", "key", "start")
+    distinct = found.groupBy("anchor", "stretch").agg(F.min(order).alias("m"), F.first("text").alias("text"))
+    dealt = distinct.select("anchor", "m.key", "m.id", "m.start", "text").repartition(n, "anchor").sortWithinPartitions("anchor", "id", "key", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches):
@@ -110,13 +110,13 @@ def removed_ranges(found: DataFrame) -> DataFrame:
                     at.append(r)
                     first.append(start[r] + a)
                     last.append(start[r] + b)
-            own = batch.select(["t1", "t2", "id"]).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["t1", "t2", "id", "first", "last"])
+            own = batch.select(["key", "id"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["key", "id", "first", "last"])
 
-    located = dealt.mapInArrow(run, "t1 long, t2 long, id long, first int, last int")
+    located = dealt.mapInArrow(run, "key long, id long, first int, last int")
     words = F.size(F.split(F.col("text").cast("string"), " "))
-    later = found.select("anchor", "s1", "s2", "id", "t1", "t2", "start", words.alias("words")).join(distinct.select("anchor", "s1", "s2", "m"), ["anchor", "s1", "s2"]).filter(order != F.col("m"))
-    return located.unionByName(later.select("t1", "t2", "id", F.col("start").alias("first"), (F.col("start") + F.col("words")).alias("last")))
+    later = found.select("anchor", "stretch", "key", "id", "start", words.alias("words")).join(distinct.select("anchor", "stretch", "m"), ["anchor", "stretch"]).filter(order != F.col("m"))
+    return located.unionByName(later.select("key", "id", F.col("start").alias("first"), (F.col("start") + F.col("words")).alias("last")))
 
 
 def _runs(starts: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
@@ -139,12 +139,11 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     base, firsts = distinct_texts(rows)
     hits = repeated_anchors(base, word_units, WINDOW, GRAM)
     ranges = removed_ranges(segments(base, hits, word_units, cut_words, WINDOW, GRAM))
-    by_text = ranges.groupBy("t1", "t2", "id").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch, texts in unpacked(batches):
             n, removed, digest, spans = [], [], [], []
-            for t, got in zip(as_bytes(batch.column("text")), batch.column("ranges").to_pylist(), strict=True):
+            for t, got in zip(texts, batch.column("ranges").to_pylist(), strict=True):
                 words = t.split()
                 gone: list[list[int]] = []
                 for a, b in sorted((x["first"], x["last"]) for x in got or ()):
@@ -163,8 +162,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
                 spans.append([{"first": a, "last": b} for a, b in gone])
             yield pa.RecordBatch.from_arrays([batch.column("t1"), batch.column("t2"), *(pa.array(x, f.type) for x, f in zip((n, removed, digest, spans), list(RESULT)[2:], strict=True))], schema=RESULT)
 
-    shown = base.join(by_text.hint("merge"), ["t1", "t2", "id"], "left").select("t1", "t2", "text", "ranges")
-    of_text = shown.mapInArrow(run, "t1 long, t2 long, n_words long, n_removed long, kept_sha256 string, ranges array<struct<first: int, last: int>>")
+    of_text = with_ranges(base, ranges).mapInArrow(run, "t1 long, t2 long, n_words long, n_removed long, kept_sha256 string, ranges array<struct<first: int, last: int>>")
     copy = (F.col("id") > F.col("first_id")) & (F.col("n_words") >= WINDOW)
     out = rows.select("doc_id", "id", "t1", "t2").join(firsts, ["t1", "t2"]).join(of_text.dropDuplicates(["t1", "t2"]), ["t1", "t2"])
     return out.select("doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"), F.when(copy, F.array(F.struct(F.lit(0).alias("first"), F.col("n_words").cast("int").alias("last")))).otherwise(F.col("ranges")).alias("ranges"))

@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.anchors import distinct_texts, keyed, mix, repeated_anchors, segments, whole_groups
-from heddle.llm.common import as_bytes, chunks, read_table
+from heddle.llm.anchors import distinct_texts, keyed, mix, repeated_anchors, segments, unpacked, whole_groups, with_ranges
+from heddle.llm.common import as_bytes, read_table
 
 WINDOW = 400
 GRAM = 64
@@ -122,9 +122,9 @@ def recurring_ranges(stretches: list[bytes], shift: np.ndarray, group: np.ndarra
 
 
 def covered(found: DataFrame) -> DataFrame:
-    """(t1, t2, id, first, last): bytes [first, last) of the texts that recurring windows cover."""
+    """(key, id, first, last): bytes [first, last) of the texts that recurring windows cover."""
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = found.groupBy("anchor", "s1", "s2", "shift").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+    distinct = found.groupBy("anchor", "stretch", "shift").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
     lead = F.substring("text", F.col("shift") + 1, F.lit(GRAM))
     dealt = distinct.withColumn("lead", lead).repartitionByRange(n, "lead").sortWithinPartitions("lead", "anchor").drop("lead")
 
@@ -140,11 +140,11 @@ def covered(found: DataFrame) -> DataFrame:
             whole = copies > 1
             low[whole], high[whole] = 0, np.array([len(t) for t in text])[whole]
             got = np.flatnonzero(high > low)
-            own = batch.select(["anchor", "s1", "s2"]).take(pa.array(got))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(low[got].astype(np.int32)), pa.array(high[got].astype(np.int32))], ["anchor", "s1", "s2", "low", "high"])
+            own = batch.select(["anchor", "stretch"]).take(pa.array(got))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(low[got].astype(np.int32)), pa.array(high[got].astype(np.int32))], ["anchor", "stretch", "low", "high"])
 
-    ranges = dealt.mapInArrow(run, "anchor long, s1 long, s2 long, low int, high int")
-    return found.select("anchor", "s1", "s2", "t1", "t2", "id", "start").join(ranges, ["anchor", "s1", "s2"]).select("t1", "t2", "id", (F.col("start") + F.col("low")).alias("first"), (F.col("start") + F.col("high")).alias("last"))
+    ranges = dealt.mapInArrow(run, "anchor long, stretch long, low int, high int")
+    return found.select("anchor", "stretch", "key", "id", "start").join(ranges, ["anchor", "stretch"]).select("key", "id", (F.col("start") + F.col("low")).alias("first"), (F.col("start") + F.col("high")).alias("last"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -153,13 +153,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     base, firsts = distinct_texts(rows)
     hits = repeated_anchors(base, byte_units, WINDOW, GRAM)
     ranges = covered(segments(base, hits, byte_units, cut_bytes, WINDOW, GRAM))
-    by_text = ranges.groupBy("t1", "t2", "id").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
     spans = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch, texts in unpacked(batches):
             n, removed, digest, runs = [], [], [], []
-            for t, got in zip(as_bytes(batch.column("text")), batch.column("ranges").to_pylist(), strict=True):
+            for t, got in zip(texts, batch.column("ranges").to_pylist(), strict=True):
                 gone: list[list[int]] = []
                 for a, b in sorted((x["first"], x["last"]) for x in got or ()):
                     if gone and a <= gone[-1][1]:
@@ -177,8 +176,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 runs.append([{"first": a, "last": b} for a, b in gone])
             yield pa.RecordBatch.from_arrays([batch.column("t1"), batch.column("t2"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(runs, spans)], ["t1", "t2", "n_bytes", "n_removed", "kept_sha256", "ranges"])
 
-    shown = base.join(by_text.hint("merge"), ["t1", "t2", "id"], "left").select("t1", "t2", "text", "ranges")
-    of_text = shown.mapInArrow(run, "t1 long, t2 long, n_bytes long, n_removed long, kept_sha256 string, ranges array<struct<first: int, last: int>>")
+    of_text = with_ranges(base, ranges).mapInArrow(run, "t1 long, t2 long, n_bytes long, n_removed long, kept_sha256 string, ranges array<struct<first: int, last: int>>")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= WINDOW)
     out = rows.select("doc_id", "t1", "t2").join(firsts, ["t1", "t2"]).join(of_text.dropDuplicates(["t1", "t2"]), ["t1", "t2"])
     all_of_it = F.array(F.struct(F.lit(0).alias("first"), F.col("n_bytes").cast("int").alias("last")))
