@@ -94,8 +94,9 @@ def removed_ranges(found: DataFrame) -> DataFrame:
     """(key, id, first, last): words [first, last) of the texts that a window which started earlier covers."""
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = F.struct("id", "key", "start")
-    distinct = found.groupBy("anchor", "stretch").agg(F.min(order).alias("m"), F.first("text").alias("text"))
-    dealt = distinct.select("anchor", "m.key", "m.id", "m.start", "text").repartition(n, "anchor").sortWithinPartitions("anchor", "id", "key", "start")
+    # the text is part of the value, so that both uses below ask for the same columns and share one exchange
+    distinct = found.groupBy("anchor", "stretch").agg(F.min_by(F.struct("id", "key", "start", "text"), order).alias("m"))
+    dealt = distinct.select("anchor", "m.key", "m.id", "m.start", "m.text").repartition(n, "anchor").sortWithinPartitions("anchor", "id", "key", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches):
@@ -114,8 +115,9 @@ def removed_ranges(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["key", "id", "first", "last"])
 
     located = dealt.mapInArrow(run, "key long, id long, first int, last int")
+    # every other occurrence of a stretch repeats the first; occurrences are told apart by place, which no hot passage shares
     words = F.size(F.split(F.col("text").cast("string"), " "))
-    later = found.select("anchor", "stretch", "key", "id", "start", words.alias("words")).join(distinct.select("anchor", "stretch", "m"), ["anchor", "stretch"]).filter(order != F.col("m"))
+    later = found.select("key", "id", "start", words.alias("words")).join(distinct.select("m.key", "m.id", "m.start"), ["key", "id", "start"], "left_anti")
     return located.unionByName(later.select("key", "id", F.col("start").alias("first"), (F.col("start") + F.col("words")).alias("last")))
 
 
