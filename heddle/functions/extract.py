@@ -128,7 +128,7 @@ def anchor_key(object_id: Column, number: Column, unit: Column, kind: Column, va
 
 LATEX: list[tuple[str, str]] = [
     (r"\\left|\\right|\\displaystyle|\\!|\\,|\;|\\ ", ""), (r"\\(?:text|mathrm|mbox)\{([^{}]*)\}", "$1"), (r"\\[dt]frac", r"\\frac"), (r"\\frac\{([^{}]*)\}\{([^{}]*)\}", "($1)/($2)"), (r"\\sqrt\{([^{}]*)\}", "sqrt($1)"),
-    (r"\\(?:cdot|times)", "*"), (r"\\div", "/"), (r"\\pi", "pi"), (r"\\infty", "inf"), (r"\\(?:%|\$)", ""), (r"\^\{([^{}]*)\}", "^($1)"), (r"\^\\circ", ""), (r"\$", ""), (r"\{|\}", ""), (r"([0-9]),(?=[0-9]{3})", "$1"), (r"\s+", ""), (r"\.$", ""),
+    (r"\\(?:cdot|times)", "*"), (r"\\div", "/"), (r"\\pi", "pi"), (r"\\infty", "inf"), (r"\\(?:%|\$)", ""), (r"\^\{([^{}]*)\}", "^($1)"), (r"\^\\circ", ""), (r"\$", ""), (r"\{|\}", ""), (r"([0-9]),(?=[0-9]{3}(?![0-9]))", "$1"), (r"\s+", ""), (r"\.$", ""),
 ]
 
 

@@ -71,7 +71,7 @@ def answer_key(x: Column | str) -> Column:
 
 def number_tokens(x: Column | str) -> Column:
     """Signed decimals in order, digit commas and leading plus signs dropped."""
-    y = F.regexp_replace(_col(x), "([0-9]),(?=[0-9]{3})", "$1")
+    y = F.regexp_replace(_col(x), "([0-9]),(?=[0-9])", "$1")
     return F.transform(F.regexp_extract_all(y, F.lit("([-+]?[0-9]+(?:\\.[0-9]+)?)"), F.lit(1)), lambda n: F.ltrim(n, F.lit("+")))
 
 
