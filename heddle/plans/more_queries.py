@@ -21,7 +21,7 @@ def str20(spark, d):
     """Fractions in two spellings, lists in another order, and different values."""
     n = F.col("o_orderkey")
     a = F.when(n % 3 == 0, F.format_string("\\dfrac{%d}{%d}", n, n + 1)).when(n % 3 == 1, F.format_string("%d, (1,2), %d", n, n + 2)).otherwise(n.cast("string"))
-    b = F.when(n % 3 == 0, F.format_string("$\\frac{%d}{%d}$", n, n + 1)).when(n % 3 == 1, F.format_string("%d,%d,(1, 2)", n + 2, n)).otherwise((n + 1).cast("string"))
+    b = F.when(n % 3 == 0, F.format_string("$\\frac{%d}{%d}$", n, n + 1)).when(n % 3 == 1, F.format_string("%d, %d, (1, 2)", n + 2, n)).otherwise((n + 1).cast("string"))
     return table(spark, d, "orders").select("o_orderkey", extract.math_match(a, b).alias("same"))
 
 
