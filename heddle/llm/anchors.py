@@ -6,6 +6,10 @@ equal windows have equal anchors at equal places; a window whose anchor occurs o
 only windows with a repeated anchor need a closer look. Consecutive windows share anchors: there is one anchor for
 some half a window of text, so what is counted and shuffled is a small part of the input.
 
+An anchor that more than `HOT` texts have (a passage that very many share) would bring as many stretches to one task as
+texts have it with different surroundings. Its windows are therefore grouped one by one, each by 128 bits of its own
+hash: equal windows still meet, and are summed in tasks before they do; no group grows with the passage's fame.
+
 Texts that are equal as a whole are collapsed first (`distinct_texts`): thousands of copies count as one.
 
 The steps are one lazy plan, so Spark shuffles the texts once, by key, and reads that exchange again for each later
@@ -18,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +32,7 @@ from heddle.llm.common import as_bytes, chunks
 #: Low bits of a hash that hold a place while minima are taken; a block of text has fewer units.
 _PLACE = np.uint64((1 << 24) - 1)
 BLOCK_UNITS = 1 << 20
+HOT = 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,6 +52,18 @@ def gram_hashes(unit: np.ndarray, size: int) -> np.ndarray:
     return mix(h)
 
 
+def window_hashes(unit: np.ndarray, window: int, seed: int) -> np.ndarray:
+    """Hash of every window of `window` consecutive units, from the hashes of its power-of-two parts."""
+    n = len(unit) - window + 1
+    out, at = np.full(n, seed, np.uint64), 0
+    with np.errstate(over="ignore"):
+        for bit in reversed(range(window.bit_length())):
+            if window >> bit & 1:
+                out = mix(out * np.uint64(0x9E3779B97F4A7C15) + gram_hashes(unit[at : at + n + (1 << bit) - 1], 1 << bit) + np.uint64(seed))
+                at += 1 << bit
+    return out
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every `width` consecutive values."""
     n = 1
@@ -109,8 +127,8 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
 Units = Callable[[bytes], np.ndarray]
 
 
-def repeated_anchors(base: DataFrame, units: Units, window: int, gram: int) -> DataFrame:
-    """(key, anchors): of each text the anchors that occur twice or more in the corpus."""
+def repeated_anchors(base: DataFrame, units: Units, window: int, gram: int, hot: int = HOT) -> DataFrame:
+    """(key, anchors, hot): of each text the anchors that occur twice or more in the corpus, and which of them are hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in unpacked(batches):
@@ -125,37 +143,53 @@ def repeated_anchors(base: DataFrame, units: Units, window: int, gram: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors)), pa.array(np.concatenate(counts)), batch.column("key").take(pa.array(np.concatenate(at)))], ["anchor", "n", "key"])
 
     found = base.mapInArrow(run, "anchor long, n byte, key long")  # all columns of base: one exchange serves every step
-    often = found.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
-    return found.select("anchor", "key").join(often, "anchor").groupBy("key").agg(F.collect_list("anchor").alias("anchors"))
+    often = found.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor", (F.col("n") > hot).alias("hot"))
+    own = found.select("anchor", "key").join(often, "anchor").groupBy("key")
+    return own.agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
 
 
 def segments(base: DataFrame, hits: DataFrame, units: Units, cut: Callable[[bytes, int, int], bytes], window: int, gram: int) -> DataFrame:
     """Stretches of text that hold the windows with one repeated anchor.
 
-    (anchor, stretch, key, id, start, shift, text): `start` is the first window's place, `shift` the anchor's within the
-    text, `stretch` hashes the text, to be compared among those of one anchor. Every such window is in exactly one
-    stretch of its text.
+    (anchor, stretch, key, id, start, shift, units, text): `start` is the first window's place, `shift` the anchor's
+    within the text, `units` the length, `stretch` hashes the text, to be compared among those of one anchor. Every such
+    window is in exactly one stretch of its text. A window with a hot anchor is a stretch of its own, with its own hash
+    as `anchor` and an empty text: its group holds its equals only.
     """
-    schema = "anchor long, key long, id long, start int, shift int, text binary"
+    schema = "anchor long, stretch long, key long, id long, start int, shift int, units int, text binary"
+    empty = np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in unpacked(batches):
-            out: list[list] = [[] for _ in range(4)]
-            at = []
-            for i, (t, hit) in enumerate(zip(texts, batch.column("anchors"), strict=True)):
-                h, place, first, last = window_runs(units(t), window, gram)
+            out: list[list] = [[empty] for _ in range(5)]
+            cuts, at = [], []
+            for i, (t, hit, hot) in enumerate(zip(texts, batch.column("anchors"), batch.column("hot"), strict=True)):
+                unit = units(t)
+                h, place, first, last = window_runs(unit, window, gram)
+                famous = np.asarray(hot.values)
                 use = np.flatnonzero(np.isin(h, np.asarray(hit.values)))
-                out[0].append(h[use])
-                out[1].append(first[use])
-                out[2].append(place[use] - first[use])
-                out[3] += cut(t, first[use], last[use] + window)
+                if len(famous):
+                    own = np.isin(h[use], famous)
+                    lone, use = use[own], use[~own]
+                    starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[lone].tolist(), last[lone].tolist(), strict=True)] + [empty])
+                    a, b = (window_hashes(unit, window, seed).view(np.int64)[starts] for seed in (1, 2))
+                    for x, y in zip(out, (a, b, starts, np.zeros(len(starts), np.int64), np.full(len(starts), window)), strict=True):
+                        x.append(y)
+                    cuts += [b""] * len(starts)
+                    at.append(np.full(len(starts), i))
+                text = cut(t, first[use], last[use] + window)
+                digest = np.array([xxhash.xxh64_intdigest(x, n) for x, n in zip(text, (place[use] - first[use]).tolist(), strict=True)], np.uint64).view(np.int64)
+                for x, y in zip(out, (h[use], digest, first[use], place[use] - first[use], last[use] + window - first[use]), strict=True):
+                    x.append(y)
+                cuts += text
                 at.append(np.full(len(use), i))
-            own = batch.select(["key", "id"]).take(pa.array(np.concatenate(at))) if at else None
-            if own is not None and own.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), *own.columns, pa.array(np.concatenate(out[1]).astype(np.int32)), pa.array(np.concatenate(out[2]).astype(np.int32)), pa.array(out[3], pa.binary())], ["anchor", "key", "id", "start", "shift", "text"])
+            if cuts:
+                anchor, digest, start, shift, length = (np.concatenate(x) for x in out)
+                own = batch.select(["key", "id"]).take(pa.array(np.concatenate(at)))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(digest), *own.columns, *(pa.array(x.astype(np.int32)) for x in (start, shift, length)), pa.array(cuts, pa.binary())], ["anchor", "stretch", "key", "id", "start", "shift", "units", "text"])
 
     joined = base.join(hits.hint("merge"), "key")
-    return joined.mapInArrow(run, schema).withColumn("stretch", F.xxhash64("text", "shift"))
+    return joined.mapInArrow(run, schema)
 
 
 def with_ranges(base: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -10,8 +10,10 @@ A window of 20 words that also starts earlier (in a document with a smaller id,
    them to locate all occurrences; the earliest stays.
 4. The removed ranges go back to their texts; copies of a text of 20 words or more lose all their words.
 
-Every window is confirmed and located by its words, not by a hash. Scale: texts are shuffled once; anchors are counted
-with map-side sums; no task sees all of a common passage, only the different stretches around one anchor.
+Windows in different stretches are confirmed and located by their words; stretches that are equal as a whole, and
+windows with a hot anchor (see anchors.py), by 128 bits of hash. Scale: texts are shuffled once; anchors are counted
+with map-side sums; no task sees all of a common passage, at most the different stretches around one anchor of at most
+`HOT` texts.
 
 Defined cases: a null text is the empty text; fewer than 20 words lose none; a null doc_id comes after all others;
 rows that repeat an id and a text are one document stated twice, with the same result; rows that repeat an id with
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.anchors import distinct_texts, keyed, repeated_anchors, segments, unpacked, whole_groups, with_ranges
+from heddle.llm.anchors import HOT, distinct_texts, keyed, repeated_anchors, segments, unpacked, whole_groups, with_ranges
 from heddle.llm.common import read_table
 
 WINDOW = 20
@@ -96,7 +98,7 @@ def removed_ranges(found: DataFrame) -> DataFrame:
     order = F.struct("id", "key", "start")
     # the text is part of the value, so that both uses below ask for the same columns and share one exchange
     distinct = found.groupBy("anchor", "stretch").agg(F.min_by(F.struct("id", "key", "start", "text"), order).alias("m"))
-    dealt = distinct.select("anchor", "m.key", "m.id", "m.start", "m.text").repartition(n, "anchor").sortWithinPartitions("anchor", "id", "key", "start")
+    dealt = distinct.select("anchor", "m.key", "m.id", "m.start", "m.text").filter("text <> X''").repartition(n, "anchor").sortWithinPartitions("anchor", "id", "key", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches):
@@ -116,9 +118,8 @@ def removed_ranges(found: DataFrame) -> DataFrame:
 
     located = dealt.mapInArrow(run, "key long, id long, first int, last int")
     # every other occurrence of a stretch repeats the first; occurrences are told apart by place, which no hot passage shares
-    words = F.size(F.split(F.col("text").cast("string"), " "))
-    later = found.select("key", "id", "start", words.alias("words")).join(distinct.select("m.key", "m.id", "m.start"), ["key", "id", "start"], "left_anti")
-    return located.unionByName(later.select("key", "id", F.col("start").alias("first"), (F.col("start") + F.col("words")).alias("last")))
+    later = found.select("key", "id", "start", "units").join(distinct.select("m.key", "m.id", "m.start"), ["key", "id", "start"], "left_anti")
+    return located.unionByName(later.select("key", "id", F.col("start").alias("first"), (F.col("start") + F.col("units")).alias("last")))
 
 
 def _runs(starts: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
@@ -135,11 +136,11 @@ def _runs(starts: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
 RESULT = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("ranges", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))])
 
 
-def remove_passages(docs: DataFrame) -> DataFrame:
+def remove_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, ranges) for every row; `ranges` are the removed stretches of words."""
     rows = keyed(docs)
     base, firsts = distinct_texts(rows)
-    hits = repeated_anchors(base, word_units, WINDOW, GRAM)
+    hits = repeated_anchors(base, word_units, WINDOW, GRAM, hot)
     ranges = removed_ranges(segments(base, hits, word_units, cut_words, WINDOW, GRAM))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,8 +16,9 @@ removed; here the first occurrence goes too.
    bucket, without pairs.
 5. The covered ranges go back to their texts.
 
-Comparisons are of bytes; hashes only choose candidates. Scale: texts are shuffled once; anchors are counted with
-map-side sums and there is one for some 170 bytes.
+Different stretches are compared by bytes; stretches that are equal as a whole, and windows with a hot anchor (see
+anchors.py), by 128 bits of hash. Scale: texts are shuffled once; anchors are counted with map-side sums and there is
+one for some 170 bytes; a bucket holds at most the different stretches around anchors of at most `HOT` texts.
 
 Defined cases: a null text is the empty text; shorter texts lose nothing; rows that repeat a text, even with the same
 doc_id, are copies; null ids are ids like any other; other columns are ignored; an empty table gives an empty result.
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.anchors import distinct_texts, keyed, mix, repeated_anchors, segments, unpacked, whole_groups, with_ranges
+from heddle.llm.anchors import HOT, distinct_texts, keyed, mix, repeated_anchors, segments, unpacked, whole_groups, with_ranges
 from heddle.llm.common import as_bytes, read_table
 
 WINDOW = 400
@@ -124,9 +125,10 @@ def recurring_ranges(stretches: list[bytes], shift: np.ndarray, group: np.ndarra
 def covered(found: DataFrame) -> DataFrame:
     """(key, id, first, last): bytes [first, last) of the texts that recurring windows cover."""
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = found.groupBy("anchor", "stretch", "shift").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+    distinct = found.groupBy("anchor", "stretch", "shift", "units").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+    lone = distinct.filter("text = X'' and copies > 1").select("anchor", "stretch", F.lit(0).alias("low"), F.col("units").alias("high"))
     lead = F.substring("text", F.col("shift") + 1, F.lit(GRAM))
-    dealt = distinct.withColumn("lead", lead).repartitionByRange(n, "lead").sortWithinPartitions("lead", "anchor").drop("lead")
+    dealt = distinct.filter("text <> X''").withColumn("lead", lead).repartitionByRange(n, "lead").sortWithinPartitions("lead", "anchor").drop("lead")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches):
@@ -143,15 +145,15 @@ def covered(found: DataFrame) -> DataFrame:
             own = batch.select(["anchor", "stretch"]).take(pa.array(got))
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(low[got].astype(np.int32)), pa.array(high[got].astype(np.int32))], ["anchor", "stretch", "low", "high"])
 
-    ranges = dealt.mapInArrow(run, "anchor long, stretch long, low int, high int")
+    ranges = dealt.mapInArrow(run, "anchor long, stretch long, low int, high int").unionByName(lone)
     return found.select("anchor", "stretch", "key", "id", "start").join(ranges, ["anchor", "stretch"]).select("key", "id", (F.col("start") + F.col("low")).alias("first"), (F.col("start") + F.col("high")).alias("last"))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, ranges) for every row; `ranges` are the maximal removed runs of bytes."""
     rows = keyed(docs)
     base, firsts = distinct_texts(rows)
-    hits = repeated_anchors(base, byte_units, WINDOW, GRAM)
+    hits = repeated_anchors(base, byte_units, WINDOW, GRAM, hot)
     ranges = covered(segments(base, hits, byte_units, cut_bytes, WINDOW, GRAM))
     spans = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 

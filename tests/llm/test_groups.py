@@ -202,6 +202,9 @@ def test_passages_equal_brute_force(spark):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out.collect()}
     assert got == want
     assert all(sum(x["last"] - x["first"] for x in r["ranges"]) == r["n_removed"] for r in out.collect())
+    for hot in (1, 12):  # windows of hot anchors are grouped one by one
+        lone = passages.remove_passages(docs, hot).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in lone} == want
     assert passages.remove_passages(documents(spark, [])).count() == 0
 
 
@@ -230,6 +233,9 @@ def test_repeats_equal_brute_force(spark):
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.remove_repeats(docs).collect()}
     assert got == want
     assert sum(x[1] for x in want.values()) > 0
+    for hot in (1, 12):
+        lone = suffixes.remove_repeats(docs, hot).collect()
+        assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in lone} == want
     twice = suffixes.remove_repeats(documents(spark, [(1, "q" * 10 + "w" * 500), (1, "q" * 10 + "w" * 500)])).collect()
     assert [r["n_removed"] for r in twice] == [510, 510]
     assert suffixes.remove_repeats(documents(spark, [])).count() == 0
