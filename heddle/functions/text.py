@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -115,20 +117,27 @@ def conversation_prompt(turns: Column | str) -> Column:
 MONTHS = "january february march april may june july august september october november december".split()
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def calendar_date(x: Column | str) -> Column:
     """struct<y,m,d> of `Month D, Y` or `D Month Y`, with or without an ordinal; null if it is no such date (days 1 to 31)."""
+
+    def of(word: Column) -> Column:
+        a, b, c = (F.get(word, F.lit(i)) for i in range(3))
+        number, year = "^[0-9]{1,2}$", c.rlike("^[0-9]{4}$")
+        first = (F.size(word) == 3) & year & b.rlike(number)
+        second = (F.size(word) == 3) & year & a.rlike(number)
+        month = F.array_position(F.array(*map(F.lit, MONTHS)), F.when(first, a).otherwise(b)).cast("int")
+        day = F.when(first, b).otherwise(a).try_cast("int")
+        return F.when((first | second) & (month > 0) & day.between(1, 31), F.struct(c.try_cast("int").alias("y"), month.alias("m"), day.alias("d")))
+
     y = F.regexp_replace(F.lower(clean(x)), "([0-9])(st|nd|rd|th)\\b", "$1")
-    y = F.trim(F.regexp_replace(F.regexp_replace(y, "[,.]", " "), " +", " "))
-    word = F.split(y, " ")
-    first = F.regexp_like(y, F.lit("^[a-z]+ [0-9]{1,2} [0-9]{4}$"))
-    second = F.regexp_like(y, F.lit("^[0-9]{1,2} [a-z]+ [0-9]{4}$"))
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.when(first, word[0]).otherwise(word[1])).cast("int")
-    day = F.when(first, F.get(word, F.lit(1))).otherwise(word[0]).try_cast("int")
-    ok = (first | second) & (month > 0) & day.between(1, 31)
-    return F.when(ok, F.struct(F.get(word, F.lit(2)).try_cast("int").alias("y"), month.alias("m"), day.alias("d")))
+    return let(F.split(F.trim(F.regexp_replace(y, "[,. ]+", " ")), " "), of)
 
 
 def partial_date(x: Column | str) -> Column:
     """struct<m,d> of `Month D` or `D Month`."""
-    full = calendar_date(F.concat(_col(x), F.lit(" 2000")))
-    return F.when(full.isNotNull(), F.struct(full["m"].alias("m"), full["d"].alias("d")))
+    return let(calendar_date(F.concat(_col(x), F.lit(" 2000"))), lambda full: F.when(full.isNotNull(), F.struct(full["m"].alias("m"), full["d"].alias("d"))))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heddle.functions.answers import answer_match
+from heddle.functions.answers import with_answer_match
 from heddle.functions.keys import hash_unit, joined, stable_hash
 from heddle.functions.text import contains_token, normalized_text
 
@@ -87,7 +87,7 @@ def review(tasks: DataFrame, evidence: DataFrame, plans: DataFrame, frames: Data
     found.append(_reason(last.join(plans, "task_id").filter("trim(display) <> trim(final_answer)"), "final frame display does not match final_answer"))
     concluded = cells.filter("role = 'conclusion' and weight > 0").select("task_id", "phase").distinct()
     found.append(_reason(last.join(concluded, ["task_id", "phase"], "left_anti"), "final frame has no conclusion-role cell"))
-    judged = plans.join(tasks.filter("reference_answer is not null"), "task_id").filter(~answer_match("final_answer", "reference_answer"))
+    judged = with_answer_match(plans.join(tasks.filter("reference_answer is not null"), "task_id"), "final_answer", "reference_answer", "right").filter(~F.col("right"))
     found.append(_reason(judged, "final answer does not match the reference"))
     found.append(_reason(leaks(frames, cells, evidence, tasks), F.concat(F.lit("frame "), "phase", F.lit(" reveals "), "evidence_id")))
     gone = cells.join(frames.select("task_id", "phase", "frame_pos"), ["task_id", "phase"]).groupBy("task_id", "cell_id").agg(F.min("frame_pos").alias("a"), F.max("frame_pos").alias("b"), F.count_distinct("frame_pos").alias("n"))

@@ -165,7 +165,7 @@ def str13(spark, d):
     e = read_table(spark, d, "events")
     n = F.col("event_id")
     said = F.when(n % 3 == 0, F.concat(F.lit("about "), n)).when(n % 3 == 1, n.cast("string")).otherwise((n + 1).cast("string"))
-    return e.select("event_id", answers.answer_match(said, n.cast("string")).alias("ok"))
+    return answers.with_answer_match(e, said, n.cast("string"), "ok").select("event_id", "ok")
 
 
 @query("str10_qa_normalize")

@@ -94,7 +94,7 @@ def test_texts(spark):
     ],
 )
 def test_answers(spark, said, reference, same):
-    assert spark.range(1).select(answers.answer_match(F.lit(said), F.lit(reference)).alias("x")).first()["x"] is same
+    assert answers.with_answer_match(spark.range(1), F.lit(said), F.lit(reference), "x").first()["x"] is same
 
 
 def test_exact_arithmetic_and_boxes():
