@@ -126,26 +126,25 @@ def covered(found: DataFrame) -> DataFrame:
     """(key, id, first, last): bytes [first, last) of the texts that recurring windows cover."""
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = found.groupBy("anchor", "stretch", "shift", "units").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
-    lone = distinct.filter("text = X'' and copies > 1").select("anchor", "stretch", F.lit(0).alias("low"), F.col("units").alias("high"))
-    lead = F.substring("text", F.col("shift") + 1, F.lit(GRAM))
-    dealt = distinct.filter("text <> X''").withColumn("lead", lead).repartitionByRange(n, "lead").sortWithinPartitions("lead", "anchor").drop("lead")
+    lead = F.when(F.col("text") == F.lit(b""), F.unhex(F.hex("anchor"))).otherwise(F.substring("text", F.col("shift") + 1, F.lit(GRAM)))  # windows of hot anchors go anywhere
+    dealt = distinct.withColumn("lead", lead).repartitionByRange(n, "lead").sortWithinPartitions("lead", "anchor").drop("lead")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches):
             text = as_bytes(batch.column("text"))
             anchor, shift, copies = (np.asarray(batch.column(c)) for c in ("anchor", "shift", "copies"))
             many = np.unique(anchor, return_inverse=True, return_counts=True)
-            use = np.flatnonzero(many[2][many[1]] > 1)
+            use = np.flatnonzero((many[2][many[1]] > 1) & np.array([len(t) > 0 for t in text]))
             low, high = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
             if len(use):
                 low[use], high[use] = recurring_ranges([text[i] for i in use.tolist()], shift[use].astype(np.int64), many[1][use])
             whole = copies > 1
-            low[whole], high[whole] = 0, np.array([len(t) for t in text])[whole]
+            low[whole], high[whole] = 0, np.asarray(batch.column("units"))[whole]
             got = np.flatnonzero(high > low)
             own = batch.select(["anchor", "stretch"]).take(pa.array(got))
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(low[got].astype(np.int32)), pa.array(high[got].astype(np.int32))], ["anchor", "stretch", "low", "high"])
 
-    ranges = dealt.mapInArrow(run, "anchor long, stretch long, low int, high int").unionByName(lone)
+    ranges = dealt.mapInArrow(run, "anchor long, stretch long, low int, high int")
     return found.select("anchor", "stretch", "key", "id", "start").join(ranges, ["anchor", "stretch"]).select("key", "id", (F.col("start") + F.col("low")).alias("first"), (F.col("start") + F.col("high")).alias("last"))
 
 
