@@ -14,4 +14,12 @@ from heddle.llm.suffixes import op7_suffixes
 from heddle.llm.toxicity import op10_toxicity
 
 QUERIES = {"op1_secrets": op1_secrets, "op2_mix": op2_mix, "op3_bpe": op3_bpe, "op4_passages": op4_passages, "op5_quality": op5_quality, "op6_language": op6_language, "op7_suffixes": op7_suffixes, "op8_simhash": op8_simhash, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # windows that started earlier, by rank over the window's words; whole tables, no hashing
+    "op4_passages": r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '') w FROM documents),
+ windows AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) i FROM d)),
+ later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) r FROM windows) WHERE r > 1),
+ gone AS (SELECT DISTINCT doc_id, i + k p FROM later, range(20) t(k)),
+ kept AS (SELECT doc_id, count(*) n, string_agg(x, ' ' ORDER BY p) s FROM (SELECT doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) p FROM d) ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+ SELECT doc_id, len(w)::BIGINT n_words, (len(w) - coalesce(n, 0))::BIGINT n_removed, sha256(coalesce(s, '')) kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+}
