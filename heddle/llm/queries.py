@@ -22,4 +22,13 @@ ORACLE_SQL: dict[str, str] = {
  gone AS (SELECT DISTINCT doc_id, i + k p FROM later, range(20) t(k)),
  kept AS (SELECT doc_id, count(*) n, string_agg(x, ' ' ORDER BY p) s FROM (SELECT doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) p FROM d) ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
  SELECT doc_id, len(w)::BIGINT n_words, (len(w) - coalesce(n, 0))::BIGINT n_removed, sha256(coalesce(s, '')) kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    # 400-byte strings that occur twice or more, their runs, and the bytes between the runs
+    "op7_suffixes": r"""WITH d AS (SELECT doc_id, encode(coalesce(text, '')) b FROM documents),
+ windows AS (SELECT doc_id, i, array_slice(b, i, i + 399) s FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) i FROM d)),
+ often AS (SELECT md5(s) h FROM windows GROUP BY 1 HAVING count(*) > 1),
+ hit AS (SELECT doc_id, i FROM windows WHERE md5(s) IN (SELECT h FROM often)),
+ runs AS (SELECT doc_id, min(i) a, max(i) + 399 z FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) g FROM (SELECT *, (i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) > 400)::INT fresh FROM hit)) GROUP BY doc_id, g),
+ gaps AS (SELECT doc_id, z, a, hex(array_slice(b, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1, a - 1)) g FROM runs JOIN d USING (doc_id)),
+ sums AS (SELECT doc_id, sum(z - a + 1) n, count(*) k, max(z) z, string_agg(g, '' ORDER BY a) g FROM gaps GROUP BY 1)
+ SELECT doc_id, octet_length(b)::BIGINT n_bytes, coalesce(n, 0)::BIGINT n_removed, coalesce(k, 0)::BIGINT n_spans, sha256(CASE WHEN k IS NULL THEN b ELSE unhex(g || hex(array_slice(b, z + 1, octet_length(b)))) END) kept_sha256 FROM d LEFT JOIN sums USING (doc_id)""",
 }
