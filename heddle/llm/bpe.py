@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from heddle.llm.common import as_bytes, chunks, read_table
 
-KNOWN_PIECES = 150_000
+KNOWN_PIECES = 250_000
+#: Bytes of text whose new pieces share an arena.
+ARENA_BYTES = 8 << 20
 
 
 class RankQueue:
@@ -67,6 +69,20 @@ class RankQueue:
         return rank, self.bucket.pop(rank)
 
 
+class Known(dict):
+    """Ids of the pieces met so far, as lists. A piece that isn't known gets an empty list, filled in later; `new` holds those."""
+
+    def __init__(self, older: dict[str, list[int]]) -> None:
+        self.older, self.new = older, {}
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.new[piece] = []
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
@@ -85,8 +101,7 @@ class Encoder:
         self.pairs = pairs
         self.keys = np.array(sorted(pairs), np.int64)
         self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known = Known({})
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids, -1 where they don't merge."""
@@ -222,19 +237,18 @@ class Encoder:
 
     def encode_texts(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text; pieces that are new to this worker are encoded together first."""
-        pieces = [self.split(t) for t in texts]
         known = self.known
-        new = {p for x in pieces for p in x if p not in known}
-        for p in [p for p in new if p in self.older]:
-            known[p] = self.older[p]
-            new.discard(p)
-        if new:
-            names = list(new)
-            known.update(zip(names, self.encode_pieces([p.encode() for p in names]), strict=True))
-        for x in pieces:
-            yield list(chain.from_iterable(map(known.__getitem__, x)))
+        look_up, split = known.__getitem__, self.split
+        rows = [list(map(look_up, split(t))) for t in texts]
+        if new := known.new:
+            for ids, got in zip(new.values(), self.encode_pieces([p.encode() for p in new]), strict=True):
+                ids.extend(got)
+            known.new = {}
+        for row in rows:
+            yield list(chain.from_iterable(row))
         if len(known) > KNOWN_PIECES:
-            self.known, self.older = {}, known
+            known.older = {}
+            self.known = Known(known)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -261,7 +275,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=ARENA_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(own.encode_texts([x.decode() for x in as_bytes(batch.column("text"))])), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -283,7 +297,7 @@ def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=ARENA_BYTES):
             n, digest, back = [], [], []
             for ids in own.encode_texts([x.decode() for x in as_bytes(batch.column("text"))]):
                 n.append(len(ids))
