@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='heddle-')}"
+        own = tempfile.mkdtemp(prefix="heddle-")
+        atexit.register(shutil.rmtree, own, True)
+        found = f"file://{own}"
         context.setCheckpointDir(found)
     return found
 
