@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from heddle.llm.common import as_bytes, chunks, read_table
 
-KNOWN_PIECES = 250_000
+KNOWN_PIECES = 150_000
 #: Bytes of text whose new pieces share an arena.
-ARENA_BYTES = 8 << 20
+ARENA_BYTES = 4 << 20
 
 
 class RankQueue:
