@@ -172,5 +172,5 @@ def r18(spark, d):
 @query("s18_source_registry", "SELECT 'purchase' source, min(event_id) FILTER (event_type = 'purchase' AND event_id > 5000) next_id FROM events UNION ALL SELECT 'view', min(event_id) FILTER (event_type = 'view' AND event_id > 5000) FROM events")
 def s18(spark, d):
     """Named sources and the next step of each."""
-    e = table(spark, d, "events").filter("event_type in ('purchase', 'view') and event_id > 5000")
-    return e.groupBy(F.col("event_type").alias("source")).agg(F.min("event_id").alias("next_id"))
+    e = table(spark, d, "events").filter("event_type in ('purchase', 'view')")
+    return e.groupBy(F.col("event_type").alias("source")).agg(F.min(F.when(F.col("event_id") > 5000, F.col("event_id"))).alias("next_id"))
