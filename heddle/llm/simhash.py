@@ -15,6 +15,8 @@ alternating large-star and small-star steps over the links, each written to the
 similarity of 0.8 or more, which one fingerprint at three bits would mostly miss. It draws `LANES` further fingerprints
 from a text's words, finds candidates in the same tables (any lane at three bits), discards those whose 128-bit
 five-word fingerprints are too far apart for that similarity, and verifies the rest on the texts.
+A span of the candidates is verified first; then all candidate pairs that no verified link holds together are, so a
+failed link between two copies costs nothing.
 
 Scale: copies cost one row each; hot texts collapse in the map-side aggregation. Rows move as 16-byte pairs, ten
 times. Buckets hold distinct fingerprints that agree on 25 or 26 bits; beyond some 10**9 distinct fingerprints
@@ -28,7 +30,7 @@ their copies; the smallest doc_id names a component; other columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -261,17 +263,56 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, " + ", ".join(f"{x} long" for x in names))
 
 
+def _lane_tables(nodes: DataFrame, *extra: str, blocks: int = 5) -> DataFrame:
+    """(bucket, fp, node, v0, v1, extra) for every lane and table, a bucket's rows together."""
+    as_long = lambda x: x - (1 << 64) if x >> 63 else x
+    tables = [F.struct(F.xxhash64(F.lit(100 * i + j), F.col(f"l{i}").bitwiseAND(F.lit(as_long(m)))).alias("bucket"), F.col(f"l{i}").alias("fp")) for i in range(LANES) for j, m in enumerate(block_masks(blocks))]
+    rows = nodes.select("node", "v0", "v1", *extra, F.explode(F.array(*tables)).alias("x")).select("x.bucket", "x.fp", "node", "v0", "v1", *extra)
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "fp", "node")
+
+
+def crossing(root: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (as positions) of one bucket that are of different roots and for which near(a, b) holds; the largest root is not paired with itself."""
+    kind, count = np.unique(root, return_inverse=True, return_counts=True)[1:]
+    if len(count) < 2:
+        return
+    order = np.argsort(kind == count.argmax(), kind="stable")
+    m, rest = len(root), int(len(root) - count.max())
+    step = max(1, (1 << 20) // m)
+    for s in range(0, rest, step):
+        e = min(rest, s + step)
+        i, j = np.nonzero(kind[order[s:e], None] != kind[None, order[s:]])
+        i, j = order[s + i[j > i]], order[s + j[j > i]]
+        hit = near(i, j)
+        yield i[hit], j[hit]
+
+
+def unjoined_candidates(nodes: DataFrame) -> DataFrame:
+    """(a, b): all pairs of nodes near in some lane and in the five-word fingerprint whose `root` differs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, "bucket"):
+            bucket, fp, node, v0, v1, root = (np.asarray(batch.column(i)) for i in range(6))
+            wide, lane = np.stack([v0, v1], axis=1).view(np.uint64), fp.view(np.uint64)
+            cut = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)], strict=True):
+                near = lambda i, j, s=s: (np.bitwise_count(lane[s + i] ^ lane[s + j]) <= MAX_BITS) & (np.bitwise_count(wide[s + i] ^ wide[s + j]).sum(axis=1) <= FAR)
+                for i, j in crossing(root[s:e], near):
+                    if len(i):
+                        a, b = node[s + i], node[s + j]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return _lane_tables(nodes, "root").mapInArrow(run, "a long, b long").distinct()
+
+
 def near_copy_candidates(nodes: DataFrame, blocks: int = 5) -> DataFrame:
     """(a, b): pairs of nodes near in some lane and in the five-word fingerprint, enough of them to span each bucket's components.
 
     Nodes of a bucket that share a lane's fingerprint first join the first of them they are near to, so a large group of
     near copies is compared by its few fingerprints.
     """
-    as_long = lambda x: x - (1 << 64) if x >> 63 else x
-    tables = [F.struct(F.xxhash64(F.lit(100 * i + j), F.col(f"l{i}").bitwiseAND(F.lit(as_long(m)))).alias("bucket"), F.col(f"l{i}").alias("fp")) for i in range(LANES) for j, m in enumerate(block_masks(blocks))]
-    rows = nodes.select("node", "v0", "v1", F.explode(F.array(*tables)).alias("x")).select("x.bucket", "x.fp", "node", "v0", "v1")
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "fp", "node")
+    dealt = _lane_tables(nodes, blocks=blocks)
 
     def within(fp: np.ndarray, node: np.ndarray, wide: np.ndarray, reference: np.ndarray) -> Iterator[tuple[int, int]]:
         heads: list[int] = []
@@ -337,8 +378,11 @@ def drop_near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     heads = fp_links.join(by_fp.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     same = nodes.join(by_fp, "fp").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     candidates = materialize(near_copy_candidates(nodes), "copies-candidates")
-    edges = heads.unionByName(same).unionByName(verified(candidates, docs, size, similarity))
-    root = components(edges, "copies-links")
+    edges = materialize(heads.unionByName(same).unionByName(verified(candidates, docs, size, similarity)), "copies-verified")
+    # a span of candidates leaves out pairs that hung together by links which failed: what no link holds together is tried pair by pair
+    apart = nodes.join(components(edges, "copies-links"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = materialize(unjoined_candidates(apart).join(candidates, ["a", "b"], "left_anti"), "copies-rest")
+    root = components(edges.unionByName(verified(rest, docs, size, similarity)), "copies-links")
     spare = rows.join(nodes, columns).join(root, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")).filter("doc_id <> root").select("doc_id")
     return docs.join(spare.distinct(), "doc_id", "left_anti").select(*docs.columns)
 
