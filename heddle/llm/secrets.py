@@ -6,7 +6,7 @@ before (same content at the same place) is not taken again, which ends cycles. E
 found in it is mapped back to code points of the original text through all layers above it.
 
 One pass without a shuffle: hot sources, copies and lost executors cost nothing. A compressed layer is read up to
-`MAX_LAYER` characters (a bound against decompression bombs; the text itself is always scanned whole).
+`MAX_LAYER` bytes over all its members (a bound against decompression bombs; the text itself is always scanned whole).
 
 Defined cases: a null text is the empty text; empty texts have no spans; spans are sorted by start, then by kind in
 the order of KINDS, then by end; repeated rows give repeated results; other columns are ignored or passed through.
@@ -15,13 +15,12 @@ the order of KINDS, then by end; repeated rows give repeated results; other colu
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +38,13 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+#: The same over line breaks, and a line of it.
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*(?:\r\n?|\n)[ \t]*[A-Za-z0-9+/_-]+)+")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_GLUE = re.compile(r"[/_-]")
+#: Printable UTF-8, and the begin of a character at the end of data.
+_UTF8 = re.compile(rb"(?:[\t-\r\x20-\x7e]|\xc2[\xa0-\xbf]|[\xc3-\xdf][\x80-\xbf]|(?!\xef\xbf\xbd)(?:\xe0[\xa0-\xbf]|\xed[\x80-\x9f]|[\xe1-\xec\xee\xef][\x80-\xbf])[\x80-\xbf]|(?:\xf0[\x90-\xbf]|[\xf1-\xf3][\x80-\xbf]|\xf4[\x80-\x8f])[\x80-\xbf]{2})++")
+_LOOSE = re.compile(rb"(?:[\xc2-\xf4]|[\xe0-\xf4][\x80-\xbf]|[\xf0-\xf4][\x80-\xbf]{2})\Z")
 _PRINTABLE = re.compile(r"[^\x00-\x08\x0e-\x1f\x7f-\x9f\ufffd]*")
 
 
@@ -66,24 +72,36 @@ class Layer:
         return hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), int(self.starts[0]), int(self.ends[-1])
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """Decompressed data, or null if it is no gzip, zlib, bzip2, xz or Zstandard stream."""
-    try:
-        if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0):
-            return zlib.decompressobj(47).decompress(data, MAX_LAYER)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MAX_LAYER)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, MAX_LAYER)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            return zstandard.ZstdDecompressor().stream_reader(data).read(MAX_LAYER)
-    except Exception:  # whatever a codec raises on data that only looks compressed
-        return None
+def _codec(data: bytes):
+    """What makes a decompressor of the stream that begins with the data, or null."""
+    if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0):
+        return lambda: zlib.decompressobj(47)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        return lambda: zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True)
     return None
 
 
+def _inflate(data: bytes) -> bytes | None:
+    """Decompressed data of all members, or null if it is no gzip, zlib, bzip2, xz or Zstandard stream; cut or broken data end at a whole character."""
+    out, room = [], MAX_LAYER
+    while room and (make := _codec(data)):
+        try:
+            member = make()
+            got = member.read(room) if hasattr(member, "read") else member.decompress(data, room)
+        except Exception:  # whatever a codec raises on data that only looks compressed
+            break
+        out.append(got)
+        room -= len(got)
+        data = b"" if hasattr(member, "read") or not member.eof else member.unused_data.lstrip(b"\0")
+    return _LOOSE.sub(b"", b"".join(out)) if out else None
+
+
 def _chars(data: bytes) -> tuple[str, list[int]] | None:
     """Text of UTF-8 data and the byte at which each character starts; null unless it is printable."""
     try:
@@ -160,14 +178,32 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
     if ("\\" in text or "&#" in text) and (out := _inline(layer, _ESCAPE, _escape)):
         yield out
     for m in _BASE64.finditer(text):
-        run = m[0].rstrip("=")
-        run = run[: len(run) - (len(run) % 4 == 1)]
-        try:
-            data = base64.b64decode(run.translate({45: 43, 95: 47}) + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        if data and (data[0] < 0x80 or data[:1] in b"\xc2\xc3\xfd"):
-            yield from _opened(layer, data, [(m.start() + i * 8 // 6, m.start() + (i * 8 + 7) // 6 + 1) for i in range(len(data))])
+        yield from _base64(layer, m[0], range(*m.span()), [0])
+    if "\n" in text or "\r" in text:
+        for m in _WRAPPED.finditer(text):
+            lines = [(m.start() + x.start(), x[0]) for x in _LINE.finditer(m[0])]
+            begins = np.cumsum([0, *(len(x) for _, x in lines[:-1])]).tolist()
+            yield from _base64(layer, "".join(x for _, x in lines), [a + i for a, x in lines for i in range(len(x))], begins)
+
+
+def _base64(layer: Layer, run: str, at: Sequence[int], begins: list[int]) -> Iterator[Layer]:
+    """Layers in a run, character i of which is character at[i] of `layer`: it begins at one of `begins` or behind a / - or _, and ends anywhere."""
+    shifts: dict[int, list[int]] = {}
+    for b in [*begins, *(m.end() for m in _GLUE.finditer(run))]:
+        if len(run) - b >= 16:
+            shifts.setdefault(b % 4, []).append((b - b % 4) // 4 * 3)
+    run = run.translate({45: 43, 95: 47})
+    for shift, starts in shifts.items():
+        n = len(run) - shift
+        n -= n % 4 == 1
+        data = base64.b64decode(run[shift : shift + n] + "=" * (-n % 4))
+        spans = lambda a, b, shift=shift: [(at[shift + i * 8 // 6], at[shift + (i * 8 + 7) // 6] + 1) for i in range(a, b)]
+        for i in starts:
+            if _codec(data[i : i + 6]):
+                yield from _opened(layer, data[i:], spans(i, len(data)))
+        for m in _UTF8.finditer(data):
+            if len(m[0]) >= 12:
+                yield from _opened(layer, m[0], spans(*m.span()))
 
 
 _MAY_UNWRAP = re.compile(r"%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -58,6 +60,24 @@ def test_secrets_are_found_in_nested_layers_and_mapped_back():
         assert any(k == kind and x.strip("= ") and x in code for k, x in found), name
 
 
+def test_secrets_in_runs_of_any_script_wrapped_or_glued(monkeypatch):
+    inner, rng = "api_key=abcdefgh", random.Random(5)
+    b64 = lambda x: base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
+    noise = bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz ") for _ in range(400))
+    wrap = lambda x: base64.encodebytes(x).decode()
+    codes = [b64(x + inner) for x in ("ключ ", "κλειδί ", "\ufeff", "“key” ", "€ ", "鍵 ", "🙂 ")]
+    codes += [wrap(gzip.compress(noise + inner.encode())), wrap(noise + inner.encode() + noise), wrap(noise + inner.encode()).replace("\n", "\r\n  ")]
+    codes += ["x" * k + glue + b64(inner + " it is") + end for k in (1, 2, 3, 4, 17) for glue in "/-_" for end in ("", "/tail", "_z-9")]
+    codes += ["path/" + b64(gzip.compress(inner.encode())), "w" * 21 + "\n" + b64(inner * 3)]
+    codes += [b64(c(noise) + c(inner.encode())) for c in (gzip.compress, bz2.compress, lzma.compress)]
+    for code in codes:
+        text = f"é before {code} after"
+        found = [(k, text[s:e]) for s, k, e in secrets.find_secrets(text)[1]]
+        assert any(k == 0 and x in code for k, x in found), code
+    monkeypatch.setattr(secrets, "MAX_LAYER", 50)
+    assert secrets.find_secrets(b64(gzip.compress((inner + " " + "é" * 40).encode())))[1]
+
+
 def test_secret_worklist_ends_and_redacts(spark):
     assert secrets.find_secrets("%25%32%35" * 200)[0] == []
     loop = "A" * 64
