@@ -296,7 +296,9 @@ def unjoined_candidates(nodes: DataFrame) -> DataFrame:
             bucket, fp, node, v0, v1, root = (np.asarray(batch.column(i)) for i in range(6))
             wide, lane = np.stack([v0, v1], axis=1).view(np.uint64), fp.view(np.uint64)
             cut = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
-            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)], strict=True):
+            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(bucket)]])
+            mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+            for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
                 near = lambda i, j, s=s: (np.bitwise_count(lane[s + i] ^ lane[s + j]) <= MAX_BITS) & (np.bitwise_count(wide[s + i] ^ wide[s + j]).sum(axis=1) <= FAR)
                 for i, j in crossing(root[s:e], near):
                     if len(i):
