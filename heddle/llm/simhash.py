@@ -11,13 +11,6 @@ and the survivors are verified by an exact comparison. No cap is set anywhere.
 A bucket emits a spanning forest of its links, not all pairs: components stay the same. Components are found by
 alternating large-star and small-star steps over the links, each written to the shared folder, until none changes.
 
-`drop_near_copies` is the pipeline's stage: besides these links it takes those of five-word shingles at a Jaccard
-similarity of 0.8 or more, which one fingerprint at three bits would mostly miss. It draws `LANES` further fingerprints
-from a text's words, finds candidates in the same tables (any lane at three bits), discards those whose 128-bit
-five-word fingerprints are too far apart for that similarity, and verifies the rest on the texts.
-A span of the candidates is verified first; then all candidate pairs that no verified link holds together are, so a
-failed link between two copies costs nothing.
-
 Scale: copies cost one row each; hot texts collapse in the map-side aggregation. Rows move as 16-byte pairs, ten
 times. Buckets hold distinct fingerprints that agree on 25 or 26 bits; beyond some 10**9 distinct fingerprints
 `blocks` = 6 (twenty tables of three blocks, 32 bits) keeps them small.
@@ -29,8 +22,7 @@ their copies; the smallest doc_id names a component; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -39,15 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.anchors import mix, whole_groups
 from heddle.llm.common import as_bytes, chunks, materialize, read_table
 
 SEED = 42
 MAX_BITS = 3
 PIVOTS = 24
-LANES = 6
-#: Bits of 128 that the five-word fingerprints of a pair may differ in: 19 at a similarity of 0.8, and two standard deviations more.
-FAR = 28
 
 
 def simhash(text: bytes, size: int = 3) -> int:
@@ -112,8 +100,8 @@ def _find(parent: list[int], x: int) -> int:
     return x
 
 
-def bucket_links(fp: np.ndarray, reference: np.ndarray, max_bits: int = MAX_BITS, wide: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links (as positions) that span the components of one bucket of fingerprints; with `wide` (rows of two words) a link must also be near in those."""
+def bucket_links(fp: np.ndarray, reference: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
+    """Links (as positions) that span the components of one bucket of fingerprints."""
     m = len(fp)
     table = np.bitwise_count(fp[:, None] ^ reference[None, :]).astype(np.int8)  # the pivot distance table
     order = np.argsort(table[:, 0], kind="stable")
@@ -133,8 +121,6 @@ def bucket_links(fp: np.ndarray, reference: np.ndarray, max_bits: int = MAX_BITS
             near = np.abs(table[a, k] - table[b, k]) <= max_bits
             a, b = a[near], b[near]
         near = np.bitwise_count(fp[a] ^ fp[b]) <= max_bits
-        if wide is not None:
-            near &= np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1) <= FAR
         for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
             if (p := _find(parent, x)) != (q := _find(parent, y)):
                 parent[max(p, q)] = min(p, q)
@@ -180,8 +166,6 @@ def links(distinct: DataFrame, blocks: int = 5, max_bits: int = MAX_BITS) -> Dat
     return sorted_rows.mapInArrow(run, "a long, b long").distinct()
 
 
-
-
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(node, root): the smallest node of each connected component, for the nodes that have an edge.
 
@@ -220,175 +204,6 @@ def keep_first(docs: DataFrame, size: int = 3) -> DataFrame:
     return docs.join(spare, "doc_id", "left_anti").select(*docs.columns)
 
 
-def _weighted_bits(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Majority of the weighted votes on each bit of the columns of `hashes` (rows of 64-bit words)."""
-    n, lanes = hashes.shape
-    votes = np.zeros(64 * lanes)
-    for s in range(0, n, 1 << 14):
-        bits = np.unpackbits(hashes[s : s + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8 * lanes), axis=1, bitorder="little")
-        votes += weights[s : s + (1 << 14)].astype(np.float32) @ bits.astype(np.float32)
-    return np.packbits(2 * votes > weights.sum(), bitorder="little").view("<u8").astype(np.uint64)
-
-
-_SPREAD = np.array([0x9E3779B97F4A7C15 + 2 * i for i in range(LANES)], np.uint64)
-
-
-def near_copy_signature(text: bytes, size: int = 5) -> np.ndarray:
-    """LANES fingerprints of the words (weighted by the logarithm of their count) and two of the five-word shingles."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(LANES + 2, np.uint64)
-    h = xxhash.xxh64_intdigest
-    count = Counter(words)
-    own = np.array([h(w, SEED) for w in count], np.uint64)
-    weight = np.floor(np.log2(np.array(list(count.values())))) + 1
-    shingles = np.array(list({h(b" ".join(words[i : i + size]), SEED) for i in range(max(1, len(words) - size + 1))}), np.uint64)
-    with np.errstate(over="ignore"):
-        lanes = _weighted_bits(mix(own[:, None] * _SPREAD[None, :]), weight)
-        wide = _weighted_bits(mix(shingles[:, None] * _SPREAD[None, :2]), np.ones(len(shingles)))
-    return np.concatenate([lanes, wide])
-
-
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, l0, ..., v0, v1): the fingerprint and the near-copy signature of each text."""
-    names = [*(f"l{i}" for i in range(LANES)), "v0", "v1"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            texts = as_bytes(batch.column("text"))
-            fp = np.array([simhash(t) for t in texts], np.uint64).view(np.int64)
-            sig = np.stack([near_copy_signature(t) for t in texts]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp), *(pa.array(sig[:, i]) for i in range(LANES + 2))], ["doc_id", "fp", *names])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, " + ", ".join(f"{x} long" for x in names))
-
-
-def _lane_tables(nodes: DataFrame, *extra: str, blocks: int = 5) -> DataFrame:
-    """(bucket, fp, node, v0, v1, extra) for every lane and table, a bucket's rows together."""
-    as_long = lambda x: x - (1 << 64) if x >> 63 else x
-    tables = [F.struct(F.xxhash64(F.lit(100 * i + j), F.col(f"l{i}").bitwiseAND(F.lit(as_long(m)))).alias("bucket"), F.col(f"l{i}").alias("fp")) for i in range(LANES) for j, m in enumerate(block_masks(blocks))]
-    rows = nodes.select("node", "v0", "v1", *extra, F.explode(F.array(*tables)).alias("x")).select("x.bucket", "x.fp", "node", "v0", "v1", *extra)
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "fp", "node")
-
-
-def crossing(root: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs (as positions) of one bucket that are of different roots and for which near(a, b) holds; the largest root is not paired with itself."""
-    kind, count = np.unique(root, return_inverse=True, return_counts=True)[1:]
-    if len(count) < 2:
-        return
-    order = np.argsort(kind == count.argmax(), kind="stable")
-    m, rest = len(root), int(len(root) - count.max())
-    step = max(1, (1 << 20) // m)
-    for s in range(0, rest, step):
-        e = min(rest, s + step)
-        i, j = np.nonzero(kind[order[s:e], None] != kind[None, order[s:]])
-        i, j = order[s + i[j > i]], order[s + j[j > i]]
-        hit = near(i, j)
-        yield i[hit], j[hit]
-
-
-def unjoined_candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b): all pairs of nodes near in some lane and in the five-word fingerprint whose `root` differs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in whole_groups(batches, "bucket"):
-            bucket, fp, node, v0, v1, root = (np.asarray(batch.column(i)) for i in range(6))
-            wide, lane = np.stack([v0, v1], axis=1).view(np.uint64), fp.view(np.uint64)
-            cut = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
-            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(bucket)]])
-            mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-            for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
-                near = lambda i, j, s=s: (np.bitwise_count(lane[s + i] ^ lane[s + j]) <= MAX_BITS) & (np.bitwise_count(wide[s + i] ^ wide[s + j]).sum(axis=1) <= FAR)
-                for i, j in crossing(root[s:e], near):
-                    if len(i):
-                        a, b = node[s + i], node[s + j]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return _lane_tables(nodes, "root").mapInArrow(run, "a long, b long").distinct()
-
-
-def near_copy_candidates(nodes: DataFrame, blocks: int = 5) -> DataFrame:
-    """(a, b): pairs of nodes near in some lane and in the five-word fingerprint, enough of them to span each bucket's components.
-
-    Nodes of a bucket that share a lane's fingerprint first join the first of them they are near to, so a large group of
-    near copies is compared by its few fingerprints.
-    """
-    dealt = _lane_tables(nodes, blocks=blocks)
-
-    def within(fp: np.ndarray, node: np.ndarray, wide: np.ndarray, reference: np.ndarray) -> Iterator[tuple[int, int]]:
-        heads: list[int] = []
-        for s in [0, *(np.flatnonzero(fp[1:] != fp[:-1]) + 1).tolist()]:
-            left = np.arange(s, int(np.searchsorted(fp, fp[s], "right")))
-            while len(left):
-                near = np.bitwise_count(wide[left] ^ wide[left[0]]).sum(axis=1) <= FAR
-                near[0] = True
-                heads.append(int(left[0]))
-                yield from ((int(node[left[0]]), int(node[k])) for k in left[near][1:])
-                left = left[~near]
-        own = np.array(heads)
-        for x, y in bucket_links(fp[own].view(np.uint64), reference, wide=wide[own]):
-            yield int(node[own[x]]), int(node[own[y]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reference = pivots()
-        for batch in whole_groups(batches, "bucket"):
-            bucket, fp, node, v0, v1 = (np.asarray(batch.column(i)) for i in range(5))
-            wide = np.stack([v0, v1], axis=1).view(np.uint64)
-            cut = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
-            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(bucket)]])
-            found = {p for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True) for p in within(fp[s:e], node[s:e], wide[s:e], reference)}
-            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1) if len(pairs) else pairs[:, 0]), pa.array(pairs.max(axis=1) if len(pairs) else pairs[:, 1])], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
-
-
-def shingle_set(text: bytes, size: int) -> set[bytes]:
-    words = text.lower().split()
-    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
-
-
-def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts' word shingles have at least the Jaccard similarity."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = pairs.join(texts.withColumnRenamed("doc_id", "a").withColumnRenamed("text", "text_a"), "a")
-    both = first.join(texts.withColumnRenamed("doc_id", "b").withColumnRenamed("text", "text_b"), "b").select("a", "b", "text_a", "text_b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text_a"):
-            keep = []
-            for x, y in zip(as_bytes(batch.column("text_a")), as_bytes(batch.column("text_b")), strict=True):
-                s, t = shingle_set(x, size), shingle_set(y, size)
-                keep.append(len(s & t) >= similarity * len(s | t))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def drop_near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one document, that of the smallest doc_id, of each group of near copies. Rows with a null doc_id stay.
-
-    Groups are the components of two kinds of links: three-word fingerprints at three or fewer differing bits, and
-    five-word shingles at the similarity or more.
-    """
-    rows = materialize(signatures(docs.filter("doc_id is not null")), "copies")
-    columns = rows.columns[1:]
-    nodes = materialize(rows.groupBy(*columns).agg(F.min("doc_id").alias("node")), "copies-nodes")
-    by_fp = nodes.groupBy("fp").agg(F.min("node").alias("head"))
-    fp_links = links(nodes.select("fp").distinct())
-    heads = fp_links.join(by_fp.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    same = nodes.join(by_fp, "fp").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    candidates = materialize(near_copy_candidates(nodes), "copies-candidates")
-    edges = materialize(heads.unionByName(same).unionByName(verified(candidates, docs, size, similarity)), "copies-verified")
-    # a span of candidates leaves out pairs that hung together by links which failed: what no link holds together is tried pair by pair
-    apart = nodes.join(components(edges, "copies-links"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = materialize(unjoined_candidates(apart).join(candidates, ["a", "b"], "left_anti"), "copies-rest")
-    root = components(edges.unionByName(verified(rest, docs, size, similarity)), "copies-links")
-    spare = rows.join(nodes, columns).join(root, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")).filter("doc_id <> root").select("doc_id")
-    return docs.join(spare.distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

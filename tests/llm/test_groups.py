@@ -150,72 +150,6 @@ def test_components_of_a_long_chain(spark):
     assert by_id(simhash.components(edges), "node", "root") == [*((i, 0) for i in range(61)), (100, 100), (101, 100), (102, 100)]
 
 
-def test_near_copies_go_and_the_rest_stays(spark):
-    rng = random.Random(11)
-    word = lambda: "".join(rng.choice(["ba", "ne", "to", "ri", "su", "mo", "ka"]) for _ in range(rng.randint(1, 4)))
-    rows, group = [], {}
-    for g in range(40):
-        base = [word() for _ in range(rng.randint(150, 400))]
-        for j in range(rng.randint(1, 5)):
-            c = list(base)
-            for k in range(j and max(1, len(c) // 70)):
-                c[rng.randrange(len(c))] = word()
-            rows.append((len(rows), " ".join(c)))
-            group[len(rows) - 1] = g
-    hot = [word() for _ in range(300)]
-    for j in range(150):  # one large group
-        c = list(hot)
-        c[j] = word()
-        rows.append((len(rows), " ".join(c)))
-        group[len(rows) - 1] = 99
-    extra = [(None, rows[0][1]), (None, None), (2000, None), (2001, ""), (0, rows[0][1])]
-    docs = documents(spark, rows + extra)
-    out = simhash.drop_near_copies(docs)
-    assert out.columns == docs.columns
-    kept = [r["doc_id"] for r in out.collect()]
-    assert kept.count(None) == 2 and kept.count(2000) == 1 and 2001 not in kept and kept.count(0) == 2
-    first = {g: min(i for i in group if group[i] == g) for g in set(group.values())}
-    mine = Counter(group[i] for i in set(kept) if i in group)
-    assert set(first.values()) <= set(kept) and set(mine) == set(first)
-    assert sum(mine.values()) <= len(first) + 2  # nearly all near copies are found
-    assert simhash.drop_near_copies(documents(spark, [])).count() == 0
-
-
-def near_copy_groups(rows):
-    """Roots by brute force: three-word fingerprints at three bits, or five-word shingles at 0.8."""
-    own = [(brute_fingerprint(t), simhash.shingle_set(t.encode(), 5)) for _, t in rows]
-    return brute_components(own, lambda x, y: (x[0] ^ y[0]).bit_count() <= 3 or len(x[1] & y[1]) >= 0.8 * len(x[1] | y[1]))
-
-
-def kept_by_brute_force(rows):
-    least = {}
-    for (i, _), r in zip(rows, near_copy_groups(rows), strict=True):
-        least[r] = min(least.get(r, i), i)
-    return set(least.values())
-
-
-def test_copies_that_hang_together_by_failed_links(spark):
-    rng = random.Random(21)
-    word = lambda: "".join(rng.choice(["ba", "ne", "to", "ri", "su", "mo", "ka"]) for _ in range(rng.randint(2, 4)))
-    rows = []
-    for g in range(30):
-        b = [word() for _ in range(300)]
-        a, c = list(b), list(b)
-        at = rng.sample(range(0, 300, 6), 14)
-        for x, i, j in [(a, *at[k : k + 2]) for k in (0, 2, 4, 6)] + [(c, *at[k : k + 2]) for k in (8, 10, 12)]:  # the same words: a is no copy of b and c
-            x[i], x[j] = x[j], x[i]
-        rows += [(3 * g + i, " ".join(t)) for i, t in enumerate((a, b, c))]
-    kept = {r["doc_id"] for r in simhash.drop_near_copies(documents(spark, rows)).collect()}
-    assert kept == kept_by_brute_force(rows) and len(kept) > 40
-
-
-def test_verification_is_exact(spark):
-    docs = documents(spark, [(1, "a b c d e f g h i j k l"), (2, "a b c d e f g h i j k x"), (3, "A  b c d\ne f g h i j k l"), (4, None), (5, "")])
-    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (4, 5)], "a long, b long")
-    assert by_id(simhash.verified(pairs, docs, 5, 0.8), "a", "b") == [(1, 3), (4, 5)]
-    assert by_id(simhash.verified(pairs, docs, 5, 0.7), "a", "b") == [(1, 2), (1, 3), (4, 5)]
-
-
 # --- repeated windows ------------------------------------------------------------------------------------------------
 
 
