@@ -2,28 +2,29 @@
 
 The rows of each source, in hash order, form blocks of equal size. Block i of a source with weight w is released at
 slot floor(i / w) and due by slot ceil((i + 1) / w); every slot takes the released block with the earliest deadline
-(ties: earliest release, then source name). With weights that sum to one this keeps each source within one block of
-its share at every slot. Weights are rounded to units of 1 / `slots`, so the schedule repeats after `slots` slots; one
-period is computed and every block's slot follows from it by arithmetic. When a source has no blocks left, a new phase
-begins in which the rest share its weight in proportion, and the bound holds anew from there.
+(ties: earliest release, then source name). The weights of a phase sum to one exactly (they are rational numbers, never
+rounded), so at every slot each source is within less than one block of its target share. When a source has no blocks
+left, a new phase begins in which the rest share its weight in proportion, and the bound holds anew from there.
 
 Nothing is dropped, repeated or sampled: the result orders all rows. `weights` None means weights in proportion to
 rows ** `power`.
 
-Scale: rows are ranked within a source without bringing a source together: a source is dealt into many hash buckets
-(a multiple of the shuffle partitions), each ranked alone, and bucket sizes are summed up in a table of one row a
-bucket. The phase table has at most one row for each phase and source and `slots` integers a phase; its size is
-checked before it is broadcast.
+Scale: a block has `block_rows` rows, or as many more as keep the schedule at `SLOTS` slots (and one for each source),
+so a block is never more than a 2**18th of a large table. The driver schedules blocks, not rows: it sees a row a source
+and sends out a row a block. Rows are ranked within a source without bringing a source together: a source is dealt into
+many hash buckets (a multiple of the shuffle partitions), each ranked alone, and bucket sizes are summed up in a table
+of one row a bucket.
 
 Defined cases: a null source is a source of its own; rows of sources without a positive weight come last, mixed by
 their sizes; rows that repeat a doc_id are ordered by their text's hash, equal rows are interchangeable; null ids come
-first within their bucket; an empty table gives an empty result; other columns pass through `mix_rows`.
+first within their bucket; texts of any length are one row each; an empty table gives an empty result; other columns
+pass through `mix_rows`, whatever their names, but for those it adds.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -32,96 +33,75 @@ from pyspark.sql import functions as F
 from heddle.llm.common import read_table
 
 BLOCK_ROWS = 16
-SLOTS = 1000
-#: Integers of a phase table that may be broadcast.
-BROADCAST_CELLS = 4_000_000
-
-
-def whole_weights(weights: dict[str, float], slots: int) -> dict[str, int]:
-    """Integers of at least one that sum to `slots` (more if there are more sources), by largest remainders."""
-    slots = max(slots, len(weights))
-    total = sum(weights.values())
-    exact = {s: w / total * slots for s, w in weights.items()}
-    out = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    while (gap := slots - sum(out.values())) != 0:
-        if gap > 0:
-            for s in sorted(exact, key=lambda s: (out[s] - exact[s], s))[:gap]:
-                out[s] += 1
-        else:
-            for s in sorted((s for s in exact if out[s] > 1), key=lambda s: (exact[s] - out[s], s))[:-gap]:
-                out[s] -= 1
-    return out
-
-
-def pfair_period(units: dict[str, int]) -> dict[str, list[int]]:
-    """The slots of each source's blocks over one period: earliest deadline first among the released blocks."""
-    slots = sum(units.values())
-    waiting = [(0, s, 0) for s in units]  # (release, source, block)
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, str, int]] = []
-    out: dict[str, list[int]] = {s: [] for s in units}
-    for t in range(slots):
-        while waiting and waiting[0][0] <= t:
-            release, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * slots // units[s]), release, s, i))
-        _, _, s, i = heapq.heappop(ready)
-        out[s].append(t)
-        if i + 1 < units[s]:
-            heapq.heappush(waiting, ((i + 1) * slots // units[s], s, i + 1))
-    return out
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float], slots: int = SLOTS) -> list[tuple]:
-    """(source, phase, first_block, n_blocks, base, units, period, slots of a period) for each phase of each source."""
-    used, base, phase, rows = dict.fromkeys(blocks, 0), 0, 0, []
-    while left := {s: n - used[s] for s, n in blocks.items() if n > used[s]}:
-        own = {s: weights[s] for s in left if weights.get(s, 0) > 0} or {s: float(blocks[s]) for s in left}
-        units = whole_weights(own, slots)
-        period, at = sum(units.values()), pfair_period(units)
-        end = 1 + min((left[s] - 1) // q * period + at[s][(left[s] - 1) % q] for s, q in units.items())
-        for s, q in units.items():
-            n = end // period * q + sum(x < end % period for x in at[s])
-            if n:
-                rows.append((s, phase, used[s], n, base, q, period, at[s]))
-            used[s] += n
-        base, phase = base + end, phase + 1
+SLOTS = 1 << 18
+ADDED = ("mix_block", "mix_phase", "mix_slot", "mix_release", "mix_deadline", "mix_position")
+
+
+def block_size(rows: int, least: int = BLOCK_ROWS, slots: int = SLOTS) -> int:
+    return max(least, -(-rows // slots))
+
+
+def schedule(blocks: dict[str, int], weights: dict[str, float]) -> list[tuple[str, int, int, int, int, int]]:
+    """(source, block, phase, slot, release, deadline) of every block."""
+    left = {s: n for s, n in blocks.items() if n > 0}
+    used, base, phase, rows = dict.fromkeys(left, 0), 0, 0, []
+    while left:
+        own = {s: Fraction(weights[s]) for s in left if weights.get(s, 0) > 0} or {s: Fraction(blocks[s]) for s in left}
+        total = sum(own.values())
+        rate = {s: total / w for s, w in own.items()}  # slots a block
+        rate = {s: (x.numerator, x.denominator) for s, x in rate.items()}
+        waiting = [(0, s, 0) for s in sorted(own)]
+        ready: list[tuple[int, int, str, int]] = []
+        t, over = 0, False
+        while not over:
+            while waiting and waiting[0][0] <= t:
+                release, s, i = heapq.heappop(waiting)
+                p, q = rate[s]
+                heapq.heappush(ready, (-(-(i + 1) * p // q), release, s, i))
+            due, release, s, i = heapq.heappop(ready)
+            rows.append((s, used[s], phase, base + t, base + release, base + due))
+            used[s] += 1
+            left[s] -= 1
+            if left[s]:
+                p, q = rate[s]
+                heapq.heappush(waiting, ((i + 1) * p // q, s, i + 1))
+            else:
+                over = True
+                del left[s]
+            t += 1
+        base, phase = base + t, phase + 1
     return rows
 
 
-def rank_rows(docs: DataFrame, group: str, seed: int = 0) -> DataFrame:
-    """docs with `_rank`, the place of a row within its group in hash order, counted without bringing a group together."""
-    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id")).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
+def rank_rows(rows: DataFrame, group: str, key: list[str], seed: int = 0) -> DataFrame:
+    """rows with `_rank`, the place of a row within its group in hash order of its key, counted without bringing a group together."""
+    buckets = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("_hash", F.xxhash64(F.lit(seed), key[0])).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
     sizes = rows.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
     before = sizes.select(F.col(group).alias("_group"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(W.partitionBy(group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    text = [F.xxhash64("text")] if "text" in docs.columns else []
-    placed = rows.withColumn("_place", F.row_number().over(W.partitionBy(group, "_bucket").orderBy("_hash", "doc_id", *text)))
+    placed = rows.withColumn("_place", F.row_number().over(W.partitionBy(group, "_bucket").orderBy("_hash", *key)))
     joined = placed.join(before, (F.col(group) == F.col("_group")) & (F.col("_bucket") == F.col("_b")))
     return joined.withColumn("_rank", F.col("_before") + F.col("_place") - 1).drop("_hash", "_bucket", "_place", "_group", "_b", "_before")
 
 
-def mix_rows(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block_rows: int = BLOCK_ROWS, slots: int = SLOTS, seed: int = 0) -> DataFrame:
+def mix_rows(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block_rows: int = BLOCK_ROWS, seed: int = 0) -> DataFrame:
     """docs with mix_block, mix_phase, mix_slot, mix_release, mix_deadline and mix_position, the row's place in the mixture (ascending, not dense).
 
     Null sources are named "" in `weights`.
     """
-    rows = rank_rows(docs.withColumn("_source", F.coalesce(F.col("source"), F.lit(""))), "_source", seed)
-    sizes = {r["_source"]: r["n"] for r in docs.groupBy(F.coalesce(F.col("source"), F.lit("")).alias("_source")).agg(F.count("*").alias("n")).collect()}
-    blocks = {s: -(-n // block_rows) for s, n in sorted(sizes.items())}
-    table = phases(blocks, weights if weights is not None else {s: n**power for s, n in sizes.items()}, slots)
-    plan = docs.sparkSession.createDataFrame(table, "_s string, mix_phase int, _first long, _n long, _base long, _units long, _period long, _slots array<int>")
-    if sum(len(r[-1]) for r in table) <= BROADCAST_CELLS:
+    source = F.coalesce(F.col("source"), F.lit(""))
+    columns = [c for c in docs.columns if c not in ADDED]
+    text = F.xxhash64("text") if "text" in columns else F.lit(0)
+    packed = docs.select(F.struct(*columns).alias("_row"), source.alias("_source"), F.col("doc_id").alias("_id"), text.alias("_text"))
+    sizes = {r["s"]: r["n"] for r in docs.groupBy(source.alias("s")).agg(F.count("*").alias("n")).collect()}
+    size = block_size(sum(sizes.values()), block_rows)
+    table = schedule({s: -(-n // size) for s, n in sorted(sizes.items())}, weights if weights is not None else {s: n**power for s, n in sizes.items()})
+    plan = docs.sparkSession.createDataFrame(table, "_s string, mix_block long, mix_phase int, mix_slot long, mix_release long, mix_deadline long")
+    if len(table) <= 2 * SLOTS:  # always, unless there are more than SLOTS sources
         plan = F.broadcast(plan)
-    block = F.floor(F.col("_rank") / block_rows)
-    rows = rows.withColumn("mix_block", block)
-    both = rows.join(plan, (F.col("_source") == F.col("_s")) & (F.col("mix_block") >= F.col("_first")) & (F.col("mix_block") < F.col("_first") + F.col("_n")))
-    i = F.col("mix_block") - F.col("_first")
-    whole, part = F.floor(i / F.col("_units")), (i % F.col("_units")).cast("int")
-    slot = F.col("_base") + whole * F.col("_period") + F.element_at("_slots", part + 1)
-    release = F.col("_base") + F.expr("(mix_block - _first) * _period div _units")
-    deadline = F.col("_base") + F.expr("((mix_block - _first + 1) * _period + _units - 1) div _units")
-    out = both.withColumns({"mix_slot": slot, "mix_release": release, "mix_deadline": deadline, "mix_position": slot * block_rows + F.col("_rank") % block_rows})
-    return out.select(*docs.columns, "mix_block", "mix_phase", "mix_slot", "mix_release", "mix_deadline", "mix_position")
+    rows = rank_rows(packed, "_source", ["_id", "_text"], seed).withColumn("_block", F.expr(f"_rank div {size}"))
+    both = rows.join(plan, (F.col("_source") == F.col("_s")) & (F.col("_block") == F.col("mix_block")))
+    return both.withColumn("mix_position", F.col("mix_slot") * size + F.col("_rank") % size).select("_row.*", *ADDED)
 
 
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:

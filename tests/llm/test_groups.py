@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tests.llm.helpers import by_id, documents
 
 from heddle.llm import anchors, mixing, passages, pipeline_stages, simhash, suffixes, toxicity
@@ -16,41 +19,73 @@ from heddle.llm import anchors, mixing, passages, pipeline_stages, simhash, suff
 # --- mixing ----------------------------------------------------------------------------------------------------------
 
 
-def test_period_keeps_every_source_within_one_block():
+def brute_schedule(blocks, weights, slots):
+    """Slot by slot, with exact fractions: the released block of the earliest deadline."""
+    total, taken, out = sum(map(Fraction, weights.values())), dict.fromkeys(weights, 0), []
+    for t in range(slots):
+        ready = []
+        for s, w in weights.items():
+            share = Fraction(w) / total
+            release, due = math.floor(taken[s] / share), math.ceil((taken[s] + 1) / share)
+            if release <= t:
+                ready.append((due, release, s))
+        due, release, s = min(ready)
+        out.append((s, taken[s], t, release, due))
+        taken[s] += 1
+        if taken[s] == blocks[s]:
+            break
+    return out
+
+
+def test_every_source_stays_within_one_block_of_its_target():
     rng = random.Random(2)
-    for _ in range(40):
-        weights = {f"s{i}": rng.random() + 0.01 for i in range(rng.randint(1, 12))}
-        units = mixing.whole_weights(weights, 500)
-        assert sum(units.values()) == 500 and min(units.values()) >= 1
-        at = mixing.pfair_period(units)
-        assert sorted(x for v in at.values() for x in v) == list(range(500))
-        for s, q in units.items():
-            taken = np.searchsorted(at[s], np.arange(1, 501))
-            assert (np.abs(taken - q * np.arange(1, 501) / 500) < 1).all()
-            for i, t in enumerate(at[s]):
-                assert i * 500 // q <= t < -(-(i + 1) * 500 // q)
+    cases = [{f"s{i}": rng.random() + 0.01 for i in range(rng.randint(1, 12))} for _ in range(20)]
+    cases += [{"a": 0.4004, "b": 0.3503, "c": 0.2493}, {f"s{i}": math.sqrt(n) for i, n in enumerate((70, 901, 12345, 3))}, {"big": 1.0, "small": 0.0001}]
+    for weights in cases:
+        blocks = dict.fromkeys(weights, 700)
+        rows = [r for r in mixing.schedule(blocks, weights) if r[2] == 0]
+        assert [(s, i, t, release, due) for s, i, _, t, release, due in rows] == brute_schedule(blocks, weights, 10**6)
+        total, taken = sum(map(Fraction, weights.values())), Counter()
+        for s, i, _, t, release, due in rows:
+            assert i == taken[s] and release <= t < due
+            taken[s] += 1
+            if t < 3000:
+                assert all(abs(taken[x] - (t + 1) * Fraction(w) / total) < 1 for x, w in weights.items())
+
+
+def test_many_sources_and_many_slots_keep_the_target():
+    weights = {f"s{i}": 1.0 for i in range(2000)} | {"big": 50.0}
+    rows = mixing.schedule({s: 40 if s == "big" else 1 for s in weights}, weights)
+    assert sorted(r[3] for r in rows) == list(range(2040))
+    first = [r for r in rows if r[2] == 0]
+    assert abs(sum(r[0] == "big" for r in first) - len(first) * 50 / 2050) < 1
+    weights = {"a": 0.4004, "b": 0.3503, "c": 0.2493}
+    taken = Counter(r[0] for r in mixing.schedule(dict.fromkeys(weights, 60_000), weights) if r[3] < 60_000)
+    assert all(abs(taken[s] - 60_000 * w) < 1 for s, w in weights.items())
 
 
 def test_phases_use_every_block_once():
     blocks = {"a": 700, "b": 30, "c": 1, "d": 90}
-    rows = mixing.phases(blocks, {"a": 0.5, "b": 0.3, "c": 0.2}, 100)
-    slots = [base + i // q * period + at[i % q] for _, _, _, n, base, q, period, at in rows for i in range(n)]
-    assert sorted(slots) == list(range(sum(blocks.values())))
-    last = [r for r in rows if r[0] == "d"]
-    assert len(last) == 1 and last[0][4] == 731
+    rows = mixing.schedule(blocks, {"a": 0.5, "b": 0.3, "c": 0.2})
+    assert sorted(r[3] for r in rows) == list(range(sum(blocks.values())))
+    assert {s: sorted(r[1] for r in rows if r[0] == s) for s in blocks} == {s: list(range(n)) for s, n in blocks.items()}
+    assert min(r[3] for r in rows if r[0] == "d") == 731  # no weight: after all others
+    assert mixing.schedule({}, {}) == [] and mixing.block_size(10) == 16 and mixing.block_size(10**10) == 38147
 
 
 def test_mixing_on_tables(spark):
-    rows = [(i, f"t{i}", None, "hot" if i % 3 == 0 else f"s{i % 5}") for i in range(400)] + [(1000, None, None, None), (None, "x", None, "hot"), (7, "t7", None, "s2"), (7, "t7", None, "s2")]
-    docs = documents(spark, rows)
-    out = mixing.mix_rows(docs, block_rows=4, slots=60)
+    rows = [(i, f"t{i}", None, "hot" if i % 3 == 0 else f"s{i % 5}") for i in range(400)] + [(1000, None, None, None), (None, "x", None, "hot"), (7, "t7", None, "s2"), (7, "t7", None, "s2"), (1001, "", None, "s1"), (1002, "long " * 300_000, None, "s1")]
+    docs = documents(spark, rows).withColumns({"_source": F.lit("mine"), "_rank": F.lit(3), "_s": F.lit("x"), "mix_slot": F.lit("old")})
+    out = mixing.mix_rows(docs, block_rows=4)
     got = out.collect()
-    assert len(got) == len(rows) and out.columns[: len(docs.columns)] == docs.columns
+    assert len(got) == len(rows) and out.columns == [c for c in docs.columns if c != "mix_slot"] + list(mixing.ADDED)
+    assert all(r["_source"] == "mine" and r["_rank"] == 3 and r["_s"] == "x" for r in got)
     assert len({r["mix_position"] for r in got}) == len(rows)
     assert all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in got)
     assert max(Counter((r["source"], r["mix_block"]) for r in got).values()) == 4
     assert {r["mix_slot"] for r in got} == set(range(len({(r["source"], r["mix_block"]) for r in got})))
-    ordered = mixing.in_mixed_order(docs, block_rows=4, slots=60)
+    docs = documents(spark, rows)
+    ordered = mixing.in_mixed_order(docs, block_rows=4)
     assert ordered.columns == docs.columns and ordered.count() == len(rows)
     assert mixing.mix_rows(documents(spark, [])).count() == 0
 
@@ -298,5 +333,7 @@ def test_pipeline_equals_its_parts(spark, tmp_path):
 
     texts = dict((r[0], r[1]) for r in rows)
     own = bpe.encoder(bpe.VOCABULARY)
+    want = {r["doc_id"]: r["mix_position"] for r in mixing.mix_rows(documents(spark, [r for r in rows if r[0] in keep])).collect()}
+    assert {r["doc_id"]: r["mix_position"] for r in out.collect()} == want
     for r in out.filter("doc_id in (1, 2)").collect():
         assert own.decode(r["ids"]).decode() == texts[r["doc_id"]].replace("password=hunter2222", "[assign]")
