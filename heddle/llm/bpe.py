@@ -11,7 +11,7 @@ Scale: one pass without a shuffle; ranks are read once a worker. Known pieces ar
 table, a speed-up that results don't depend on.
 
 Defined cases: a null text is the empty text (no ids); special tokens don't exist; repeated rows give repeated
-results; other columns are ignored.
+results; texts of any length are encoded whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -270,15 +270,17 @@ def encoder(name: str) -> Encoder:
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, ids): the ids of each whole text."""
+def encode(docs: DataFrame, *carried: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, carried columns, ids): the ids of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
         for batch in chunks(batches, limit=ARENA_BYTES):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(own.encode_texts([x.decode() for x in as_bytes(batch.column("text"))])), pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids = pa.array(list(own.encode_texts([x.decode() for x in as_bytes(batch.column("text"))])), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.select(["doc_id", *carried]).columns, ids], ["doc_id", *carried, "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carried, "text")
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text") + ", ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
