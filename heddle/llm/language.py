@@ -1,16 +1,25 @@
 """Operator 6, language ID by prediction by partial matching.
 
-Each language has a context tree of orders 0 to 2 over 64 byte symbols (case folded). A text's code length under a
-language is exact and uses frozen counts: -log2 of n(context, symbol) / (n(context) + distinct(context)), with an
-escape of distinct / (n + distinct) to the next shorter context where the symbol is new (method C), down to 1/64.
-The shortest code wins; ties go to the first language by name.
-
-Scale: learning counts 64**3 contexts with symbols per language in each task and sums them in Spark, so what is
-shuffled and sent on is bounded by 262,144 rows a language, whatever the corpus. Scoring is one pass with lookups.
+Each language has a tree of byte contexts of orders 0 to 4. A text's code length under a language is exact, under frozen
+counts (method C): a symbol that context c has seen costs -log2 n(c, s) / (n(c) + d(c)), where d(c) is the number of
+different symbols seen; any other escapes with d(c) / (n(c) + d(c)) to the next shorter context, whose probabilities are
+renormalised without the symbols that c has seen (exclusion), down to 1/256. The shortest code wins; ties go to the
+first language by name.
+
+Learning counts the strings of five bytes of whole texts, all shorter contexts being their sums. What is counted grows
+with the corpus, and so does the tree: strings of at least `support` occurrences are kept, which is 1 and the square
+root of the megabytes counted. The trees of all languages lie in arrays of sorted keys with one row of code lengths, a
+column a language, so that a byte of text is looked up once, not once a language.
+
+Scale: each task sums its counts before the shuffle, in bounded memory. What is collected and broadcast is at most
+`MOST` code lengths (strings times languages; the support rises where there would be more): the `LANGUAGES` languages
+with the most bytes are learned, which bounds what stray values of `lang` can cost; every row is predicted. Scoring
+is one pass without a shuffle.
 
 Defined cases: null text or text without a letter gives `und` and score 0; rows with a null lang or text, and
-held-out rows (also those with a null id), are not learned from; repeated rows count as often as they occur; with
-nothing to learn from every row is `und`; other columns of the input are ignored.
+held-out rows (also those with a null id), are not learned from; repeated rows count as often as they occur; texts of
+any length are read whole; with nothing to learn from every row is `und`; an empty table gives an empty result; other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -23,121 +32,175 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import as_bytes, chunks, held_out, read_table
-
-SYMBOLS = 64
-CELLS = SYMBOLS**3
-
-
-def _symbol_table() -> np.ndarray:
-    """White space 0, letters 1-26, digits 27, other ASCII 28, UTF-8 trail bytes 29-60 by their low five bits, lead bytes 61-63."""
-    out = np.zeros(256, np.uint8)
-    for b in range(256):
-        c = chr(b)
-        if b < 128:
-            out[b] = 0 if b <= 32 else ord(c.lower()) - 96 if c.isalpha() else 27 if c.isdigit() else 28
-        else:
-            out[b] = 29 + (b & 31) if b < 0xC0 else 61 if b < 0xC4 else 62 if b < 0xE0 else 63
-    return out
+from heddle.llm.common import as_bytes, chunks, held_out, materialize, read_table
+from heddle.llm.hashed import Counter, Index, support
 
-
-SYMBOL = _symbol_table()
+ORDER = 4
+LANGUAGES = 256
+MOST = 1 << 24
+#: What stands before a text.
+MARGIN = b"    "
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def context_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys symbol-2, symbol-1, symbol of every byte of the texts, and where each text starts. Before a text stands white space."""
-    joined = b"  ".join([b"", *texts])
-    length = np.array([len(x) for x in texts], np.int64)
-    s = SYMBOL[np.frombuffer(joined, np.uint8)].astype(np.int32)
-    if len(s) < 3:
-        return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-    keys = s[:-2] * 4096 + s[1:-1] * 64 + s[2:]
-    own = np.ones(len(keys), bool)  # the two keys that end in the next text's margin don't count
-    ends = np.cumsum(length + 2)[:-1] - 2
-    own[np.minimum(ends, len(keys))[ends < len(keys)]] = False
-    own[(ends + 1)[ends + 1 < len(keys)]] = False
-    return keys[own], np.cumsum(length) - length
+def strings(texts: list[bytes]) -> np.ndarray:
+    """The five bytes that end at every byte of the texts, text after text, as integers."""
+    joined = MARGIN.join([b"", *texts])
+    s = np.frombuffer(joined, np.uint8).astype(np.int64)
+    if len(s) <= ORDER:
+        return np.zeros(0, np.int64)
+    keys = s[4:] | s[3:-1] << 8 | s[2:-2] << 16 | s[1:-3] << 24 | s[:-4] << 32
+    own = np.ones(len(keys), bool)  # what ends in a margin is no string
+    ends = np.cumsum([len(x) + ORDER for x in texts[:-1]]).astype(np.int64) - ORDER
+    for k in range(ORDER):
+        own[ends + k] = False
+    return keys[own]
 
 
-def count_contexts(docs: DataFrame, key: str = "lang") -> DataFrame:
+def count_strings(docs: DataFrame) -> DataFrame:
     """(lang, key, n) over whole texts, summed in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
+        counts: dict[str, Counter] = {}
+
+        def rows(g: str) -> pa.RecordBatch:
+            key, n = counts[g].take()
+            return pa.RecordBatch.from_arrays([pa.array([g]).take(pa.array(np.zeros(len(key), np.int32))), pa.array(key), pa.array(n)], ["lang", "key", "n"])
+
         for batch in chunks(batches):
             by: dict[str, list[bytes]] = {}
-            for g, t in zip(batch.column(key).to_pylist(), as_bytes(batch.column("text")), strict=True):
+            for g, t in zip(batch.column("lang").to_pylist(), as_bytes(batch.column("text")), strict=True):
                 by.setdefault(g, []).append(t)
             for g, texts in by.items():
-                counts[g] = counts.get(g, 0) + np.bincount(context_keys(texts)[0], minlength=CELLS)
-        for g, c in counts.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([g] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "key", "n"])
-
-    return docs.select(key, "text").mapInArrow(run, "lang string, key int, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-
-
-def code_lengths(counts: np.ndarray) -> np.ndarray:
-    """Bits of each key under one language's frozen counts (CELLS long)."""
-    c3 = counts.reshape(SYMBOLS * SYMBOLS, SYMBOLS).astype(np.float64)
-    c2 = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).sum(axis=0).astype(np.float64)
-    c1 = c2.sum(axis=0)
-
-    def level(c: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        total, kinds = c.sum(axis=-1, keepdims=True), (c > 0).sum(axis=-1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = -np.log2(c / (total + kinds))
-            escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
-        return np.where(c > 0, seen, escape + lower)
-
-    bits1 = level(c1, np.full(SYMBOLS, np.log2(SYMBOLS)))
-    bits2 = level(c2, bits1[None, :])
-    return level(c3, np.tile(bits2, (SYMBOLS, 1)).reshape(SYMBOLS * SYMBOLS, SYMBOLS)).reshape(-1)
-
-
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and their code lengths, (CELLS, languages). At most CELLS rows a language reach the driver."""
-    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    got = count_contexts(known).toArrow()
+                counts.setdefault(g, Counter()).add(strings(texts))
+                if counts[g].full:
+                    yield rows(g)
+        for g in counts:
+            yield rows(g)
+
+    return docs.select("lang", "text").mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+
+
+class Tree:
+    """One language's contexts: for each order the sorted strings with their code lengths, and the sorted contexts with the cost of an escape."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.levels: list[tuple] = []
+        for k in range(ORDER + 1):
+            own, at = np.unique(keys & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            n = np.bincount(at, counts, minlength=len(own))
+            context, of = np.unique(own >> 8, return_inverse=True)
+            total, kinds = np.bincount(of, n, minlength=len(context)), np.bincount(of, minlength=len(context))
+            lower = self.cost(own & ((1 << 8 * k) - 1), k - 1)
+            shorter = np.bincount(of, np.exp2(-lower), minlength=len(context))  # what the next shorter context gives to symbols that this one has seen
+            bits = np.log2((total + kinds)[of] / n)
+            escape = np.log2((total + kinds) / kinds) + np.log2(np.maximum(1 - shorter, 2.0**-40))
+            self.levels.append((own, bits, context, escape))
+
+    def cost(self, keys: np.ndarray, k: int) -> np.ndarray:
+        """Code length of each string's last byte after the k bytes before it."""
+        if k < 0:
+            return np.full(len(keys), 8.0)
+        own, bits, context, escape = self.levels[k]
+        at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+        out = bits[at]
+        miss = np.flatnonzero(own[at] != keys)
+        if len(miss):
+            out[miss] = self.escape(keys[miss] >> 8, k) + self.cost(keys[miss] & ((1 << 8 * k) - 1), k - 1)
+        return out
+
+    def escape(self, contexts: np.ndarray, k: int) -> np.ndarray:
+        """Cost of leaving each context of order k: none where the language has never seen it."""
+        _, _, context, escape = self.levels[k]
+        at = np.minimum(np.searchsorted(context, contexts), len(context) - 1)
+        return np.where(context[at] == contexts, escape[at], 0.0)
+
+
+class Model:
+    """All languages' trees: rows of strings and of contexts, by order, with a column a language."""
+
+    def __init__(self, trees: dict[str, Tree]) -> None:
+        self.names = sorted(trees)
+        self.strings: list[tuple[Index, np.ndarray]] = []
+        self.contexts: list[tuple[Index, np.ndarray]] = []
+        for k in range(ORDER + 1 if trees else 0):
+            for out, which, of in ((self.strings, 0, Tree.cost), (self.contexts, 2, Tree.escape)):
+                keys = np.unique(np.concatenate([trees[g].levels[k][which] for g in self.names]))
+                out.append((Index(keys), np.stack([of(trees[g], keys, k) for g in self.names], axis=1).astype(np.float32)))
+
+    def bits(self, keys: np.ndarray) -> np.ndarray:
+        """(strings, languages): code length of each string's last byte."""
+        index, table = self.strings[ORDER]
+        at = index.find(keys)
+        out = table[np.maximum(at, 0)]
+        if len(left := np.flatnonzero(at < 0)):
+            out[left] = 0
+            for k in range(ORDER, -1, -1):
+                index, table = self.contexts[k]
+                at = index.find(keys[left] >> 8 & ((1 << 8 * k) - 1))
+                out[left] += np.where(at[:, None] >= 0, table[np.maximum(at, 0)], 0)
+                if not k:
+                    out[left] += 8
+                    break
+                index, table = self.strings[k - 1]
+                at = index.find(keys[left] & ((1 << 8 * k) - 1))
+                hit = at >= 0
+                out[left[hit]] += table[at[hit]]
+                left = left[~hit]
+                if not len(left):
+                    break
+        return out
+
+
+def train(docs: DataFrame) -> Model:
+    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("lang", "text")
+    sizes = known.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not sizes:
+        return Model({})
+    counts = materialize(count_strings(known.filter(F.col("lang").isin([r["lang"] for r in sizes]))), "language-strings")
+    histogram = {1 << r["p"]: r["n"] for r in counts.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).agg(F.count("*").alias("n")).collect()}
+    least = support(sum(r["n"] for r in sizes), histogram, MOST // len(sizes))
+    got = counts.filter(F.col("n") >= least).toArrow()
     lang, key, n = (got.column(x).to_numpy(zero_copy_only=False) for x in ("lang", "key", "n"))
-    names = sorted(set(lang.tolist()))
-    table = np.zeros((CELLS, len(names)), np.float32)
-    for i, g in enumerate(names):
-        counts = np.zeros(CELLS, np.int64)
-        counts[key[lang == g]] = n[lang == g]
-        table[:, i] = code_lengths(counts)
-    return names, table
+    return Model({g: Tree(key[lang == g], n[lang == g]) for g in sorted(set(lang.tolist()))})
 
 
-def predict(docs: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
+def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, bits_per_byte): score is the winner's share of the posterior over all languages."""
-    model = docs.sparkSession.sparkContext.broadcast((names, table))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, table = model.value
-        for batch in chunks(batches, limit=1 << 20):
+        own = shared.value
+        names = np.array(own.names, object)
+        for batch in chunks(batches, limit=1 << 19):
             texts = as_bytes(batch.column("text"))
-            keys, starts = context_keys(texts)
-            length = np.array([len(x) for x in texts])
-            lettered = np.array([bool(_LETTER.search(x.decode("utf-8", "replace"))) for x in texts], bool)
             pred, score, rate = np.array(["und"] * len(texts), object), np.zeros(len(texts)), np.zeros(len(texts))
-            use = np.flatnonzero(lettered) if names else np.zeros(0, np.int64)
-            if len(use):
-                full = np.flatnonzero(length > 0)
-                bits = np.zeros((len(texts), len(names)))
-                bits[full] = np.stack([np.add.reduceat(table[keys, i].astype(np.float64), starts[full]) for i in range(len(names))], axis=1)
-                best = bits.argmin(axis=1)
+            use = [i for i, x in enumerate(texts) if _LETTER.search(x.decode("utf-8", "replace"))] if len(names) else []
+            if use:
+                bits = code_lengths(own, [texts[i] for i in use])
                 least = bits.min(axis=1)
-                share = 1 / np.exp2(-np.minimum(bits - least[:, None], 1000)).sum(axis=1)
-                pred[use] = np.array(names, object)[best[use]]
-                score[use], rate[use] = share[use], least[use] / length[use]
+                pred[use] = names[bits.argmin(axis=1)]
+                score[use] = 1 / np.exp2(-np.minimum(bits - least[:, None], 1000)).sum(axis=1)
+                rate[use] = least / np.array([len(texts[i]) for i in use])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(score), pa.array(rate)], ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
 
 
+def code_lengths(model: Model, texts: list[bytes], block: int = 1 << 18) -> np.ndarray:
+    """(texts, languages): bits of each whole text (none empty), a block of bytes at a time."""
+    keys, length = strings(texts), np.array([len(t) for t in texts], np.int64)
+    start = np.cumsum(length) - length
+    out = np.zeros((len(texts), len(model.names)))
+    for s in range(0, len(keys), block):
+        e = min(len(keys), s + block)
+        first, last = np.searchsorted(start, s, "right") - 1, np.searchsorted(start, e, "left")
+        bits = model.bits(keys[s:e])
+        out[first:last] += np.add.reduceat(bits, np.maximum(start[first:last] - s, 0), axis=0, dtype=np.float64)
+    return out
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return predict(docs, *train(docs))
+    return predict(docs, train(docs))

@@ -17,7 +17,7 @@ import numpy as np
 import pytest
 from tests.llm.helpers import by_id, documents
 
-from heddle.llm import bpe, language, media, quality, secrets, toxicity
+from heddle.llm import bpe, media, quality, secrets, toxicity
 
 ODD = [(1, None), (2, ""), (3, " \n\t "), (None, "no id here"), (4, "x"), (4, "x"), (5, "été ñandú 日本 🙂 " * 400), (6, "a" * 30000)]
 
@@ -180,33 +180,6 @@ def test_media_on_tables(spark):
     assert media.text_media(documents(spark, ODD), "bmp").filter("doc_id = 4").first()["media_bytes"] > 1000
 
 
-# --- language --------------------------------------------------------------------------------------------------------
-
-
-def test_context_keys_and_code_lengths():
-    keys, starts = language.context_keys([b"", b"ab", b"", b"b"])
-    a, b = language.SYMBOL[97], language.SYMBOL[98]
-    assert keys.tolist() == [a, a * 64 + b, b] and starts.tolist() == [0, 0, 2, 2]
-    counts = np.bincount(language.context_keys([b"abab abba"])[0], minlength=language.CELLS)
-    bits = language.code_lengths(counts)
-    # context (a, b): followed once by a, once by space and once by b: each 1 / (3 + 3); the escape takes the other half
-    ab = int(a) * 4096 + int(b) * 64
-    assert np.isclose(bits[ab + int(a)], -np.log2(1 / 6)) and bits[ab + 5] > 1
-
-
-def test_languages_on_tables(spark):
-    words = {"aa": "lor ips dol amet ", "bb": "xyz qwk zzz kwx "}
-    rows = [(i, words[g] * (1 + i % 3), g) for i in range(120) for g in ["aa" if i % 2 else "bb"]]
-    docs = documents(spark, [*rows, (1000, None, "aa"), (1001, "12 345 !", "bb"), (1002, "lor ips", None), (None, "xyz qwk", "aa")])
-    out = {r["doc_id"]: r for r in language.predict(docs, *language.train(docs)).collect()}
-    assert all(out[i]["lang_pred"] == g for i, _, g in rows)
-    assert out[1000]["lang_pred"] == out[1001]["lang_pred"] == "und" and out[1000]["score"] == 0
-    assert out[1002]["lang_pred"] == "aa" and out[None]["lang_pred"] == "bb" and out[None]["held_out"]
-    assert all(out[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, *_ in rows)
-    none = documents(spark, [])
-    assert language.predict(docs, *language.train(none)).filter("lang_pred <> 'und'").count() == 0
-
-
 # --- quality ---------------------------------------------------------------------------------------------------------
 
 
