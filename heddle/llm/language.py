@@ -25,7 +25,7 @@ columns of the input are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +57,8 @@ def strings(texts: list[bytes]) -> np.ndarray:
     return keys[own]
 
 
-def count_strings(docs: DataFrame) -> DataFrame:
-    """(lang, key, n) over whole texts, summed in each task before the shuffle."""
+def count_strings(docs: DataFrame, learned: Callable[[bytes], bytes] = bytes) -> DataFrame:
+    """(lang, key, n) over whole texts, as `learned` gives them, summed in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
@@ -70,7 +70,8 @@ def count_strings(docs: DataFrame) -> DataFrame:
         for batch in chunks(batches):
             by: dict[str, list[bytes]] = {}
             for g, t in zip(batch.column("lang").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                by.setdefault(g, []).append(t)
+                if t := learned(t):
+                    by.setdefault(g, []).append(t)
             for g, texts in by.items():
                 counts.setdefault(g, Counter()).add(strings(texts))
                 if counts[g].full:

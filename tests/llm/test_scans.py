@@ -17,7 +17,7 @@ import numpy as np
 import pytest
 from tests.llm.helpers import by_id, documents
 
-from heddle.llm import bpe, media, quality, secrets, toxicity
+from heddle.llm import bpe, media, secrets, toxicity
 
 ODD = [(1, None), (2, ""), (3, " \n\t "), (None, "no id here"), (4, "x"), (4, "x"), (5, "été ñandú 日本 🙂 " * 400), (6, "a" * 30000)]
 
@@ -180,54 +180,6 @@ def test_media_on_tables(spark):
     assert media.text_media(documents(spark, ODD), "bmp").filter("doc_id = 4").first()["media_bytes"] > 1000
 
 
-# --- quality ---------------------------------------------------------------------------------------------------------
-
-
-def brute_counts(t):
-    w = re.findall(r"[^\x20\x09-\x0D]+", t)
-    seen, dup = set(), 0
-    for line in t.split("\n"):
-        if re.search(r"[^\x20\x09-\x0D]", line):
-            dup += line in seen
-            seen.add(line)
-    n = Counter(zip(w, w[1:], w[2:], strict=False))
-    cover = {j for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
-    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(cover)
-
-
-def test_quality_counts_equal_brute_force():
-    rng = random.Random(4)
-    for _ in range(1500):
-        t = "".join(rng.choice(["a", "b ", "é", " ", "\n", "a b c ", "#", "|", "\x0b", " ", "🙂"]) for _ in range(rng.randint(0, 60)))
-        assert quality.text_counts(t.encode()) == brute_counts(t)
-
-
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(0)
-    keys = rng.integers(0, 32**4, 4000)
-    counts = rng.integers(1, 9, 4000)
-    at, inverse = np.unique(keys, return_inverse=True)
-    model = quality.KneserNey(at, np.bincount(inverse, counts).astype(int))
-    p = np.exp2(-model.bits().astype(float)).reshape(-1, 32)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
-    for keys, *_ in model.levels:
-        assert (np.diff(keys) > 0).all()
-
-
-def test_quality_on_tables(spark):
-    rng = random.Random(8)
-    word = lambda: "".join(rng.choice(["ba", "ne", "to", "ri", "su"]) for _ in range(rng.randint(1, 3)))
-    clean = [(i, " ".join(word() for _ in range(80)) + ".", "aa") for i in range(60)]
-    junk = (900, " ".join(f"{word()}%%%|$$$" for _ in range(80)), "aa")
-    docs = documents(spark, [*clean, junk, (901, None, "aa"), (902, "", None), (903, "ne to " * 100, "aa"), (None, clean[0][1], "aa"), (0, clean[0][1], "aa")])
-    rows = quality.judge(docs).collect()
-    out = {r["doc_id"]: r for r in rows}
-    assert len(rows) == docs.count()
-    assert sum(out[i]["kept"] for i, *_ in clean) >= 58 and not out[900]["kept"] and not out[900]["base_failed"]
-    assert out[901]["base_failed"] and out[902]["n_words"] == 0 and out[902]["bits"] is None and out[903]["base_failed"]
-    assert quality.judge(documents(spark, [])).count() == 0
-
-
 # --- toxicity --------------------------------------------------------------------------------------------------------
 
 
