@@ -200,7 +200,34 @@ def test_levenshtein_automaton_equals_brute_force():
         word = "".join(rng.choice("abcd") for _ in range(rng.randint(0, 7)))
         for edits in (0, 1, 2):
             best = min(((distance(word, t), i) for i, t in enumerate(terms)), default=None)
-            assert trie.within(word, edits) == (best if best[0] <= edits else None)
+            assert trie.within(word, edits) == ((best[0], "", best[1]) if best[0] <= edits else None)
+    stems = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(3, 6))) for _ in range(12)})
+    trie = toxicity.Trie([], stems)
+    for _ in range(2000):
+        word = "".join(rng.choice("abcd") for _ in range(rng.randint(0, 9)))
+        near = [(distance(word[:n], t), i) for i, t in enumerate(stems) for n in range(1, len(word) + 1) if word[0] == t[0] and word[n - 1] == t[-1]]
+        best = min(near, default=(9, 0))
+        assert trie.within(word) == ((best[0], "*", best[1]) if best[0] <= 1 else None)
+
+
+def test_misspelled_terms_stems_and_short_words():
+    own = toxicity.Lexicon(["grumbler", "dolt"], [3.0, 2.0], {"snark": 4.0, "vek": 5.0}).prepare()
+    assert own.look_up("grumbler") == (3.0, True) and own.look_up("grumblor") == (3.0, False) and own.look_up("grmbler") == (3.0, False)
+    assert own.look_up("snarkles") == (4.0, True) and own.look_up("snerkles") == (4.0, False) and own.look_up("snaark") == (4.0, False) and own.look_up("snar") is None and own.look_up("snarble") is None
+    assert own.look_up("doolt") == (2.0, False) and own.look_up("dollt") == (2.0, False) and own.look_up("bolt") is None
+    assert own.look_up("vvekka") == (5.0, False) and own.look_up("vokka") is None
+    lexicon = toxicity.Lexicon([], [], {f"abuse{c}": 1.0 for c in "xyz"})
+    own = lexicon.prepare()
+    rng = random.Random(2)
+    for _ in range(3000):  # what the screen lets through is what the automaton finds
+        word = "".join(rng.choice("abusexq") for _ in range(rng.randint(3, 9)))
+        exact = next((w for w in lexicon.stems if word.startswith(w)), None)
+        assert (own.look_up(word) is not None) == (exact is not None or own.trie.within(word) is not None)
+
+
+def test_cues_are_learned_from_clean_documents():
+    assert toxicity.choose_cues({"said": 1, "the": 90}, {"said": 60, "the": 95, "rare": 5}, 100, 100) == ["said"]
+    assert toxicity.choose_cues({}, {"said": 9}, 0, 10) == []
 
 
 def test_toxicity_on_tables(spark):
@@ -221,3 +248,6 @@ def test_toxicity_on_tables(spark):
     assert kept.columns == docs.columns and kept.filter("doc_id = 0").count() == 0 and kept.filter("doc_id = 1").count() == 2
     nothing = toxicity.train(docs, labels.filter("toxic = 0"))
     assert toxicity.score(docs, nothing).filter("score > 0").count() == 0
+    long = documents(spark, [(1, text() + " " + "word " * 300_000 + text("grumbler", "snarkle"))])
+    assert 0 <= toxicity.score(long, lexicon).first()["score"] <= 1
+    assert toxicity.score(documents(spark, []), lexicon).count() == 0 and toxicity.drop_toxic(documents(spark, []), lexicon).count() == 0
