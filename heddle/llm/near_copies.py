@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -210,17 +211,28 @@ def candidates(rows: DataFrame, similarity: float, span: bool) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, packed): each text, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in chunks(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([squeeze(t) for t in as_bytes(batch.column("text"))], pa.binary())], ["doc_id", "packed"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, packed binary")
+
+
+def verified(pairs: DataFrame, packed: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) of doc_ids whose texts' word shingles have at least the Jaccard similarity."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = pairs.join(texts.withColumnRenamed("doc_id", "a").withColumnRenamed("text", "text_a"), "a")
-    both = first.join(texts.withColumnRenamed("doc_id", "b").withColumnRenamed("text", "text_b"), "b").select("a", "b", "text_a", "text_b")
+    first = pairs.join(packed.select(F.col("doc_id").alias("a"), F.col("packed").alias("text_a")), "a")
+    both = first.join(packed.select(F.col("doc_id").alias("b"), F.col("packed").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text_a"):
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in chunks(batches, "text_a", 1 << 20):
             keep = []
-            for x, y in zip(as_bytes(batch.column("text_a")), as_bytes(batch.column("text_b")), strict=True):
-                s, t = shingle_set(x, size), shingle_set(y, size)
+            for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
+                s, t = shingle_set(expand(x), size), shingle_set(expand(y), size)
                 keep.append(len(s & t) >= similarity * len(s | t) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -240,12 +252,15 @@ def near_copy_links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMIL
     same = nodes.select("node", "fp").join(by_fp, "fp").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     close = materialize(heads.unionByName(same), "copies-fp")
     live = materialize(shared_keys(nodes).join(nodes.select("node", "n", "bits"), "node"), "copies-keys")
+    wanted = live.select("node").distinct().hint("merge")
+    texts = packed_texts(docs)
+    packed = materialize(texts.join(wanted, texts["doc_id"] == wanted["node"], "left_semi"), "copies-texts")
     first = materialize(candidates(live.withColumn("root", F.col("node")), similarity, True), "copies-first")
-    edges = materialize(close.unionByName(verified(first, docs, similarity=similarity)), "copies-verified")
+    edges = materialize(close.unionByName(verified(first, packed, similarity=similarity)), "copies-verified")
     root = components(edges, "copies-links")
     apart = live.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rest = materialize(candidates(apart, similarity, False).join(first, ["a", "b"], "left_anti"), "copies-rest")
-    return edges.unionByName(verified(rest, docs, similarity=similarity))
+    return edges.unionByName(verified(rest, packed, similarity=similarity))
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

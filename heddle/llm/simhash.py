@@ -17,7 +17,8 @@ times. Buckets hold distinct fingerprints that agree on 25 or 26 bits; beyond so
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; fewer words than a shingle give one
 shingle of all words; repeated rows are copies; rows with a null doc_id are fingerprinted and take the component of
-their copies; the smallest doc_id names a component; other columns are ignored.
+their copies; the smallest doc_id names a component; rows that repeat an id with another text are rows of their own;
+texts of any length are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from heddle.llm.common import as_bytes, chunks, materialize, read_table
 SEED = 42
 MAX_BITS = 3
 PIVOTS = 24
+#: Tasks that the rows of one hot key are dealt to in a join.
+SALT = 8
 
 
 def simhash(text: bytes, size: int = 3) -> int:
@@ -166,6 +169,12 @@ def links(distinct: DataFrame, blocks: int = 5, max_bits: int = MAX_BITS) -> Dat
     return sorted_rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _salted(rows: DataFrame, table: DataFrame, key: str, spread: str) -> DataFrame:
+    """rows joined with a table of one row a key; a hot key's rows are dealt to `SALT` tasks."""
+    many = table.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALT)))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALT)).cast("int")).join(many, [key, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(node, root): the smallest node of each connected component, for the nodes that have an edge.
 
@@ -177,9 +186,9 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _salted(both.filter("b > a"), low, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(lower.select("a", F.col("m").alias("b")))
+        small = _salted(large, lower, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(lower.select("a", F.col("m").alias("b")))
         edges = materialize(small.distinct(), tag)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
@@ -195,7 +204,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, blocks: int = 5, max_bits: i
     member = distinct.join(root, distinct["fp"] == root["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     known = member.join(named, "root").select("fp", "component_id")
-    return rows.join(known, "fp").select("doc_id", "fp", "component_id")
+    return _salted(rows, known, "fp", "doc_id").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, size: int = 3) -> DataFrame:

@@ -107,5 +107,6 @@ def test_parity_bitmaps_never_differ_in_more_bits_than_sets():
 def test_verification_is_exact(spark):
     docs = documents(spark, [(1, "a b c d e f g h i j k l"), (2, "a b c d e f g h i j k x"), (3, "A  b c d\ne f g h i j k l"), (4, None), (5, "")])
     pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "a long, b long")
-    assert by_id(near_copies.verified(pairs, docs), "a", "b") == [(1, 3)]
-    assert by_id(near_copies.verified(pairs, docs, 5, 0.7), "a", "b") == [(1, 2), (1, 3)]
+    packed = near_copies.packed_texts(docs)
+    assert by_id(near_copies.verified(pairs, packed), "a", "b") == [(1, 3)]
+    assert by_id(near_copies.verified(pairs, packed, 5, 0.7), "a", "b") == [(1, 2), (1, 3)]
