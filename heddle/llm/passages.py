@@ -15,7 +15,7 @@ windows with a hot anchor (see anchors.py), by 128 bits of hash. Scale: texts ar
 with map-side sums; no task sees all of a common passage, at most the different stretches around one anchor of at most
 `HOT` texts.
 
-Defined cases: a null text is the empty text; fewer than 20 words lose none; a null doc_id comes after all others;
+Defined cases: a null text is the empty text; fewer than 20 words lose none; texts of any length are read whole; a null doc_id comes after all others;
 rows that repeat an id and a text are one document stated twice, with the same result; rows that repeat an id with
 another text are ordered by a hash of the text; other columns are ignored; an empty table gives an empty result.
 """
@@ -23,8 +23,7 @@ another text are ordered by a hash of the text; other columns are ignored; an em
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -33,8 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.anchors import HOT, distinct_texts, keyed, repeated_anchors, segments, unpacked, whole_groups, with_ranges
-from heddle.llm.common import read_table
+from heddle.llm.anchors import HOT, by_row, distinct_texts, keyed, repeated_anchors, segments, unpacked, whole_groups, with_ranges
+from heddle.llm.common import as_bytes, chunks, read_table
 
 WINDOW = 20
 GRAM = 8
@@ -42,17 +41,23 @@ SHARD = 20_000
 
 
 def word_units(text: bytes) -> np.ndarray:
-    return np.array(list(map(xxhash.xxh64_intdigest, text.split())), np.uint64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, text.split()), np.uint64)
 
 
-def cut_words(text: bytes, first: np.ndarray, end: np.ndarray) -> list[bytes]:
-    """The words [first, end) of a text, joined by one space, for each stretch."""
-    if not len(first):
-        return []
-    words = text.split()
-    joined = b" ".join(words)
-    at = [0, *accumulate(len(w) + 1 for w in words)]
-    return [joined[at[a] : at[b] - 1] for a, b in zip(first.tolist(), end.tolist(), strict=True)]
+def cut_words(text: bytes) -> Callable[[np.ndarray, np.ndarray], list[bytes]]:
+    """Of a text, a function that gives the words [first, end), joined by one space, for each stretch."""
+    made: list = []
+
+    def cut(first: np.ndarray, end: np.ndarray) -> list[bytes]:
+        if not len(first):
+            return []
+        if not made:
+            words = text.split()
+            made.extend((b" ".join(words), np.cumsum([0, *(len(w) + 1 for w in words)])))
+        joined, at = made
+        return [joined[a:b] for a, b in zip(at[first].tolist(), (at[end] - 1).tolist(), strict=True)]
+
+    return cut
 
 
 def automata(phrases: list[tuple[int, ...]]) -> Iterator[ahocorasick.Automaton]:
@@ -118,8 +123,11 @@ def removed_ranges(found: DataFrame) -> DataFrame:
 
     located = dealt.mapInArrow(run, "key long, id long, first int, last int")
     # every other occurrence of a stretch repeats the first; occurrences are told apart by place, which no hot passage shares
-    later = found.select("key", "id", "start", "units").join(distinct.select("m.key", "m.id", "m.start"), ["key", "id", "start"], "left_anti")
-    return located.unionByName(later.select("key", "id", F.col("start").alias("first"), (F.col("start") + F.col("units")).alias("last")))
+    own = F.struct("start", F.col("start").alias("first"), (F.col("start") + F.col("units")).alias("last"))
+    within = F.transform("again", lambda r: F.struct(F.lit(-1).alias("start"), r["first"].alias("first"), r["last"].alias("last")))  # start -1: nobody's first
+    spans = found.select("key", "id", F.explode(F.when(F.col("again").isNull(), F.array(own)).otherwise(F.concat(F.array(own), within))).alias("r")).select("key", "id", "r.start", "r.first", "r.last")
+    later = spans.join(distinct.select("m.key", "m.id", "m.start"), ["key", "id", "start"], "left_anti")
+    return located.unionByName(later.select("key", "id", "first", "last"))
 
 
 def _runs(starts: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
@@ -133,7 +141,7 @@ def _runs(starts: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-RESULT = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("ranges", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))])
+RESULT = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("ranges", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))])
 
 
 def remove_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -143,6 +151,13 @@ def remove_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
     hits = repeated_anchors(base, word_units, WINDOW, GRAM, hot)
     ranges = removed_ranges(segments(base, hits, word_units, cut_words, WINDOW, GRAM))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words of each text, and for a text too short to lose any the digest of its words."""
+        for batch in chunks(batches):
+            words = [t.split() for t in as_bytes(batch.column("text"))]
+            digest = [hashlib.sha256(b" ".join(w)).hexdigest() if len(w) < WINDOW else None for w in words]
+            yield pa.RecordBatch.from_arrays([*batch.select(["doc_id", "id", "t1", "t2"]).columns, pa.array([len(w) for w in words], pa.int64()), pa.array(digest, pa.string())], ["doc_id", "id", "t1", "t2", "n", "digest"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in unpacked(batches):
             n, removed, digest, spans = [], [], [], []
@@ -163,12 +178,16 @@ def remove_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 removed.append(len(words) - len(kept))
                 digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
                 spans.append([{"first": a, "last": b} for a, b in gone])
-            yield pa.RecordBatch.from_arrays([batch.column("t1"), batch.column("t2"), *(pa.array(x, f.type) for x, f in zip((n, removed, digest, spans), list(RESULT)[2:], strict=True))], schema=RESULT)
-
-    of_text = with_ranges(base, ranges).mapInArrow(run, "t1 long, t2 long, n_words long, n_removed long, kept_sha256 string, ranges array<struct<first: int, last: int>>")
-    copy = (F.col("id") > F.col("first_id")) & (F.col("n_words") >= WINDOW)
-    out = rows.select("doc_id", "id", "t1", "t2").join(firsts, ["t1", "t2"]).join(of_text.dropDuplicates(["t1", "t2"]), ["t1", "t2"])
-    return out.select("doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"), F.when(copy, F.array(F.struct(F.lit(0).alias("first"), F.col("n_words").cast("int").alias("last")))).otherwise(F.col("ranges")).alias("ranges"))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(x, f.type) for x, f in zip((n, removed, digest, spans), list(RESULT)[1:], strict=True))], schema=RESULT)
+
+    of_text = with_ranges(base, ranges).mapInArrow(run, "key long, n_words long, n_removed long, kept_sha256 string, ranges array<struct<first: int, last: int>>")
+    # a copy is no first row: it has no line in of_text, and all its windows started in the first
+    own = by_row(rows.mapInArrow(count, "doc_id long, id long, t1 long, t2 long, n long, digest string"), firsts, of_text.drop("n_words"))
+    copy, n = F.col("copies").isNull(), F.col("n")
+    pick = lambda whole, none, other: F.when(copy & (n >= WINDOW), whole).when(copy, none).otherwise(other)
+    none = F.array().cast("array<struct<first: int, last: int>>")
+    all_of_it = F.array(F.struct(F.lit(0).alias("first"), n.cast("int").alias("last")))
+    return own.select("doc_id", n.alias("n_words"), pick(n, F.lit(0).cast("long"), F.col("n_removed")).alias("n_removed"), pick(F.sha2(F.lit(""), 256), F.col("digest"), F.col("kept_sha256")).alias("kept_sha256"), pick(all_of_it, none, F.col("ranges")).alias("ranges"))
 
 
 def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

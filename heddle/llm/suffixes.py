@@ -21,20 +21,20 @@ anchors.py), by 128 bits of hash. Scale: texts are shuffled once; anchors are co
 one for some 170 bytes; a bucket holds at most the different stretches around anchors of at most `HOT` texts.
 
 Defined cases: a null text is the empty text; shorter texts lose nothing; rows that repeat a text, even with the same
-doc_id, are copies; null ids are ids like any other; other columns are ignored; an empty table gives an empty result.
+doc_id, are copies; null ids are ids like any other; texts of any length are read whole; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.anchors import HOT, distinct_texts, keyed, mix, repeated_anchors, segments, unpacked, whole_groups, with_ranges
+from heddle.llm.anchors import HOT, by_row, distinct_texts, keyed, mix, repeated_anchors, segments, unpacked, whole_groups, with_ranges
 from heddle.llm.common import as_bytes, read_table
 
 WINDOW = 400
@@ -46,8 +46,8 @@ def byte_units(text: bytes) -> np.ndarray:
     return _BYTE[np.frombuffer(text, np.uint8)]
 
 
-def cut_bytes(text: bytes, first: np.ndarray, end: np.ndarray) -> list[bytes]:
-    return [text[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)]
+def cut_bytes(text: bytes) -> Callable[[np.ndarray, np.ndarray], list[bytes]]:
+    return lambda first, end: [text[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)]
 
 
 def padded(parts: list[bytes], width: int) -> np.ndarray:
@@ -56,27 +56,31 @@ def padded(parts: list[bytes], width: int) -> np.ndarray:
 
 
 def multikey_quicksort(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Order of byte rows within their groups (groups in ascending order).
+    """Order of byte rows within their groups (groups in ascending order), equal rows in the order given.
 
-    One level looks at eight bytes of the rows that are still undecided, all their groups at once, and splits each
-    group into those that are less, equal and greater by that word; only groups of equal rows go on.
+    Every undecided group takes the word (eight bytes) of its middle row at the group's level as a pivot and splits in
+    three by it; rows that are equal to the pivot go on with the next word, the others stay at their level. All groups
+    are split at once; one of a single row, or of rows with no word left, is decided.
     """
     words = np.ascontiguousarray(rows[:, : rows.shape[1] // 8 * 8]).view(">u8").astype(np.uint64)
     order = np.argsort(group, kind="stable")
-    tie = np.concatenate([[False], group[order][1:] == group[order][:-1]])  # equal to its predecessor so far
-    for level in range(words.shape[1]):
-        start = ~tie
-        open_ = tie | np.concatenate([tie[1:], [False]])
-        at = np.flatnonzero(open_)
-        if not len(at):
-            break
-        which = np.cumsum(start)[at]
-        word = words[order[at], level]
-        by = np.lexsort((word, which))
-        order[at] = order[at][by]
-        word, which = word[by], which[by]
-        tie[at] = np.concatenate([[False], (word[1:] == word[:-1]) & (which[1:] == which[:-1])])
-    return order
+    start = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate([start, [len(order)]]))
+    level = np.zeros(len(start), np.int64)
+    while True:
+        left = (size > 1) & (level < words.shape[1])
+        start, size, level = start[left], size[left], level[left]
+        if not len(start):
+            return order
+        of = np.repeat(np.arange(len(start)), size)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + start[of]
+        own = order[at]
+        word, pivot = words[own, level[of]], words[order[start + size // 2], level]
+        side = 3 * of + 1 + (word > pivot[of]) - (word < pivot[of]).astype(np.int64)
+        order[at] = own[np.argsort(side, kind="stable")]
+        size = np.bincount(side, minlength=3 * len(start))
+        start = np.repeat(start, 3) + (np.cumsum(size.reshape(-1, 3), axis=1) - size.reshape(-1, 3)).reshape(-1)
+        level = np.repeat(level, 3) + np.tile([0, 1, 0], len(level))
 
 
 def common_lengths(rows: np.ndarray, order: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -125,7 +129,8 @@ def recurring_ranges(stretches: list[bytes], shift: np.ndarray, group: np.ndarra
 def covered(found: DataFrame) -> DataFrame:
     """(key, id, first, last): bytes [first, last) of the texts that recurring windows cover."""
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = found.groupBy("anchor", "stretch", "shift", "units").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+    times = F.when(F.col("again").isNull(), 1).otherwise(2)
+    distinct = found.groupBy("anchor", "stretch", "shift", "units").agg(F.sum(times).alias("copies"), F.first("text").alias("text"))
     lead = F.when(F.col("text") == F.lit(b""), F.unhex(F.hex("anchor"))).otherwise(F.substring("text", F.col("shift") + 1, F.lit(GRAM)))  # windows of hot anchors go anywhere
     dealt = distinct.withColumn("lead", lead).repartitionByRange(n, "lead").sortWithinPartitions("lead", "anchor").drop("lead")
 
@@ -145,7 +150,9 @@ def covered(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(low[got].astype(np.int32)), pa.array(high[got].astype(np.int32))], ["anchor", "stretch", "low", "high"])
 
     ranges = dealt.mapInArrow(run, "anchor long, stretch long, low int, high int")
-    return found.select("anchor", "stretch", "key", "id", "start").join(ranges, ["anchor", "stretch"]).select("key", "id", (F.col("start") + F.col("low")).alias("first"), (F.col("start") + F.col("high")).alias("last"))
+    here = F.array(F.struct((F.col("start") + F.col("low")).alias("first"), (F.col("start") + F.col("high")).alias("last")))
+    both = found.select("anchor", "stretch", "key", "id", "start", "again").join(ranges, ["anchor", "stretch"])
+    return both.select("key", "id", F.explode(F.concat(here, F.coalesce("again", F.array().cast("array<struct<first: int, last: int>>")))).alias("r")).select("key", "id", "r.first", "r.last")
 
 
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -175,13 +182,17 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 removed.append(sum(b - a for a, b in gone))
                 digest.append(kept.hexdigest())
                 runs.append([{"first": a, "last": b} for a, b in gone])
-            yield pa.RecordBatch.from_arrays([batch.column("t1"), batch.column("t2"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(runs, spans)], ["t1", "t2", "n_bytes", "n_removed", "kept_sha256", "ranges"])
-
-    of_text = with_ranges(base, ranges).mapInArrow(run, "t1 long, t2 long, n_bytes long, n_removed long, kept_sha256 string, ranges array<struct<first: int, last: int>>")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= WINDOW)
-    out = rows.select("doc_id", "t1", "t2").join(firsts, ["t1", "t2"]).join(of_text.dropDuplicates(["t1", "t2"]), ["t1", "t2"])
-    all_of_it = F.array(F.struct(F.lit(0).alias("first"), F.col("n_bytes").cast("int").alias("last")))
-    out = out.select("doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"), F.when(whole, all_of_it).otherwise(F.col("ranges")).alias("ranges"))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(runs, spans)], ["key", "n_bytes", "n_removed", "kept_sha256", "ranges"])
+
+    of_text = with_ranges(base, ranges).mapInArrow(run, "key long, n_bytes long, n_removed long, kept_sha256 string, ranges array<struct<first: int, last: int>>")
+    # a copy is no first row: it has no line in of_text, and its text occurs elsewhere
+    own = by_row(rows.withColumn("n", F.octet_length("text").cast("long")).withColumn("digest", F.sha2("text", 256)).drop("text"), firsts, of_text.drop("n_bytes"))
+    copied = F.coalesce("copies", F.lit(2)) > 1
+    gone, same = copied & (F.col("n") >= WINDOW), copied & (F.col("n") < WINDOW)
+    pick = lambda whole, none, other: F.when(gone, whole).when(same, none).otherwise(other)
+    none = F.array().cast("array<struct<first: int, last: int>>")
+    all_of_it = F.array(F.struct(F.lit(0).alias("first"), F.col("n").cast("int").alias("last")))
+    out = own.select("doc_id", F.col("n").alias("n_bytes"), pick(F.col("n"), F.lit(0).cast("long"), F.col("n_removed")).alias("n_removed"), pick(F.sha2(F.lit(""), 256), F.col("digest"), F.col("kept_sha256")).alias("kept_sha256"), pick(all_of_it, none, F.col("ranges")).alias("ranges"))
     return out.withColumn("n_spans", F.size("ranges").cast("long"))
 
 
