@@ -5,11 +5,14 @@ escapes, base64 runs and compressed data inside them, layer by layer, until noth
 before (same content at the same place) is not taken again, which ends cycles. Every layer is rescanned, and a span
 found in it is mapped back to code points of the original text through all layers above it.
 
-One pass without a shuffle: hot sources, copies and lost executors cost nothing. A compressed layer is read up to
-`MAX_LAYER` bytes over all its members (a bound against decompression bombs; the text itself is always scanned whole).
-
-Defined cases: a null text is the empty text; empty texts have no spans; spans are sorted by start, then by kind in
-the order of KINDS, then by end; repeated rows give repeated results; other columns are ignored or passed through.
+One pass without a shuffle: hot sources, copies and lost executors cost nothing. Compressed data of any size (gzip, zlib,
+bzip2, xz, Zstandard; all members) are read as a stream, in windows that end between runs: memory is bounded by `LONGEST`,
+the length from which a single run without an end is cut. `DEEPEST` compressions may stand directly within one another.
+Decoded data may be UTF-8, ASCII as UTF-16, or have readable parts among others. Base64 runs of fewer than `SHORTEST`
+characters are not opened.
+
+Defined cases: a null text is the empty text; empty texts have no spans; texts of any length are scanned whole; spans are sorted by start, then by kind in
+the order of KINDS, then by end; repeated rows give repeated results; an empty table gives an empty result; other columns are ignored or passed through.
 """
 
 from __future__ import annotations
@@ -20,32 +23,41 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm.common import as_texts, chunks, read_table
 
 KINDS = ("assign", "access", "hex")
-MAX_LAYER = 64 << 20
+#: Bytes of compressed data's content that are read, and scanned, at once; a run without an end is cut at LONGEST.
+PIECE, WINDOW, LONGEST = 1 << 16, 1 << 22, 1 << 24
+#: Compressions directly within one another.
+DEEPEST = 64
+#: Characters of a base64 run: twelve bytes can hold no secret and its key.
+SHORTEST = 16
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _CUE = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|\\([0-3][0-7]{2})")
+_URL_MAGIC = re.compile(r"%1[fF]%8[bB]|(?:x|%78)%(?:01|9[cC]|[dD][aA])|(?:x|%78)(?:%5[eE]|\^)|BZh[1-9]1AY|%[fF][dD]7zXZ|(?:\(|%28)%[bB]5(?:/|%2[fF])%[fF][dD]")
+_URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2}|[!-$&-~])+")
+_URL_BYTE = re.compile(r"%[0-9A-Fa-f]{2}|.")
+_BETWEEN = re.compile(rb"[^A-Za-z0-9+/_.=%&#;:\\\x20\r\n\t\x00\x80-\xff'\"-]")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 #: The same over line breaks, and a line of it.
 _WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*(?:\r\n?|\n)[ \t]*[A-Za-z0-9+/_-]+)+")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 _GLUE = re.compile(r"[/_-]")
-#: Printable UTF-8, and the begin of a character at the end of data.
+#: Printable UTF-8, and ASCII as UTF-16.
 _UTF8 = re.compile(rb"(?:[\t-\r\x20-\x7e]|\xc2[\xa0-\xbf]|[\xc3-\xdf][\x80-\xbf]|(?!\xef\xbf\xbd)(?:\xe0[\xa0-\xbf]|\xed[\x80-\x9f]|[\xe1-\xec\xee\xef][\x80-\xbf])[\x80-\xbf]|(?:\xf0[\x90-\xbf]|[\xf1-\xf3][\x80-\xbf]|\xf4[\x80-\x8f])[\x80-\xbf]{2})++")
-_LOOSE = re.compile(rb"(?:[\xc2-\xf4]|[\xe0-\xf4][\x80-\xbf]|[\xf0-\xf4][\x80-\xbf]{2})\Z")
-_PRINTABLE = re.compile(r"[^\x00-\x08\x0e-\x1f\x7f-\x9f\ufffd]*")
+_UTF16LE, _UTF16BE = re.compile(rb"(?:[\t-\r\x20-\x7e]\x00){8,}"), re.compile(rb"(?:\x00[\t-\r\x20-\x7e]){8,}")
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -61,7 +73,7 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A decoded text; character i covers [starts[i], ends[i]) of the original text."""
+    """A decoded text; character i covers [starts[i], ends[i]) of the original text. Of compressed data all characters cover the same."""
 
     __slots__ = ("ends", "starts", "text")
 
@@ -81,54 +93,109 @@ def _codec(data: bytes):
     if data[:6] == b"\xfd7zXZ\x00":
         return lzma.LZMADecompressor
     if data[:4] == b"\x28\xb5\x2f\xfd":
-        import zstandard
-
-        return lambda: zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True)
+        return zstandard.ZstdDecompressor
     return None
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """Decompressed data of all members, or null if it is no gzip, zlib, bzip2, xz or Zstandard stream; cut or broken data end at a whole character."""
-    out, room = [], MAX_LAYER
-    while room and (make := _codec(data)):
+class Feed:
+    """Bytes in pieces, with a look at what comes next."""
+
+    def __init__(self, pieces: Iterator[bytes]) -> None:
+        self.pieces, self.held = pieces, b""
+
+    def peek(self, n: int) -> bytes:
+        while len(self.held) < n and (more := next(self.pieces, b"")):
+            self.held += more
+        return self.held[:n]
+
+    def read(self, n: int = PIECE) -> bytes:
+        out = self.peek(n)
+        self.held = self.held[n:]
+        return out
+
+    def push(self, data: bytes) -> None:
+        self.held = data + self.held
+
+
+def _inflated(feed: Feed) -> Iterator[bytes]:
+    """Decompressed data of all members, a piece at a time; cut or broken data end where they are."""
+    while make := _codec(feed.peek(6)):
         try:
             member = make()
-            got = member.read(room) if hasattr(member, "read") else member.decompress(data, room)
+            if hasattr(member, "stream_reader"):
+                reader = member.stream_reader(feed, read_across_frames=True)
+                while got := reader.read(PIECE):
+                    yield got
+                return
+            while not member.eof:
+                data = getattr(member, "unconsumed_tail", b"") or (feed.read() if getattr(member, "needs_input", True) else b"")
+                if not data and getattr(member, "needs_input", True):
+                    return
+                if got := member.decompress(data, PIECE):
+                    yield got
+            feed.push(member.unused_data)
+            while feed.peek(1) == b"\0":
+                feed.read(1)
         except Exception:  # whatever a codec raises on data that only looks compressed
-            break
-        out.append(got)
-        room -= len(got)
-        data = b"" if hasattr(member, "read") or not member.eof else member.unused_data.lstrip(b"\0")
-    return _LOOSE.sub(b"", b"".join(out)) if out else None
-
-
-def _chars(data: bytes) -> tuple[str, list[int]] | None:
-    """Text of UTF-8 data and the byte at which each character starts; null unless it is printable."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if not text or not _PRINTABLE.fullmatch(text):
-        return None
-    return text, np.cumsum([0, *(len(c.encode()) for c in text)]).tolist()
+            return
 
 
-def _opened(layer: Layer, data: bytes, at: list[tuple[int, int]]) -> Iterator[Layer]:
-    """Layers in decoded data; byte i comes from characters [at[i][0], at[i][1]) of `layer`."""
-    whole = int(layer.starts[at[0][0]]), int(layer.ends[at[-1][1] - 1])
-    depth = 0
-    while (inner := _inflate(data)) is not None:  # compressed data map to the whole stretch that held them
-        data, depth = inner, depth + 1
-        if depth > 64:
-            return
-    got = _chars(data)
-    if got is None:
-        return
-    text, byte = got
-    if depth:
-        yield Layer(text, np.full(len(text), whole[0]), np.full(len(text), whole[1]))
+def _unpacked(data: bytes) -> Feed | None:
+    """What compressed data hold, however often they are compressed; null if they aren't. Data that hold themselves end there."""
+    feed, seen = Feed(iter((data,))), set()
+    while _codec(head := feed.peek(1 << 12)):
+        if head in seen or len(seen) == DEEPEST:
+            return None
+        seen.add(head)
+        feed = Feed(_inflated(feed))
+    return feed if seen else None
+
+
+def _windows(feed: Feed) -> Iterator[bytes]:
+    """The data in windows that end between runs that might be an escape, base64 or a secret; a run of more than LONGEST is cut."""
+    held, size = [], 0
+    while more := feed.read():
+        cut = 0
+        if size + len(more) >= WINDOW:
+            ends = [m.end() for m in _BETWEEN.finditer(more)]
+            cut = ends[-1] if ends else len(more) * (size >= LONGEST)
+        if cut:
+            yield b"".join([*held, more[:cut]])
+            held, size, more = [], 0, more[cut:]
+        held.append(more)
+        size += len(more)
+    if size:
+        yield b"".join(held)
+
+
+def _printable(data: bytes) -> Iterator[tuple[int, int, str]]:
+    """(begin, end, text) of the readable parts of data: UTF-8, or ASCII as UTF-16."""
+    for m in _UTF8.finditer(data):
+        if len(m[0]) >= 12:
+            yield *m.span(), m[0].decode()
+    if b"\0" in data:
+        for pattern, name in ((_UTF16LE, "utf-16-le"), (_UTF16BE, "utf-16-be")):
+            for m in pattern.finditer(data):
+                yield *m.span(), m[0].decode(name)
+
+
+Place = Callable[[np.ndarray], np.ndarray]
+
+
+def _opened(layer: Layer, data: bytes, begin: Place, end: Place) -> Iterator[Layer]:
+    """Layers in decoded data; byte i comes from characters [begin(i), end(i)) of `layer`. What compressed data hold maps to the whole stretch that held them."""
+    if (feed := _unpacked(data)) is not None:
+        edge = np.array([0, len(data) - 1])
+        low, high = layer.starts[begin(edge)[0]], layer.ends[end(edge)[1] - 1]
+        for window in _windows(feed):
+            for _, _, text in _printable(window):
+                yield Layer(text, np.broadcast_to(low, len(text)), np.broadcast_to(high, len(text)))
         return
-    yield Layer(text, np.array([layer.starts[at[b][0]] for b in byte[:-1]]), np.array([layer.ends[at[b - 1][1] - 1] for b in byte[1:]]))
+    for a, e, text in _printable(data):
+        part = np.frombuffer(data, np.uint8, e - a, a)
+        first = np.flatnonzero((part & 0xC0) != 0x80) if e - a != 2 * len(text) or text.isascii() and 0 not in part else np.arange(0, e - a, 2)
+        last = np.concatenate([first[1:], [e - a]]) - 1
+        yield Layer(text, layer.starts[begin(a + first)], layer.ends[end(a + last) - 1])
 
 
 def _inline(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
@@ -152,14 +219,18 @@ def _inline(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer(text, np.concatenate([*starts, layer.starts[at:]]), np.concatenate([*ends, layer.ends[at:]])) if text else None
 
 
-def _url(m: re.Match) -> tuple[str, list[tuple[int, int]]] | None:
-    got = _chars(bytes.fromhex(m[0].replace("%", "")))
-    return got and (got[0], [(m.start() + 3 * a, m.start() + 3 * b) for a, b in zip(got[1], got[1][1:], strict=False)])
+def _url(m: re.Match) -> tuple[str, list[tuple[int, int]]]:
+    """UTF-8, and bytes that aren't as Latin-1."""
+    data = bytes.fromhex(m[0].replace("%", ""))
+    text = data.decode("utf-8", "surrogateescape")
+    at = np.cumsum([0, *(1 if 0xDC80 <= ord(c) <= 0xDCFF else len(c.encode()) for c in text)]).tolist()
+    text = "".join(chr(ord(c) & 0xFF) if 0xDC80 <= ord(c) <= 0xDCFF else c for c in text)
+    return text, [(m.start() + 3 * a, m.start() + 3 * b) for a, b in zip(at, at[1:], strict=False)]
 
 
 def _escape(m: re.Match) -> tuple[str, list[tuple[int, int]]] | None:
     hexed = next((x for x in m.groups()[:5] if x), None)
-    code = int(hexed, 16) if hexed else int(m[6])
+    code = int(hexed, 16) if hexed else int(m[6]) if m[6] else int(m[7], 8)
     if code > 0x10FFFF or 0xD800 <= code < 0xE000:
         return None
     return chr(code), [(m.start(), m.end())]
@@ -171,42 +242,45 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
     if "%" in text:
         if out := _inline(layer, _URL, _url):
             yield out
-        for m in _URL.finditer(text):
-            data = bytes.fromhex(m[0].replace("%", ""))
-            if _inflate(data) is not None:
-                yield from _opened(layer, data, [(m.start() + 3 * i, m.start() + 3 * i + 3) for i in range(len(data))])
+        for m in _URL_MAGIC.finditer(text):  # compressed data, of which only some bytes need an escape
+            run = _URL_RUN.match(text, m.start())
+            parts = list(_URL_BYTE.finditer(run[0]))
+            data = bytes(int(x[0][1:], 16) if x[0][0] == "%" else ord(x[0]) for x in parts)
+            if _unpacked(data) is not None:
+                at = np.array([m.start() + x.start() for x in parts] + [run.end()])
+                yield from _opened(layer, data, at.__getitem__, lambda i, at=at: at[i + 1])
     if ("\\" in text or "&#" in text) and (out := _inline(layer, _ESCAPE, _escape)):
         yield out
     for m in _BASE64.finditer(text):
-        yield from _base64(layer, m[0], range(*m.span()), [0])
+        yield from _base64(layer, m[0], np.arange(*m.span()), [0])
     if "\n" in text or "\r" in text:
         for m in _WRAPPED.finditer(text):
             lines = [(m.start() + x.start(), x[0]) for x in _LINE.finditer(m[0])]
             begins = np.cumsum([0, *(len(x) for _, x in lines[:-1])]).tolist()
-            yield from _base64(layer, "".join(x for _, x in lines), [a + i for a, x in lines for i in range(len(x))], begins)
+            yield from _base64(layer, "".join(x for _, x in lines), np.concatenate([np.arange(a, a + len(x)) for a, x in lines]), begins)
 
 
-def _base64(layer: Layer, run: str, at: Sequence[int], begins: list[int]) -> Iterator[Layer]:
+def _base64(layer: Layer, run: str, at: np.ndarray, begins: list[int]) -> Iterator[Layer]:
     """Layers in a run, character i of which is character at[i] of `layer`: it begins at one of `begins` or behind a / - or _, and ends anywhere."""
     shifts: dict[int, list[int]] = {}
     for b in [*begins, *(m.end() for m in _GLUE.finditer(run))]:
-        if len(run) - b >= 16:
+        if len(run) - b >= SHORTEST:
             shifts.setdefault(b % 4, []).append((b - b % 4) // 4 * 3)
     run = run.translate({45: 43, 95: 47})
     for shift, starts in shifts.items():
         n = len(run) - shift
         n -= n % 4 == 1
         data = base64.b64decode(run[shift : shift + n] + "=" * (-n % 4))
-        spans = lambda a, b, shift=shift: [(at[shift + i * 8 // 6], at[shift + (i * 8 + 7) // 6] + 1) for i in range(a, b)]
+        begin = lambda i, shift=shift: at[shift + i * 8 // 6]
+        end = lambda i, shift=shift: at[shift + (i * 8 + 7) // 6] + 1
         for i in starts:
             if _codec(data[i : i + 6]):
-                yield from _opened(layer, data[i:], spans(i, len(data)))
-        for m in _UTF8.finditer(data):
-            if len(m[0]) >= 12:
-                yield from _opened(layer, m[0], spans(*m.span()))
+                yield from _opened(layer, data[i:], lambda k, i=i, f=begin: f(k + i), lambda k, i=i, f=end: f(k + i))
+        for a, e, _ in _printable(data):
+            yield from _opened(layer, data[a:e], lambda k, a=a, f=begin: f(k + a), lambda k, a=a, f=end: f(k + a))
 
 
-_MAY_UNWRAP = re.compile(r"%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}")
+_MAY_UNWRAP = re.compile(r"%[0-9A-Fa-f]{2}|\\[uUx0-3]|&#|[A-Za-z0-9+/_-]{16}")
 
 
 def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -15,6 +15,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from tests.llm.helpers import by_id, documents
 
 from heddle.llm import bpe, media, secrets, toxicity
@@ -74,8 +75,24 @@ def test_secrets_in_runs_of_any_script_wrapped_or_glued(monkeypatch):
         text = f"é before {code} after"
         found = [(k, text[s:e]) for s, k, e in secrets.find_secrets(text)[1]]
         assert any(k == 0 and x in code for k, x in found), code
-    monkeypatch.setattr(secrets, "MAX_LAYER", 50)
-    assert secrets.find_secrets(b64(gzip.compress((inner + " " + "é" * 40).encode())))[1]
+    whole, parted = gzip.compress(noise + inner.encode() + noise), lambda x: "".join(chr(b) if chr(b).isalnum() and b < 128 else f"%{b:02X}" for b in x)
+    codes = [parted(c(noise + inner.encode())) for c in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress)] + [b64(zstandard.compress(whole))]
+    codes += [b64(inner.encode("utf-16-le")), b64(inner.encode("utf-16-be")), b64(b"\x00\x01\xfe" + inner.encode() + b"\xff"), "%e9%70assword%3Dabcdefgh", "\\160assword=abcdefgh"]
+    codes += [b64(whole[: len(whole) - 12]), b64(gzip.compress(gzip.compress(whole)))]
+    for code in codes:
+        text = f"é before {code} after"
+        assert any(k == 0 and code.startswith(text[s:e][:4]) | (text[s:e] in code) for s, k, e in secrets.find_secrets(text)[1]), code
+    text = "x " + b64(b"\x00\x01\xfe" + inner.encode("utf-16-le") + b"\xff\xff")
+    (start, kind, end), *_ = secrets.find_secrets(text)[1]
+    assert kind == 0 and 2 < start < end < len(text)  # mapped to its own part of the run
+    monkeypatch.setattr(secrets, "WINDOW", 300)
+    assert secrets.find_secrets(b64(gzip.compress((("é " * 40 + ", ") * 9 + inner + " " + "é, " * 400).encode())))[1]
+
+
+def test_secrets_behind_very_much_compressed_data():
+    much = b"nothing here, " * (2 << 20)
+    code = base64.b64encode(gzip.compress(much + b"password=abcdefgh, " + much)).decode()
+    assert 0 in [k for _, k, _ in secrets.find_secrets(f"a {code} b")[1]]
 
 
 def test_secret_worklist_ends_and_redacts(spark):
@@ -89,6 +106,7 @@ def test_secret_worklist_ends_and_redacts(spark):
     assert out.columns == docs.columns and out.count() == docs.count()
     assert {r["text"] for r in out.filter("doc_id = 7").collect()} == {"x [assign] y"}
     assert out.filter("doc_id = 1").first()["text"] is None
+    assert secrets.redact_secrets(documents(spark, [])).count() == 0 and secrets.scan_secrets(documents(spark, [])).count() == 0
 
 
 def test_secret_query_columns(spark, tmp_path):
