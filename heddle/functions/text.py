@@ -52,10 +52,9 @@ def compact_text(x: Column | str, limit: int) -> Column:
 
 
 def surface_signature(x: Column | str) -> Column:
-    """The shape of a text: identifiers as <id>, numbers as <n>."""
-    y = F.lower(_col(x))
-    y = F.regexp_replace(y, "\\b[a-z]+[-_]?[0-9]+[a-z0-9_-]*\\b", "<id>")
-    y = F.regexp_replace(y, "[-+]?[0-9]+(\\.[0-9]+)?", "<n>")
+    """The shape of a text: identifiers (words that end in a dash and four digits or more) as <id>, numbers that follow no letter as <n>."""
+    y = F.regexp_replace(F.lower(_col(x)), "\\b[a-z][a-z0-9-]*-[0-9]{4,}\\b", "<id>")
+    y = F.regexp_replace(y, "(?<![a-z])[-+]?[0-9]+(\\.[0-9]+)?", "<n>")
     return F.trim(F.regexp_replace(y, _SPACE, " "))
 
 

@@ -16,9 +16,9 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataF
 
 def mark_duplicates(df: DataFrame, fingerprint: str, order: list[Column | str], name: str) -> DataFrame:
     """df with `duplicate_of`: the name of the first row with the same fingerprint, null on the first row itself."""
-    w = W.partitionBy(fingerprint).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    first = F.first(name).over(w)
-    return df.withColumn("duplicate_of", F.when(first != F.col(name), first))
+    firsts = df.groupBy(fingerprint).agg(F.min_by(name, F.struct(*order)).alias("_first"))  # a hot fingerprint is a minimum in each task, and one row
+    known = firsts.withColumnRenamed(fingerprint, "_fingerprint")
+    return df.join(known, F.col(fingerprint).eqNullSafe(F.col("_fingerprint"))).withColumn("duplicate_of", F.when(F.col("_first") != F.col(name), F.col("_first"))).drop("_first", "_fingerprint")
 
 
 def exclude(df: DataFrame, other: DataFrame, key: str) -> DataFrame:

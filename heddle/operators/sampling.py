@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heddle.functions.keys import joined, stable_hash
+from heddle.operators.ranking import place_in_order
 
 
 def hash_order(seed: str, *parts: Column | str) -> Column:
@@ -42,10 +43,7 @@ def round_robin_shards(df: DataFrame, world: int, order: list[Column | str], by:
 
     Padding repeats rows modulo the bucket's size, so that all ranks get equally many also where a bucket is smaller than the world.
     """
-    by = by or []
-    keys = [F.col(b) for b in by] or [F.lit(0)]
-    w = W.partitionBy(*keys)
-    ranked = df.withColumns({"_i": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count("*").over(w)})
+    ranked = place_in_order(df, order, by, "_i", "_n")
     padded = F.ceil(F.col("_n") / world) * world
     copies = F.sequence(F.lit(0), F.floor((padded - 1 - F.col("_i")) / F.col("_n")).cast("int"))
     dealt = ranked.withColumn("_copy", F.explode(copies)).withColumn("place", F.col("_i") + F.col("_copy") * F.col("_n"))
@@ -54,4 +52,4 @@ def round_robin_shards(df: DataFrame, world: int, order: list[Column | str], by:
 
 def micro_batches(df: DataFrame, by: list[str], order: list[Column | str], size: int) -> DataFrame:
     """df with `batch`: consecutive rows of a bucket, `size` at a time."""
-    return df.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1) / size))
+    return place_in_order(df, order, by).withColumn("batch", F.floor(F.col("_place") / size)).drop("_place")

@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+SALT = 16
+#: Steps (the fewer side squared, times the other) that an assignment may take in a task: some minutes.
+MOST_STEPS = 10**10
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -23,7 +28,9 @@ def nearest_in_group(queries: DataFrame, candidates: DataFrame, group: str, key:
     """
     q = queries.select(F.col(key), group, F.col(vector).alias("_q"), F.sqrt(dot(F.col(vector), F.col(vector))).alias("_qn"))
     c = candidates.select(F.col(key).alias("_c"), group, F.col(vector).alias("_v"), F.sqrt(dot(F.col(vector), F.col(vector))).alias("_vn"))
-    both = q.join(c, group).filter(F.col(key) != F.col("_c")).withColumn("similarity", dot(F.col("_q"), F.col("_v")) / (F.col("_qn") * F.col("_vn")))
+    q = q.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALT)))))  # a large group is SALT tasks
+    c = c.withColumn("_salt", F.pmod(F.xxhash64("_c"), F.lit(SALT)).cast("int"))
+    both = q.join(c, [group, "_salt"]).filter(F.col(key) != F.col("_c")).withColumn("similarity", dot(F.col("_q"), F.col("_v")) / (F.col("_qn") * F.col("_vn")))
     best = both.groupBy(key).agg(F.max_by(F.struct("_c", "similarity"), F.struct("similarity", -F.col("_c"))).alias("b"))
     ok = F.col("b.similarity") >= threshold
     return best.select(key, F.when(ok, F.col("b._c")).alias("match"), F.when(ok, F.col("b.similarity")).alias("similarity"))
@@ -64,12 +71,19 @@ def hungarian(cost: np.ndarray) -> np.ndarray:
 
 
 def assign(df: DataFrame, group: str, row: str, column: str, cost: str) -> DataFrame:
-    """(group, row, column) of the least-cost assignment in each group (a few dozen slots each, by their schema)."""
+    """(group, row, column) of the least-cost assignment in each group; of rows and columns the fewer are all assigned.
+
+    A group is one problem, solved in one task; one of more than MOST_STEPS steps is refused rather than cut."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         table = pdf.pivot_table(index=row, columns=column, values=cost).sort_index(axis=0).sort_index(axis=1)
-        picked = hungarian(table.to_numpy())
-        return pd.DataFrame({group: pdf[group].iloc[0], row: table.index, column: table.columns[picked]})
+        costs = table.to_numpy()
+        few, many = sorted(costs.shape)
+        if few * few * many > MOST_STEPS:
+            raise ValueError(f"a group of {costs.shape[0]} rows and {costs.shape[1]} columns is too large to assign in one task")
+        if costs.shape[0] > costs.shape[1]:  # more rows than columns: each column gets a row
+            return pd.DataFrame({group: pdf[group].iloc[0], row: table.index[hungarian(costs.T)], column: table.columns})
+        return pd.DataFrame({group: pdf[group].iloc[0], row: table.index, column: table.columns[hungarian(costs)]})
 
     return df.groupBy(group).applyInPandas(one, f"{group} {kinds[group]}, {row} {kinds[row]}, {column} {kinds[column]}")

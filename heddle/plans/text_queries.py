@@ -87,7 +87,8 @@ def str7(spark, d):
     return read_table(spark, d, "documents").select("doc_id", T.short_dots("text").alias("short"))
 
 
-_SIG = "trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '\\b[a-z]+[-_]?[0-9]+[a-z0-9_-]*\\b', '<id>', 'g'), '[-+]?[0-9]+(\\.[0-9]+)?', '<n>', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g'))"
+# a letter and the sign or digit behind it are one piece, so that what is left of a number follows no letter
+_SIG = "trim(regexp_replace(array_to_string(list_transform(regexp_extract_all(regexp_replace(lower({x}), '\\b[a-z][a-z0-9-]*-[0-9]{{4,}}\\b', '<id>', 'g'), '[a-z][-+0-9]|[-+]?[0-9]+(?:\\.[0-9]+)?|(?s:.)'), lambda t: CASE WHEN regexp_full_match(t, '[-+]?[0-9]+(\\.[0-9]+)?') THEN '<n>' ELSE t END), ''), '[ \\t\\n\\r\\f]+', ' ', 'g'))"
 
 
 @query("str8_surface_signature", f"SELECT {_SIG.format(x='url')} signature, count(*) n FROM pages GROUP BY 1")

@@ -82,7 +82,7 @@ def test_texts(spark):
     assert one(T.calendar_date(F.lit("February 32 1999"))) is None and tuple(one(T.partial_date(F.lit("4 May")))) == (5, 4)
     assert one(T.contains_token(F.lit("see x.y today"), F.lit("x.y"))) and not one(T.contains_token(F.lit("see xay"), F.lit("x.y")))
     assert one(T.qa_normalize(F.lit("The  “Big” Apple, 1,000!"))) == "big apple 1000"
-    assert one(T.surface_signature(F.lit("Task-12 has 3.5 kg"))) == "<id> has <n> kg"
+    assert one(T.surface_signature(F.lit("Task-0012 has 3.5 kg, a1 and  x-12 -4"))) == "<id> has <n> kg, a1 and x-<n> <n>"
 
 
 @pytest.mark.parametrize(
@@ -91,12 +91,43 @@ def test_texts(spark):
         ("Paris", "paris", True), ("the Paris", "Paris", True), ("Yes, it is", "yes", True), ("yesterday", "yes", False), ("USA", "United States", True), ("seven", "7", True),
         ("May 4, 1999", "4 May 1999", True), ("4 May", "May 4 1999", True), ("about 1,200", "1200", True), ("in 1999 and 2001", "1999", True), ("2001", "1999", False),
         ("it was Albert Einstein then", "Albert Einstein", True), ("Einstein", "Albert Einstein", False), ("", "x", False), ("12 apples", "13", False),
+        ("american", "united states", True), ("Scottish", "UK", True), ("holland", "netherlands", False), ("Bombay, India", "Mumbai", True), ("the North West", "northwest", True), ("yes—it is", "yes", True), ("1999–2001", "1999 to 2001", True),
+        ("12 of 15", "12", True), ("about 12 or so", "12", True), ("kilometres: 12", "13 km", False), ("French", "Germany", False), ("in AD 1066", "1066", True), ("-3", "3", False),
     ],
 )
 def test_answers(spark, said, reference, same):
     assert answers.with_answer_match(spark.range(1), F.lit(said), F.lit(reference), "x").first()["x"] is same
 
 
+def test_places_in_order_and_shards(spark):
+    from heddle.operators import ranking, sampling
+
+    rows = [(i, "hot" if i % 3 else None if i % 2 else "b", (i * 7919) % 1000) for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, g string, v long")
+    got = ranking.place_in_order(df, ["v", "k"], ["g"], "at", "all").collect()
+    for g in ("hot", "b", None):
+        want = sorted((v, k) for k, h, v in rows if h == g)
+        assert sorted((r["at"], r["v"], r["k"]) for r in got if r["g"] == g) == [(i, v, k) for i, (v, k) in enumerate(want)]
+        assert {r["all"] for r in got if r["g"] == g} == {len(want)}
+    assert sorted(r["_place"] for r in ranking.place_in_order(df, ["v", "k"]).collect()) == list(range(500))
+    assert ranking.place_in_order(df.limit(0), ["v"], ["g"]).count() == 0
+    few = sampling.round_robin_shards(df.filter("k < 3"), 8, ["k"]).collect()
+    assert sorted(r["shard"] for r in few) == list(range(8))
+
+
+def test_assignment_of_more_rows_than_columns(spark):
+    from itertools import permutations
+
+    from heddle.operators import vector
+
+    cost = {(a, b): (a * 37 + b * 61) % 29 for a in range(6) for b in range(4)}
+    for flip in (False, True):
+        rows = [(1, *((b, a) if flip else (a, b)), float(c)) for (a, b), c in cost.items()]
+        got = vector.assign(spark.createDataFrame(rows, "g long, r long, c long, cost double"), "g", "r", "c", "cost").collect()
+        total = sum(cost[(x["c"], x["r"]) if flip else (x["r"], x["c"])] for x in got)
+        assert len(got) == 4 and total == min(sum(cost[a, b] for b, a in enumerate(p)) for p in permutations(range(6), 4))
+
+
 def test_exact_arithmetic_and_boxes():
     assert answers.exact("(1 + 2) * 3 / 4") == Fraction(9, 4) and answers.exact("-2.5*2") == -5
     assert answers.exact("__import__('os')") is None and answers.exact("1/0") is None and answers.exact("2**9") is None
