@@ -4,7 +4,7 @@
 Netpbm images and reads them back. Both are one pass without a shuffle, so neither skew nor repeated rows matter.
 
 Defined cases: a null text is the empty text (64 zero bytes); null or undecodable media give null features and the
-error; repeated rows give repeated results; other columns of the input are ignored; an empty table gives an empty one.
+error; repeated rows give repeated results; texts of any length become one image; other columns of the input are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from heddle.llm.common import as_bytes, chunks, read_table, to_batch
 
@@ -195,4 +196,5 @@ def text_media(docs: DataFrame, fmt: str = "pgm") -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_media(read_table(spark, sf_dir, "documents")).drop("tile")
+    found = text_media(read_table(spark, sf_dir, "documents"))
+    return found.withColumns({"tile_bytes": F.octet_length("tile").cast("long"), "tile_sha256": F.sha2("tile", 256)}).drop("tile")
