@@ -119,7 +119,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def distinct_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, id, t1, t2, packed): a row for each different text, that of the smallest id, its text compressed; and (key, copies) of those.
+    """(key, id, packed): a row for each different text, that of the smallest id, its text compressed; and (key, copies) of those.
 
     `key` hashes id, t1 and t2: copies of a text have different keys, unless they have one id. Rows that are joined by key
     carry the id too where a stranger's row would matter.
@@ -128,11 +128,11 @@ def distinct_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in chunks(batches):
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "id", "t1", "t2")), pa.array([squeeze(t) for t in as_bytes(batch.column("text"))], pa.binary())], ["key", "id", "t1", "t2", "packed"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "id")), pa.array([squeeze(t) for t in as_bytes(batch.column("text"))], pa.binary())], ["key", "id", "packed"])
 
     firsts = rows.groupBy("t1", "t2").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
     firsts = firsts.select(F.xxhash64("first_id", "t1", "t2").alias("key"), "copies")
-    all_rows = rows.select(F.xxhash64("id", "t1", "t2").alias("key"), "id", "t1", "t2", "text").mapInArrow(pack, "key long, id long, t1 long, t2 long, packed binary")
+    all_rows = rows.select(F.xxhash64("id", "t1", "t2").alias("key"), "id", "text").mapInArrow(pack, "key long, id long, packed binary")
     return all_rows.join(firsts.select("key").hint("merge"), "key", "left_semi"), firsts
 
 
