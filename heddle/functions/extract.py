@@ -127,23 +127,24 @@ def anchor_key(object_id: Column, number: Column, unit: Column, kind: Column, va
 
 
 LATEX: list[tuple[str, str]] = [
+    (r"\\(?:text|mathrm|mbox)\{\s*,?\s*(?:and|or)\s*\}|(?<=\s)(?:and|or)(?=\s)", ","), (r"\s*,(?:\s*,)+", ","),
     (r"\\left|\\right|\\displaystyle|\\!|\\,|\;|\\ ", ""), (r"\\(?:text|mathrm|mbox)\{([^{}]*)\}", "$1"), (r"\\[dt]frac", r"\\frac"), (r"\\frac\{([^{}]*)\}\{([^{}]*)\}", "($1)/($2)"), (r"\\sqrt\{([^{}]*)\}", "sqrt($1)"),
     (r"\\(?:cdot|times)", "*"), (r"\\div", "/"), (r"\\pi", "pi"), (r"\\infty", "inf"), (r"\\(?:%|\$)", ""), (r"\^\{([^{}]*)\}", "^($1)"), (r"\^\\circ", ""), (r"\$", ""), (r"\{|\}", ""), (r"([0-9]),(?=[0-9]{3}(?![0-9]))", "$1"), (r"\s+", ""), (r"\.$", ""),
 ]
 
 
 def latex_surface(x: Column | str) -> Column:
-    """LaTeX answers in one plain form."""
+    """LaTeX answers in one plain form; letters keep their case, as X and x are different unknowns."""
     out = _col(x)
     for pattern, to in LATEX:
         out = F.regexp_replace(out, pattern, to)
-    return F.lower(out)
+    return out
 
 
 def latex_parts(x: Column | str) -> Column:
-    """Top-level parts of a list of answers, sorted: commas inside brackets don't cut."""
+    """Top-level parts of a list of answers, sorted: commas inside brackets don't cut; "and" and "or" cut as words of their own only."""
     y = F.regexp_replace(latex_surface(x), r",(?=[^()\[\]]*[)\]])", "\u0001")
-    return F.array_sort(F.transform(F.split(y, "(,|and|or)"), lambda p: F.regexp_replace(p, "\u0001", ",")))
+    return F.array_sort(F.transform(F.split(y, ","), lambda p: F.regexp_replace(p, "\u0001", ",")))
 
 
 def math_match(a: Column | str, b: Column | str) -> Column:

@@ -69,6 +69,7 @@ def review(tasks: DataFrame, evidence: DataFrame, plans: DataFrame, frames: Data
     task order, makes later ones duplicates of it, also where it is itself rejected.
     """
     found = []
+    # the reasons' texts are fixed values: those who read reviews compare them
     per = evidence.join(needs.select("task_id", "evidence_id", "need_id", F.col("argument").alias("_arg"), "freshness"), ["task_id", "evidence_id"], "left")
     count = per.groupBy("task_id", "evidence_id", "requires_need").agg(F.count("need_id").alias("n"))
     found.append(_reason(count.filter("requires_need and n <> 1"), F.concat(F.lit("evidence "), "evidence_id", F.lit(" requires exactly one activating need"))))

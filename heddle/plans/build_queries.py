@@ -168,7 +168,9 @@ def str13(spark, d):
     return answers.with_answer_match(e, said, n.cast("string"), "ok").select("event_id", "ok")
 
 
-@query("str10_qa_normalize")
+@query("str10_qa_normalize", """WITH a AS (SELECT conv_id, turn, lower(translate(text, '‘’“”–—', '''''""--')) y FROM conversations), b AS (SELECT *, regexp_replace(regexp_replace(y, '([0-9]),([0-9])', '\\1\\2', 'g'), '([0-9]),([0-9])', '\\1\\2', 'g') z FROM a),
+ c AS (SELECT *, replace(regexp_replace(regexp_replace(z, '\\.([0-9])', '§\\1', 'g'), '[^a-z0-9à-öø-ÿ§+-]+', ' ', 'g'), '§', '.') w FROM b)
+ SELECT conv_id, turn, sha256(array_to_string(list_filter(regexp_split_to_array(trim(w), ' +'), lambda x: x NOT IN ('', 'a', 'an', 'the')), ' ')) n FROM c""")
 def str10(spark, d):
     return read_table(spark, d, "conversations").select("conv_id", "turn", F.sha2(X.qa_normalize("text"), 256).alias("n"))
 

@@ -169,7 +169,10 @@ def w10(spark, d):
     return temporal.carry_forward(steps, arrivals, ["user_id"], "step", "event_type", "ord").select("user_id", "step", "asof_event_type")
 
 
-@query("w11_sequential_schedule")
+@query("w11_sequential_schedule", """WITH RECURSIVE o AS (SELECT o_custkey c, o_orderkey k, o_orderstatus s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) i FROM orders),
+ r(c, i, k, launch, arrive, f, o, p) AS (SELECT DISTINCT c, 0::BIGINT, 0::BIGINT, 0::BIGINT, -1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM o UNION ALL
+ SELECT c, i, k, l, a, CASE WHEN s = 'F' THEN a ELSE f END, CASE WHEN s = 'O' THEN a ELSE o END, CASE WHEN s = 'P' THEN a ELSE p END FROM (SELECT *, greatest(l + k % 3 + 1, before + 1)::BIGINT a FROM (SELECT o.c, o.i, o.k, o.s, r.f, r.o, r.p, r.arrive before, greatest(o.k % 7, CASE o.s WHEN 'F' THEN r.f WHEN 'O' THEN r.o ELSE r.p END)::BIGINT l FROM r JOIN o ON o.c = r.c AND o.i = r.i + 1)))
+ SELECT c o_custkey, k::VARCHAR id, launch, arrive FROM r WHERE i > 0""")
 def w11(spark, d):
     """Launch and arrival of a customer's orders when each depends on the one before of the same status (fold over an ordered array)."""
     o = read_table(spark, d, "orders")

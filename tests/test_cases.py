@@ -96,3 +96,4 @@ def test_math_surfaces(spark):
     one = lambda a, b: spark.range(1).select(extract.math_match(F.lit(a), F.lit(b)).alias("x")).first()["x"]
     assert one("$\\dfrac{1}{2}$", "\\frac{1}{2}") and one("3, (1, 2)", "(1,2), 3") and one("1,234", "1234") and one("\\text{ yes }", "yes")
     assert not one("1, 2", "1, 3") and not one("\\frac{1}{2}", "\\frac{2}{1}")
+    assert not one("X", "x") and one("2 and 3", "3, 2") and one("3\\text{ or }4", "4, 3") and not one("band", "b,")

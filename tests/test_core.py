@@ -52,6 +52,14 @@ def test_query_equals_sql(spark, duck, name):
     assert got == want
 
 
+def test_file_digests_are_those_of_the_files(spark):
+    import hashlib
+    from pathlib import Path
+
+    want = [(len(x), hashlib.sha256(x).hexdigest()) for x in [Path(f"{DATA}/region.parquet").read_bytes()]]
+    assert [(r["bytes"], r["sha256"]) for r in __spark_entry__.queries()["s8_file_digest"](spark, DATA).collect()] == want
+
+
 def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
