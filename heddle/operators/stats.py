@@ -6,18 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from heddle.operators.ranking import place_in_order
+
 
 def index_quantile(df: DataFrame, by: list[str], value: str, q: float, rounding: str) -> DataFrame:
     """(by, quantile): the value at index (n - 1) * q, rounded half to even ("round") or down ("floor").
 
-    Equal values are counted first, so a group's window holds its distinct values, not its rows.
+    Rows get their places by ranges of the values, so a group of any size is many tasks.
     """
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = W.partitionBy(*by)
-    upto = F.sum("_n").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow))
-    rows = counts.withColumns({"_upto": upto, "_all": F.sum("_n").over(w)})
-    at = F.bround((F.col("_all") - 1) * F.lit(q)) if rounding == "round" else F.floor((F.col("_all") - 1) * F.lit(q))
-    return rows.filter((F.col("_upto") > at) & (F.col("_upto") - F.col("_n") <= at)).select(*by, F.col(value).alias("quantile"))
+    rows = place_in_order(df.select(*by, value), [value], by, "_at", "_all")
+    last = (F.col("_all") - 1) * F.lit(q)
+    return rows.filter(F.col("_at") == (F.bround(last) if rounding == "round" else F.floor(last))).select(*by, F.col(value).alias("quantile"))
 
 
 def group_share(df: DataFrame, by: str) -> DataFrame:
