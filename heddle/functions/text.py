@@ -82,8 +82,12 @@ def normalized_text(x: Column | str) -> Column:
 
 
 def contains_token(text: Column | str, marker: Column | str) -> Column:
-    """Does the text hold the marker with no word character on either side."""
-    return F.regexp_like(_col(text), F.concat(F.lit("(?<![A-Za-z0-9_])\\Q"), _col(marker), F.lit("\\E(?![A-Za-z0-9_])")))
+    """Does the text hold the marker: a number as a number of the same digits, all else with no word character (of any script) on either side. An empty marker is nowhere."""
+    m = _col(marker)
+    number = F.replace(m, F.lit(","), F.lit(""))
+    literal = F.replace(m, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    within = F.regexp_like(_col(text), F.concat(F.lit("(?U)(?<!\\w)\\Q"), literal, F.lit("\\E(?!\\w)")))
+    return F.when(number.rlike("^[-+]?[0-9]+(\\.[0-9]+)?$"), F.array_contains(number_tokens(text), F.ltrim(number, F.lit("+")))).when(m == "", False).otherwise(within)
 
 
 def insufficient(x: Column | str) -> Column:

@@ -89,6 +89,9 @@ def test_texts(spark):
     assert tuple(one(T.calendar_date(F.lit("31st February, 1999")))) == (1999, 2, 31)
     assert one(T.calendar_date(F.lit("February 32 1999"))) is None and tuple(one(T.partial_date(F.lit("4 May")))) == (5, 4)
     assert one(T.contains_token(F.lit("see x.y today"), F.lit("x.y"))) and not one(T.contains_token(F.lit("see xay"), F.lit("x.y")))
+    holds = lambda t, m: one(T.contains_token(F.lit(t), F.lit(m)))
+    assert holds("it cost 1,200 then", "1200") and not holds("it cost 12000", "1200") and holds("a+5", "5") and not holds("was 5.5", "5") and not holds("x", "")
+    assert not holds("étéx", "x") and holds("été x!", "x") and holds("a \\E b", "\\E") and not holds("naïve", "na")
     assert one(T.qa_normalize(F.lit("The  “Big” Apple, 1,000!"))) == "big apple 1000"
     assert one(T.surface_signature(F.lit("Task-0012 has 3.5 kg, a1 and  x-12 -4"))) == "<id> has <n> kg, a1 and x-<n> <n>"
 
