@@ -39,8 +39,9 @@ WINDOW = 8
 THRESHOLD = 0.7
 #: Letters of a term or stem from which it may be misspelled by any one edit; in shorter ones letters may be repeated.
 LONG = 5
-#: Documents of the sample that a term must stand in; whether it tells is up to the likelihood ratio.
-SUPPORT = 5
+#: Documents of the sample that a cue must stand in, and the share of the toxic ones that a term must stand in: a text that was
+#: copied with changes a few dozen times would teach its own words otherwise.
+SUPPORT, SHARE = 5, 0.02
 _RUN = re.compile(r"(\w)\1+")
 _WORD = re.compile(r"[^\W_]+")
 _OPEN, _CLOSE = '"“„«‹', '"”“»›'
@@ -128,9 +129,9 @@ class Matcher:
         self.heads = {t[: len(t) // 2] for t in terms}
         self.tails = {t[len(t) // 2 :] for t in terms}
         self.head_sizes, self.tail_sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
-        # one within an edit of a stem begins with its first half, or has the second at most a letter from its place
-        self.stem_heads = {t[: len(t) // 2] for t in stems}
-        self.stem_tails = {t[len(t) // 2 :] for t in stems}
+        # a prefix within an edit of a stem is equal to it once each lacks a letter at most
+        self.lacking = {t[:i] + t[i + 1 :] for t in stems for i in range(1, len(t) - 1)} | set(stems)
+        self.stem_begins = {t[0] for t in stems}
         self.stem_cuts = sorted({len(t) for t in stems})
         self.stem_sizes = sorted({len(x) for x in lexicon.stems})
         # short ones: letters may be repeated, no other edit
@@ -158,7 +159,13 @@ class Matcher:
     def _may_match(self, word: str) -> bool:
         if len(word) in self.lengths and (any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes)):
             return True
-        return any(word[: n // 2] in self.stem_heads or any(word[n // 2 + d : n + d] in self.stem_tails for d in (-1, 0, 1)) for n in self.stem_cuts)
+        if word[:1] in self.stem_begins:
+            for n in self.stem_cuts:
+                for k in (n - 1, n, n + 1):
+                    part = word[:k]
+                    if part in self.lacking or any(part[:i] + part[i + 1 :] in self.lacking for i in range(1, len(part) - 1)):
+                        return True
+        return False
 
     def features(self, text: str) -> tuple[float, float, float, float]:
         """Logarithms of the weight of exact, misspelled and quoted hits, and of the unquoted weight in a hundred words."""
@@ -200,8 +207,12 @@ class Matcher:
 
     def around(self, text: str) -> set[str]:
         """Words within the windows of a text's hits, the hits left out."""
-        words = _WORD.findall(text.lower())
-        hit = [bool(self.look_up(w)) for w in words]
+        words, known = _WORD.findall(text.lower()), self.known
+        for w in set(words):
+            if w not in known:
+                known[w] = self.look_up(w)
+        hit = [known[w] is not None for w in words]
+        self._forget()
         return {words[j] for i, h in enumerate(hit) if h for j in range(max(0, i - WINDOW), min(len(words), i + WINDOW + 1)) if not hit[j]}
 
     def score(self, text: str) -> float:
@@ -321,7 +332,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Lexico
     nt, nc = size.get(1, 0), size.get(0, 0)
     if not nt or not nc:
         return Lexicon()
-    candidates = frozenset(r["feature"] for r in _count_features(sample.filter("toxic = 1"), text_features).filter(F.col("n") >= SUPPORT).select("feature").collect())
+    candidates = frozenset(r["feature"] for r in _count_features(sample.filter("toxic = 1"), text_features).filter(F.col("n") >= max(SUPPORT, SHARE * nt)).select("feature").collect())
     both: dict[int, dict[str, int]] = {0: {}, 1: {}}
     for r in _count_features(sample, text_features, candidates).collect():
         both[r["toxic"]][r["feature"]] = r["n"]
