@@ -7,7 +7,9 @@ found in it is mapped back to code points of the original text through all layer
 
 One pass without a shuffle: hot sources, copies and lost executors cost nothing. Compressed data of any size (gzip, zlib,
 bzip2, xz, Zstandard; all members) are read as a stream, in windows that end between runs: memory is bounded by `LONGEST`,
-the length from which a single run without an end is cut. `DEEPEST` compressions may stand directly within one another.
+the length from which a single run without an end is cut. Data within `DEEPEST` compressions are scanned as they are there.
+What only looks compressed (a stream that breaks off, gives nothing or has more behind it) is scanned as it is, too.
+Escapes that escape themselves over and over (`%252525...`) are taken in one step, so any nesting costs a few layers.
 Decoded data may be UTF-8, ASCII as UTF-16, or have readable parts among others. Base64 runs of fewer than `SHORTEST`
 characters are not opened.
 
@@ -45,11 +47,14 @@ _CUE = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|\\([0-3][0-7]{2})")
+_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|[\\%]u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|\\([0-3][0-7]{2})|&(equals|colon|quot|apos|lowbar|sol|plus|amp);")
+_NAMED = {"equals": "=", "colon": ":", "quot": '"', "apos": "'", "lowbar": "_", "sol": "/", "plus": "+", "amp": "&"}
+#: An escaped escape character, again and again.
+_CHAIN = re.compile(r"%(?:25){16,}(?=[0-9A-Fa-f]{2})|&(?:#38;){16,}|&(?:amp;){16,}|\\(?:x5[cC]){16,}|\\(?:u005[cC]){16,}|\\(?:134){16,}")
 _URL_MAGIC = re.compile(r"%1[fF]%8[bB]|(?:x|%78)%(?:01|9[cC]|[dD][aA])|(?:x|%78)(?:%5[eE]|\^)|BZh[1-9]1AY|%[fF][dD]7zXZ|(?:\(|%28)%[bB]5(?:/|%2[fF])%[fF][dD]")
 _URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2}|[!-$&-~])+")
 _URL_BYTE = re.compile(r"%[0-9A-Fa-f]{2}|.")
-_BETWEEN = re.compile(rb"[^A-Za-z0-9+/_.=%&#;:\\\x20\r\n\t\x00\x80-\xff'\"-]")
+_BETWEEN = re.compile(rb"[^A-Za-z0-9+/_.=%&#;:\\\x20\r\n\t\x00\x80-\xff'\"{}!()~@?-]")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 #: The same over line breaks, and a line of it.
 _WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*(?:\r\n?|\n)[ \t]*[A-Za-z0-9+/_-]+)+")
@@ -102,6 +107,7 @@ class Feed:
 
     def __init__(self, pieces: Iterator[bytes]) -> None:
         self.pieces, self.held = pieces, b""
+        self.read_out = False  # whether all that was fed was a stream, from its first byte to its last
 
     def peek(self, n: int) -> bytes:
         while len(self.held) < n and (more := next(self.pieces, b"")):
@@ -126,6 +132,7 @@ def _inflated(feed: Feed) -> Iterator[bytes]:
                 reader = member.stream_reader(feed, read_across_frames=True)
                 while got := reader.read(PIECE):
                     yield got
+                    feed.read_out = not feed.peek(1)
                 return
             while not member.eof:
                 data = getattr(member, "unconsumed_tail", b"") or (feed.read() if getattr(member, "needs_input", True) else b"")
@@ -136,19 +143,19 @@ def _inflated(feed: Feed) -> Iterator[bytes]:
             feed.push(member.unused_data)
             while feed.peek(1) == b"\0":
                 feed.read(1)
+            feed.read_out = not feed.peek(1)
         except Exception:  # whatever a codec raises on data that only looks compressed
             return
 
 
-def _unpacked(data: bytes) -> Feed | None:
-    """What compressed data hold, however often they are compressed; null if they aren't. Data that hold themselves end there."""
-    feed, seen = Feed(iter((data,))), set()
-    while _codec(head := feed.peek(1 << 12)):
-        if head in seen or len(seen) == DEEPEST:
-            return None
+def _unpacked(data: bytes) -> tuple[Feed, Feed] | None:
+    """The data, and what they hold, however often they are compressed; null if they aren't. Data that hold themselves end there."""
+    first = feed = Feed(iter((data,)))
+    seen = set()
+    while _codec(head := feed.peek(1 << 12)) and head not in seen and len(seen) < DEEPEST:
         seen.add(head)
         feed = Feed(_inflated(feed))
-    return feed if seen else None
+    return (first, feed) if seen else None
 
 
 def _windows(feed: Feed) -> Iterator[bytes]:
@@ -184,13 +191,15 @@ Place = Callable[[np.ndarray], np.ndarray]
 
 def _opened(layer: Layer, data: bytes, begin: Place, end: Place) -> Iterator[Layer]:
     """Layers in decoded data; byte i comes from characters [begin(i), end(i)) of `layer`. What compressed data hold maps to the whole stretch that held them."""
-    if (feed := _unpacked(data)) is not None:
+    if (both := _unpacked(data)) is not None:
+        first, feed = both
         edge = np.array([0, len(data) - 1])
         low, high = layer.starts[begin(edge)[0]], layer.ends[end(edge)[1] - 1]
         for window in _windows(feed):
             for _, _, text in _printable(window):
                 yield Layer(text, np.broadcast_to(low, len(text)), np.broadcast_to(high, len(text)))
-        return
+        if first.read_out:
+            return
     for a, e, text in _printable(data):
         part = np.frombuffer(data, np.uint8, e - a, a)
         first = np.flatnonzero((part & 0xC0) != 0x80) if e - a != 2 * len(text) or text.isascii() and 0 not in part else np.arange(0, e - a, 2)
@@ -230,7 +239,7 @@ def _url(m: re.Match) -> tuple[str, list[tuple[int, int]]]:
 
 def _escape(m: re.Match) -> tuple[str, list[tuple[int, int]]] | None:
     hexed = next((x for x in m.groups()[:5] if x), None)
-    code = int(hexed, 16) if hexed else int(m[6]) if m[6] else int(m[7], 8)
+    code = ord(_NAMED[m[8]]) if m[8] else int(hexed, 16) if hexed else int(m[6]) if m[6] else int(m[7], 8)
     if code > 0x10FFFF or 0xD800 <= code < 0xE000:
         return None
     return chr(code), [(m.start(), m.end())]
@@ -239,8 +248,11 @@ def _escape(m: re.Match) -> tuple[str, list[tuple[int, int]]] | None:
 def unwrap(layer: Layer) -> Iterator[Layer]:
     """All layers one step below: the URL-decoded and the unescaped text, and what each base64 run or compressed URL run holds."""
     text = layer.text
+    chain = _inline(layer, _CHAIN, lambda m: (m[0][0], [m.span()])) if _CHAIN.search(text) else None
+    if chain:
+        yield chain
     if "%" in text:
-        if out := _inline(layer, _URL, _url):
+        if not chain and (out := _inline(layer, _URL, _url)):
             yield out
         for m in _URL_MAGIC.finditer(text):  # compressed data, of which only some bytes need an escape
             run = _URL_RUN.match(text, m.start())
@@ -249,7 +261,7 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
             if _unpacked(data) is not None:
                 at = np.array([m.start() + x.start() for x in parts] + [run.end()])
                 yield from _opened(layer, data, at.__getitem__, lambda i, at=at: at[i + 1])
-    if ("\\" in text or "&#" in text) and (out := _inline(layer, _ESCAPE, _escape)):
+    if not chain and ("\\" in text or "&" in text or "%u" in text) and (out := _inline(layer, _ESCAPE, _escape)):
         yield out
     for m in _BASE64.finditer(text):
         yield from _base64(layer, m[0], np.arange(*m.span()), [0])
@@ -280,7 +292,7 @@ def _base64(layer: Layer, run: str, at: np.ndarray, begins: list[int]) -> Iterat
             yield from _opened(layer, data[a:e], lambda k, a=a, f=begin: f(k + a), lambda k, a=a, f=end: f(k + a))
 
 
-_MAY_UNWRAP = re.compile(r"%[0-9A-Fa-f]{2}|\\[uUx0-3]|&#|[A-Za-z0-9+/_-]{16}")
+_MAY_UNWRAP = re.compile(r"%[0-9A-Fa-fu]|\\[uUx0-3]|&[#a-z]|[A-Za-z0-9+/_-]{16}")
 
 
 def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

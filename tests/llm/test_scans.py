@@ -269,3 +269,41 @@ def test_toxicity_on_tables(spark):
     long = documents(spark, [(1, text() + " " + "word " * 300_000 + text("grumbler", "snarkle"))])
     assert 0 <= toxicity.score(long, lexicon).first()["score"] <= 1
     assert toxicity.score(documents(spark, []), lexicon).count() == 0 and toxicity.drop_toxic(documents(spark, []), lexicon).count() == 0
+
+
+def test_no_first_bytes_hide_a_layer():
+    """Every two-byte prefix before a planted secret, as base64: what only looks compressed is scanned as it is."""
+    code = lambda x: base64.b64encode(x).decode()
+    assert all(secrets.find_secrets(code(bytes((a, b)) + b"  password=hunter2222 ..."))[1] for a in range(256) for b in range(256))
+    for head in ("x ", "x?", "x^", "x}", "BZh", "BZh91AY", "x\u0001", "(�/�"):
+        inner = f"{head} {code(b'token: abcdef1234')} tail"
+        for text in (inner, code(inner.encode()), code(code(inner.encode()).encode())):
+            assert secrets.find_secrets(text)[1]
+    behind = gzip.compress(b"nothing here") + b" password=abcdefg3 behind the stream"
+    assert secrets.find_secrets(code(behind))[1] and secrets.find_secrets(code(gzip.compress(b"password=abcdefg3")[:-9]))[1]
+
+
+def test_nested_escapes_take_a_few_layers():
+    for begin, unit, last in (("%", "25", "3D"), ("&", "#38;", "#61;"), ("&", "amp;", "equals;"), ("\\", "x5c", "x3d"), ("\\", "u005c", "u003d"), ("\\", "134", "075")):
+        for n in (0, 1, 5, 16, 17, 40, 100_000):
+            text = f"a password{begin}{unit * n}{last}hunter2222 z"
+            assert (2, 0, len(text) - 2) in secrets.find_secrets(text)[1]
+    assert secrets.find_secrets("%u0070assword=hunter2222")[1] and secrets.find_secrets("password&equals;hunter2222")[1]
+
+
+def test_generated_nestings_equal_a_plain_decoder():
+    """Layers over one secret, each drawn at random: the span is the whole outermost layer, or the escape's own place in it."""
+    rng = random.Random(8)
+    wrap = {
+        "url": lambda x: "".join(f"%{b:02X}" for b in x.encode()), "unicode": lambda x: "".join(f"\\u{ord(c):04x}" for c in x), "entity": lambda x: "".join(f"&#{ord(c)};" for c in x),
+        "base64": lambda x: base64.b64encode(f"{x} padding".encode()).decode(), "gzip": lambda x: base64.b64encode(gzip.compress(x.encode())).decode(), "zlib": lambda x: base64.b64encode(zlib.compress(x.encode())).decode(),
+    }
+    for _ in range(60):
+        text = "password=hunter" + str(rng.randrange(10**6, 10**7))
+        names = [rng.choice(list(wrap)) for _ in range(rng.randint(1, 3))]
+        for name in names:
+            text = wrap[name](text)
+        found = secrets.find_secrets(f"({text})")[1]
+        whole = [(s, e) for s, k, e in found if k == 0]
+        exact = {"url", "unicode", "entity"} >= set(names)
+        assert (whole == [(1, 1 + len(text))]) if exact else any(1 <= s < e <= 1 + len(text) for s, e in whole), names
