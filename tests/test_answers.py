@@ -93,7 +93,7 @@ def test_options(spark):
     ("kind", "reference", "answer", "right"),
     [
         ("multi_hop_qa", "Norway", "Norwegian films say so; the support evidence does not give more", False), ("multi_hop_qa", "Norway", "The visible evidence places it in Norway, but does not state more.", False), ("multi_hop_qa", "sepsis", "Sepsis, for one of them; the visible evidence does not give the other's.", True),
-        ("science_multiple_choice", "Norway", "It was Norway", True), ("math_word_problem", "1,250", "5 times 250 make 1250", True), ("math_word_problem", "1250", "so 1250 less 3", True), ("math_word_problem", "18", "half of 18 is 9", False), ("competition_math", r"\frac{1}{2}+x", "(2x+1)/2", True),
+        ("science_multiple_choice", "Norway", "It was Norway", True), ("math_word_problem", "1,250", "5 times 250 make 1250", True), ("math_word_problem", "1250", "so 1250 less 3", True), ("math_word_problem", "18", "9 is half of 20", False), ("competition_math", r"\frac{1}{2}+x", "(2x+1)/2", True),
         ("competition_math", "24", "4!", False), ("competition_math", "39", "B", True), ("competition_math", "39", "A", False), ("essay", "x", "anything", True), ("multi_hop_qa", None, "anything", True),
     ],
 )
