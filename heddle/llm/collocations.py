@@ -7,8 +7,9 @@
 3. The counts are joined to each candidate's cuts, the lowest-scoring cut counts (whole-number arithmetic, decimals of 38
    digits), phrases that are mostly part of a longer one go, and each language's best are ranked.
 
-The sketch has a cell for some twelve bytes of text, up to `MOST_CELLS` (128 MB of counters in a task, 16 MB of broadcast
-bits). Beyond that it thins out: the second pass counts more phrases that don't reach `least`, and the result stays the same.
+The sketch has `CELLS` cells a row at any size of the input: 64 MB of counters in a task, 8 MB of broadcast bits. From
+some gigabytes of text in a language's phrases on it lets rare phrases pass; the second pass then counts more of them, and the
+result stays the same. What a task sends of it is coded as a plane of bits and the counters that aren't zero.
 
 Scale: what a task sends is distinct phrases, not occurrences; the joins are on phrases, whose hot ones (a famous word is
 a part of very many) Spark's adaptive execution splits; the ranking keeps 2,000 a language in each task before it shuffles.
@@ -41,11 +42,12 @@ LEAST = 10
 #: A phrase goes if a longer one has this share (in hundredths) of its occurrences.
 SHARE = 50
 TOP = 2000
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 DEPTH = 2
-MOST_CELLS = 1 << 26
+CELLS = 1 << 25
 SLICE = 1 << 16
-CELL_BYTES = 12
+#: Tasks whose sketches are merged at first, and rows of an Arrow batch.
+MERGED, ROWS = 16, 1 << 15
 
 # Classes of bytes: 0 in a word, 1 between words, 2 between pieces.
 _CLASS = np.zeros(256, np.uint8)
@@ -66,6 +68,21 @@ def segments(text: bytes, longest: int, limit: int = CHUNK) -> Iterator[tuple[by
     yield text[at:], len(text) - at
 
 
+def runs(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place, rank, count): of each distinct code the first place and the count, and each code's rank among them."""
+    bits = max(len(code) - 1, 1).bit_length()
+    if int(code.max(initial=0)).bit_length() + bits > 63:
+        _, first, rank, count = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+        return first, rank, count
+    both = np.sort(code << bits | np.arange(len(code)))  # one plain sort is several times as fast as one of places
+    place, code = both & ((1 << bits) - 1), both >> bits
+    head = np.concatenate([[True], code[1:] != code[:-1]]) if len(code) else np.zeros(0, bool)
+    rank = np.empty(len(code), np.int64)
+    rank[place] = np.cumsum(head) - 1
+    at = np.flatnonzero(head)
+    return place[at], rank, np.diff(np.concatenate([at, [len(code)]]))
+
+
 class Phrases:
     """Distinct phrases of a chunk with their counts: `groups` has (size, first word's place, count) of each."""
 
@@ -96,7 +113,7 @@ class Phrases:
                 fits[fits] = piece[place[fits]] == piece[reach[fits]]
                 place = place[fits]
                 code = code[fits] * many + last[place + size - 1]
-            _, first, code, count = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+            first, code, count = runs(code)
             if not self.owned.all():  # a segment's overlap is counted by the next one
                 count = np.bincount(code, self.owned[place], len(first)).astype(np.int64)
             self.groups.append((size, place[first], count))
@@ -136,9 +153,32 @@ def cells(h: np.ndarray, row: int, width: int) -> np.ndarray:
     return (mix(h ^ np.uint64(0xD6E8FEB86659FD93 * (row + 1) % 2**64)) & np.uint64(width - 1)).astype(np.int64)
 
 
+def coded(x: np.ndarray) -> bytes:
+    """Counters, compressed: a bit for each that isn't zero, then those."""
+    return zstandard.compress(np.packbits(x > 0, bitorder="little").tobytes() + x[x > 0].tobytes(), 1)
+
+
+def decoded(data: bytes, kind: np.dtype, size: int) -> np.ndarray:
+    data = zstandard.decompress(data)
+    out = np.zeros(size, kind)
+    out[np.unpackbits(np.frombuffer(data, np.uint8, size // 8), bitorder="little").astype(bool)] = np.frombuffer(data, kind, offset=size // 8)
+    return out
+
+
+def added(row: np.ndarray, cell: np.ndarray, count: np.ndarray, least: int) -> None:
+    """Add counts to a row of counters, which stop at `least`."""
+    bits = least.bit_length()
+    both = np.sort(cell << bits | np.minimum(count, least))
+    cell = both >> bits
+    at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+    if len(at):
+        total = np.minimum(np.add.reduceat(both & ((1 << bits) - 1), at), least)
+        row[cell[at]] = np.minimum(row[cell[at]] + total, least)
+
+
 def sketch(docs: DataFrame, longest: int, least: int, width: int, depth: int = DEPTH) -> np.ndarray:
     """A bit for each cell of each row (packed): whether phrases of it occur `least` times or more together."""
-    kind = np.min_scalar_type(2 * least)  # counters stop at `least`, so a sum of two never overflows
+    kind, cut = np.min_scalar_type(2 * least), min(SLICE, width)  # counters stop at `least`, so a sum of two never overflows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None
@@ -147,46 +187,39 @@ def sketch(docs: DataFrame, longest: int, least: int, width: int, depth: int = D
             for size, place, count in found.groups:
                 h = found.hashes(size, place, names)
                 for row in range(depth):
-                    cell, at = np.unique(cells(h, row, width), return_inverse=True)
-                    total = np.minimum(np.bincount(at, np.minimum(count, least), len(cell)), least).astype(kind)
-                    table[row, cell] = np.minimum(table[row, cell] + total, least)
+                    added(table[row], cells(h, row, width), count, least)
         if table is not None:
-            squeeze = zstandard.ZstdCompressor(level=1).compress
-            part = TaskContext.get().partitionId() % 64
-            for i, x in enumerate(table.reshape(-1, SLICE)):
+            part = TaskContext.get().partitionId() // MERGED
+            for i, x in enumerate(table.reshape(-1, cut)):
                 if x.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part], pa.int32()), pa.array([squeeze(x.tobytes())], pa.binary())], ["slice", "part", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part], pa.int32()), pa.array([coded(x)], pa.binary())], ["slice", "part", "n"])
 
-    def merged(key: tuple, pdfs: Iterator[pd.DataFrame]) -> np.ndarray:
-        total = np.zeros(SLICE, kind)
-        for pdf in pdfs:
-            for x in pdf["n"]:
-                total = np.minimum(total + np.frombuffer(zstandard.decompress(x), kind), least).astype(kind)
+    def merged(found: pd.Series) -> np.ndarray:
+        total = np.zeros(cut, kind)
+        for x in found:
+            total = np.minimum(total + decoded(x, kind, cut), least).astype(kind)
         return total
 
     def some(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.head(1).assign(n=[zstandard.compress(merged((), iter([pdf])).tobytes(), 1)])
+        return pdf.head(1).assign(n=[coded(merged(pdf["n"]))])
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.head(1)[["slice"]].assign(bits=[np.packbits(merged((), iter([pdf])) >= least, bitorder="little").tobytes()])
+        return pdf.head(1)[["slice"]].assign(bits=[np.packbits(merged(pdf["n"]) >= least, bitorder="little").tobytes()])
 
     schema = "slice int, part int, n binary"
     parts = docs.mapInArrow(run, schema).groupBy("slice", "part").applyInPandas(some, schema)
-    out = np.zeros((depth * width // SLICE, SLICE // 8), np.uint8)
+    out = np.zeros((depth * width // cut, cut // 8), np.uint8)
     for r in parts.groupBy("slice").applyInPandas(final, "slice int, bits binary").toLocalIterator():
         out[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
     return out.reshape(depth, -1)
 
 
-def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, width: int | None = None) -> DataFrame:
+def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, width: int = CELLS) -> DataFrame:
     """(lang, phrase, f): every phrase of 1 to `longest` words with `least` occurrences or more; the empty phrase has the number of words.
 
-    `width`: cells of a row of the sketch, a power of two of 65,536 or more; by default by the bytes of text.
+    `width`: cells of a row of the sketch, a power of two of 8 or more.
     """
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").filter("text is not null")
-    if width is None:
-        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        width = min(max(1 << (size // CELL_BYTES).bit_length(), SLICE), MOST_CELLS)
     often = docs.sparkSession.sparkContext.broadcast(sketch(rows.select("lang", "text"), longest, least, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +233,9 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, w
                     at = cells(h, row, width)
                     keep &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
                 place, count = place[keep], count[keep]
-                yield pa.RecordBatch.from_arrays([known.take(pa.array(found.lang[place])), found.texts(size, place), pa.array(count, pa.int64())], ["lang", "phrase", "n"])
+                for at in range(0, len(place), ROWS):
+                    some = place[at : at + ROWS]
+                    yield pa.RecordBatch.from_arrays([known.take(pa.array(found.lang[some])), found.texts(size, some), pa.array(count[at : at + ROWS], pa.int64())], ["lang", "phrase", "n"])
 
     counted = rows.select("lang", "text").mapInArrow(run, "lang string, phrase string, n long")
     return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter((F.col("f") >= least) | (F.col("phrase") == ""))
@@ -230,7 +265,7 @@ def subsumed(counts: DataFrame, share: int = SHARE) -> DataFrame:
     return counts.join(longer, ["lang", "phrase"]).filter(100 * F.col("most") >= share * F.col("f")).select("lang", "phrase")
 
 
-def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, share: int = SHARE, top: int = TOP, width: int | None = None) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, share: int = SHARE, top: int = TOP, width: int = CELLS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's `top` phrases of 2 to `longest` words with `least` occurrences or more."""
     counts = materialize(phrase_counts(docs, longest, least, width), "phrases")
     phrases = counts.filter("phrase <> '' and f >= " + str(least))

@@ -197,7 +197,7 @@ def test_collocations(spark, longest, least, top):
     assert collocations.collocations(docs.limit(0)).count() == 0
 
 
-def test_segments_and_a_full_sketch_change_nothing(spark, monkeypatch):
+def test_segments_and_a_full_sketch_change_nothing(spark):
     rng = random.Random(6)
     text = "".join(rng.choice(["ab", "cd", "Ef", "g" * 30]) + rng.choice([" ", "  \t", "; ", "\n"]) for _ in range(4000)).encode()
     for limit in (1, 7, 64, 1000):
@@ -212,8 +212,6 @@ def test_segments_and_a_full_sketch_change_nothing(spark, monkeypatch):
         assert +split == whole
     # more phrases than cells: every cell passes, the counts stay exact
     rows = [(i, " ".join(f"w{rng.randint(0, 300)}" for _ in range(2000)), "aa") for i in range(60)]
-    monkeypatch.setattr(collocations, "SLICE", 256)
     few = collocations.phrase_counts(documents(spark, rows), width=256)
-    monkeypatch.undo()
     key = lambda r: tuple(r)
     assert sorted(map(key, few.collect())) == sorted(map(key, collocations.phrase_counts(documents(spark, rows)).collect()))
