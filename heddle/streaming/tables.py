@@ -47,6 +47,17 @@ def run_to_table(df: DataFrame, tag: str, mode: str = "append", each: Callable[[
     return spark.read.schema(df.schema if plain else T.StructType([*df.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{root}/out")
 
 
+def with_state_store(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
+    """Run a stream whose operators keep state of their own, which only RocksDB holds; the session's setting is put back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return run()
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def latest(df: DataFrame, keys: list[str]) -> DataFrame:
     """The row of each key's latest batch."""
     rn = F.row_number().over(W.partitionBy(*keys).orderBy(F.col("batch").desc()))
