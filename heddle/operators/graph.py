@@ -58,3 +58,73 @@ def divide(rows: DataFrame, key: str, feature: str, wanted: DataFrame) -> DataFr
     n = wanted.select(feature).distinct().agg(F.count("*").alias("_all"))
     have = rows.join(wanted.select(feature).distinct(), feature).groupBy(key).agg(F.count_distinct(feature).alias("_n"))
     return have.join(F.broadcast(n)).filter("_n = _all").select(key)
+
+
+def _until_same(step, start: DataFrame, tag: str) -> DataFrame:
+    """Apply `step` to a table until its sum of hashes stays the same; each round is written."""
+    table, before = materialize(start, tag), None
+    while True:
+        now = tuple(table.agg(F.count("*"), F.sum(F.xxhash64(*table.columns).cast("decimal(38,0)"))).first())
+        if now == before:
+            return table
+        before, table = now, materialize(step(table), tag)
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of a directed graph (src, dst): nodes that reach one another have the same component, named by one of them.
+
+    Rounds of three steps on what is left: nodes without an edge in or out are alone; every node takes the greatest node
+    that reaches it as its colour; what reaches a colour's own node, within the colour, is a component. Edges between
+    colours go, so the rest falls apart quickly. Rows that repeat an edge and loops change nothing.
+    """
+    edges = materialize(edges.select("src", "dst").filter("src <> dst").distinct(), "scc-edges")
+    left = materialize(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "scc-nodes")
+    done = left.select("node", F.col("node").alias("component")).limit(0)
+    while not left.isEmpty():
+        ends = [edges.select(F.col(c).alias("node")).distinct() for c in ("src", "dst")]
+        core = left.join(ends[0], "node", "left_semi").join(ends[1], "node", "left_semi")
+        alone = left.join(core, "node", "left_anti")
+        inner = materialize(edges.join(core.select(F.col("node").alias("src")), "src", "left_semi").join(core.select(F.col("node").alias("dst")), "dst", "left_semi"), "scc-edges")
+
+        def spread(colour: DataFrame, inner: DataFrame = inner) -> DataFrame:
+            told = colour.withColumnRenamed("node", "src").join(inner, "src").select(F.col("dst").alias("node"), "colour")
+            return colour.unionByName(told).groupBy("node").agg(F.max("colour").alias("colour"))
+
+        colour = _until_same(spread, core.select("node", F.col("node").alias("colour")), "scc-colour")
+        same = inner.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("_a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("_b")), "dst").filter("_a = _b")
+        same = materialize(same.select("src", "dst"), "scc-same")
+
+        def back(found: DataFrame, same: DataFrame = same) -> DataFrame:
+            return found.unionByName(same.join(found.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "component")).distinct()
+
+        strong = _until_same(back, colour.filter("node = colour").select("node", F.col("node").alias("component")), "scc-found")
+        found = materialize(strong.unionByName(alone.select("node", F.col("node").alias("component"))), "scc-done")
+        done = done.unionByName(found)
+        left = materialize(left.join(found, "node", "left_anti"), "scc-nodes")
+        edges = materialize(same.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi"), "scc-edges")
+    return done
+
+
+def closure(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node) for every node that a path of one edge or more leads to from each of `sources` (node).
+
+    Paths are followed between strong components, pair by pair, and only from pairs that the round before found: a cycle
+    costs one node, and a source's own component is followed once for all sources in it. Members are put back at the end.
+    """
+    edges = materialize(edges.select("src", "dst").filter("src is not null and dst is not null").distinct(), "closure-edges")
+    of = materialize(strong_components(edges).unionByName(edges.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))).groupBy("node").agg(F.max("component").alias("component")), "closure-nodes")
+    a, b = (of.select(F.col("node").alias(c), F.col("component").alias(k)) for c, k in (("src", "_a"), ("dst", "_b")))
+    between = edges.join(a, "src").join(b, "dst").groupBy("_a", "_b").agg(F.count("*").alias("n"))
+    steps = materialize(between.filter("_a <> _b").select("_a", "_b"), "closure-steps")
+    cyclic = between.filter("_a = _b").select(F.col("_a").alias("component"))  # these reach themselves
+    starts = sources.select("node").distinct().join(of, "node")
+    own = starts.select(F.col("component").alias("start")).distinct()
+    frontier = materialize(own.select("start", F.col("start").alias("at")), "closure-pairs")
+    seen = frontier
+    while not frontier.isEmpty():
+        reached = frontier.join(steps, F.col("at") == F.col("_a")).select("start", F.col("_b").alias("at")).distinct()
+        frontier = materialize(reached.join(seen, ["start", "at"], "left_anti"), "closure-pairs")
+        seen = seen.unionByName(frontier)
+    pairs = seen.filter("start <> at").unionByName(seen.filter("start = at").join(cyclic, F.col("at") == F.col("component")).select("start", "at"))
+    members = of.select(F.col("component").alias("at"), F.col("node").alias("_to"))
+    return starts.select(F.col("node").alias("source"), F.col("component").alias("start")).join(pairs, "start").join(members, "at").select("source", F.col("_to").alias("node"))

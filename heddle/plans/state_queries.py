@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from heddle.operators import graph
 from heddle.plans.registry import query
 from heddle.sources import versions
 from heddle.sources.shared import new_folder, read_table
@@ -62,3 +63,24 @@ def r20_resumed(spark, d):
         out = part if out is None else out.unionByName(part)
         step, left = step + 1, left - size
     return out.groupBy("epoch").agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("different"), F.sum("o_orderkey").alias("keys"), F.max("place").alias("last_place"))
+
+
+_ALL = """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey src, l_partkey dst FROM lineitem), r(source, node) AS (SELECT src, dst FROM e UNION SELECT r.source, e.dst FROM r JOIN e ON r.node = e.src)"""
+
+
+def _parts(spark, d):
+    return read_table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+
+
+@query("g4_closure_of_all_sources", f"{_ALL} SELECT source, count(*) n, sum(node)::BIGINT nodes FROM r GROUP BY 1")
+def closure_of_all(spark, d):
+    """What every supplier reaches, over all edges; the suppliers are in cycles with one another."""
+    pairs = graph.closure(_parts(spark, d), read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("node")))
+    return pairs.groupBy("source").agg(F.count("*").alias("n"), F.sum("node").alias("nodes"))
+
+
+@query("g3_strong_components", f"{_ALL}, m AS (SELECT a.source node, count(*) n FROM r a JOIN r b ON a.source = b.node AND a.node = b.source GROUP BY 1), s AS (SELECT src node FROM e UNION SELECT dst FROM e) SELECT CASE WHEN n IS NULL THEN 1 ELSE n END size, count(*) nodes FROM s LEFT JOIN m USING (node) GROUP BY 1")
+def strong(spark, d):
+    """Sizes of the strong components, and how many nodes are in components of that size."""
+    size = graph.strong_components(_parts(spark, d)).groupBy("component").agg(F.count("*").alias("size"))
+    return size.groupBy("size").agg(F.sum("size").alias("nodes"))
