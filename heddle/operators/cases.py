@@ -1,6 +1,6 @@
 """Synthetic cases with evidence: record tables to look up and join, logic specifications to fold, corrections, languages.
 
-As in generators.py every row is a function of its number and the seed. Each kind comes with a verifier that recomputes
+As in generators.py every row is a function of its number and the seed, and n may be a table with `task_no`. Each kind comes with a verifier that recomputes
 the answer from what a solver would see (the records, the specification), not from the draws.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.operators.generators import draw
+from heddle.operators.generators import draw, numbered
 
 RECORDS = "task_no long, source string, key string, next_key string, value long"
 
@@ -22,9 +22,9 @@ def _records(df: DataFrame, *rows: tuple[str, Column, Column | None, Column | No
     return df.select("task_no", F.explode(parts).alias("r")).select("task_no", "r.*")
 
 
-def serial_chain(spark: SparkSession, n: int, seed: int, depth: int = 5) -> tuple[DataFrame, DataFrame]:
+def serial_chain(spark: SparkSession, n: int | DataFrame, seed: int, depth: int = 5) -> tuple[DataFrame, DataFrame]:
     """(tasks, records): each record names the next; the last holds the value."""
-    one, base = draw(seed), spark.range(n).withColumnRenamed("id", "task_no")
+    one, base = draw(seed), numbered(spark, n)
     key = lambda i: F.concat_ws("-", F.lit("k"), "task_no", one(f"key{i}", 100, 999).cast("string"), F.lit(str(i)))
     value = one("value", 1, 9999)
     rows = [("directory", key(i), key(i + 1) if i + 1 < depth else None, None if i + 1 < depth else value) for i in range(depth)]
@@ -41,17 +41,17 @@ def verify_chain(tasks: DataFrame, records: DataFrame, depth: int = 5) -> DataFr
     return tasks.join(end.filter(F.col("value").eqNullSafe(F.col("answer"))), "task_no", "left_anti")
 
 
-def parallel_join(spark: SparkSession, n: int, seed: int) -> tuple[DataFrame, DataFrame]:
+def parallel_join(spark: SparkSession, n: int | DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """Two sources, one key; the answer is price times stock."""
-    one, base = draw(seed), spark.range(n).withColumnRenamed("id", "task_no")
+    one, base = draw(seed), numbered(spark, n)
     key = F.concat(F.lit("item"), "task_no")
     price, stock = one("price", 2, 99), one("stock", 1, 50)
     return base.select("task_no", key.alias("start"), (price * stock).alias("answer")), _records(base, ("prices", key, None, price), ("stocks", key, None, stock))
 
 
-def stale_override(spark: SparkSession, n: int, seed: int) -> tuple[DataFrame, DataFrame]:
+def stale_override(spark: SparkSession, n: int | DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """A cached value and, for every other task, an authoritative one that overrides it."""
-    one, base = draw(seed), spark.range(n).withColumnRenamed("id", "task_no")
+    one, base = draw(seed), numbered(spark, n)
     key = F.concat(F.lit("rate"), "task_no")
     old, new = one("old", 1, 99), one("new", 100, 199)
     has = F.col("task_no") % 2 == 0
@@ -59,14 +59,14 @@ def stale_override(spark: SparkSession, n: int, seed: int) -> tuple[DataFrame, D
     return base.select("task_no", key.alias("start"), F.when(has, new).otherwise(old).alias("answer")), rows.filter("value is not null")
 
 
-def alias_join(spark: SparkSession, n: int, seed: int) -> tuple[DataFrame, DataFrame]:
+def alias_join(spark: SparkSession, n: int | DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """An alias leads to an entity, the entity to its policy, the policy to a rate."""
     return serial_chain(spark, n, seed, 4)
 
 
-def fork_join(spark: SparkSession, n: int, seed: int) -> tuple[DataFrame, DataFrame]:
+def fork_join(spark: SparkSession, n: int | DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """Three branches whose values are summed and scaled."""
-    one, base = draw(seed), spark.range(n).withColumnRenamed("id", "task_no")
+    one, base = draw(seed), numbered(spark, n)
     v = [one(f"v{i}", 1, 500) for i in range(3)]
     scale = one("scale", 2, 9)
     rows = [(f"branch{i}", F.concat(F.lit("b"), "task_no"), None, v[i]) for i in range(3)]
@@ -102,10 +102,10 @@ FOLDS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def logic_cases(spark: SparkSession, n: int, seed: int, probe: bool = False) -> DataFrame:
+def logic_cases(spark: SparkSession, n: int | DataFrame, seed: int, probe: bool = False) -> DataFrame:
     """(task_no, family, capacity, spec, answer): families and capacities in turn. Probe cases draw from other seeds; holdout is by specification."""
     names = list(FOLDS)
-    base = spark.range(n).withColumnRenamed("id", "task_no")
+    base = numbered(spark, n)
     base = base.withColumns({"family": F.element_at(F.array(*map(F.lit, names)), (F.col("task_no") % len(names) + 1).cast("int")), "capacity": F.element_at(F.array(*map(F.lit, CAPACITIES)), (F.floor(F.col("task_no") / len(names)) % len(CAPACITIES) + 1).cast("int"))})
     cell = lambda i: F.pmod(F.xxhash64(F.lit(seed * 2 + int(probe)), F.col("task_no"), i), F.lit(10)).cast("long")
     base = base.withColumn("spec", F.transform(F.sequence(F.lit(1), F.col("capacity")), cell))
@@ -115,12 +115,12 @@ def logic_cases(spark: SparkSession, n: int, seed: int, probe: bool = False) ->
     return base.withColumn("answer", answer)
 
 
-def corrections(spark: SparkSession, n: int, seed: int) -> DataFrame:
+def corrections(spark: SparkSession, n: int | DataFrame, seed: int) -> DataFrame:
     """(task_no, phase, hypothesis, noise, answer): a wrong hypothesis, the evidence against it, the right one; noise rises and then falls."""
     one = draw(seed)
     a, b = one("a", 10, 99), one("b", 10, 99)
     rows = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(p).alias("phase"), h.alias("hypothesis"), F.lit(x).alias("noise")) for i, (p, h, x) in enumerate((("initial", a + b + 1, 0.2), ("after:e0", a + b + 1, 0.7), ("final", a + b, 0.1)))))
-    base = spark.range(n).withColumnRenamed("id", "task_no")
+    base = numbered(spark, n)
     return base.select("task_no", (a + b).alias("answer"), F.explode(rows).alias("r")).select("task_no", "r.*", "answer")
 
 
@@ -141,10 +141,10 @@ LANGUAGES = {
 }
 
 
-def multilingual(spark: SparkSession, n: int, seed: int) -> DataFrame:
+def multilingual(spark: SparkSession, n: int | DataFrame, seed: int) -> DataFrame:
     """(task_no, ask_lang, tell_lang, prompt, first, second, answer): the question in one language, both facts in another."""
     one, langs = draw(seed), list(LANGUAGES)
-    base = spark.range(n).withColumnRenamed("id", "task_no")
+    base = numbered(spark, n)
     ask, tell = (F.element_at(F.array(*map(F.lit, langs)), (x + 1).cast("int")) for x in (F.col("task_no") % len(langs), one("tell", 0, len(langs) - 1)))
     base = base.withColumns({"ask_lang": ask, "tell_lang": tell, "a": F.concat(F.lit("Ana"), "task_no"), "b": F.concat(F.lit("Bo"), one("b", 0, 999).cast("string")), "answer": F.concat(F.lit("City"), one("c", 0, 999).cast("string"))})
 

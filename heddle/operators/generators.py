@@ -1,4 +1,4 @@
-"""Synthetic task families from `range` and hash draws: row n depends on its number and the seed alone.
+"""Synthetic task families from numbered rows and hash draws: a row depends on its number and the seed alone.
 
 Every family is a pair of expressions over a row's draws: the prompt, and the answer computed from the same draws. The
 draws stay in `spec`, so that an answer can be recomputed by a verifier.
@@ -15,8 +15,18 @@ Draw = Callable[[str, int, int], Column]
 
 
 def draw(seed: int) -> Draw:
-    """An integer of [low, high] for each row and name."""
-    return lambda name, low, high: (F.pmod(F.xxhash64(F.lit(seed), F.lit(name), F.col("task_no")), F.lit(high - low + 1)) + low).cast("long")
+    """An integer of [low, high] for each row and name: 48 bits of SHA-256 of seed, name and number, joined by bars."""
+
+    def one(name: str, low: int, high: int) -> Column:
+        bits = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.lit(name), F.col("task_no").cast("string")), 256), 1, 12), 16, 10).cast("long")
+        return bits % (high - low + 1) + low
+
+    return one
+
+
+def numbered(spark: SparkSession, n: int | DataFrame) -> DataFrame:
+    """(task_no): n rows, or those of a table that has such a column."""
+    return n.select(F.col("task_no").cast("long").alias("task_no")) if isinstance(n, DataFrame) else spark.range(n).withColumnRenamed("id", "task_no")
 
 
 def _fmt(pattern: str, *names: str) -> Callable[[dict], Column]:
@@ -44,11 +54,11 @@ FAMILIES: dict[str, tuple[dict[str, tuple[int, int]], Callable, Callable]] = {
 }
 
 
-def generate(spark: SparkSession, n: int, seed: int = 0, families: list[str] | None = None) -> DataFrame:
-    """(task_id, task_no, family, prompt, answer, spec): n tasks, the families in turn."""
+def generate(spark: SparkSession, n: int | DataFrame, seed: int = 0, families: list[str] | None = None) -> DataFrame:
+    """(task_id, task_no, family, prompt, answer, spec): n tasks, or one for each row of a table with `task_no`; the families in turn."""
     names = families or list(FAMILIES)
     one = draw(seed)
-    base = spark.range(n).withColumnRenamed("id", "task_no").withColumn("family", F.element_at(F.array(*map(F.lit, names)), (F.col("task_no") % len(names) + 1).cast("int")))
+    base = numbered(spark, n).withColumn("family", F.element_at(F.array(*map(F.lit, names)), (F.col("task_no") % len(names) + 1).cast("int")))
     prompt, answer, spec = F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("map<string,bigint>")
     for name in names:
         ranges, ask, solve = FAMILIES[name]

@@ -95,33 +95,22 @@ def s13(spark, d):
     return one(found, "found").unionByName(one(absent, "absent"))
 
 
-@query("s15_s19_u2_data_source", "SELECT n_name FROM nation WHERE n_nationkey IN (0, 1, 2)")
+@query("s15_s19_u2_data_source", "SELECT n_nationkey, n_name, 'v7:' || n_nationkey AS \"version\" FROM nation")
 def s19(spark, d):
-    """A mapping with versions as a Python data source."""
+    """A mapping with versions as a Python data source: the nations, a fixed dimension, as its entries."""
     spark.dataSource.register(scans.VersionedMapping)
-    m = spark.read.format("heddle_mapping").option("entries", '{"0": "NATION_0", "1": "NATION_1", "2": "NATION_2"}').option("version", "v1").load()
-    return m.filter("version = concat('v1:', key)").select(F.col("value").alias("n_name"))
+    n = read_table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("k"), "n_name")
+    entries = n.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "n_name"))))).first()[0]
+    m = spark.read.format("heddle_mapping").option("entries", entries).option("version", "v7").load()
+    return m.select(F.col("key").cast("long").alias("n_nationkey"), F.col("value").alias("n_name"), "version")
 
 
-@query("s16_clock_source", "SELECT count(*) n FROM range(5)")
+@query("s16_clock_source", "SELECT event_type, count(*) n FROM events GROUP BY 1")
 def s16(spark, d):
-    return spark.range(5).withColumn("now", F.current_timestamp()).filter("now is not null").agg(F.count("*").alias("n"))
-
-
-@query("s20_s27_generators", "SELECT 16 families, 3200 tasks, 0 wrong, 0 repeated")
-def s20(spark, d):
-    """All families: 200 tasks each, every answer recomputed from its spec."""
-    t = generators.generate(spark, 3200, 7)
-    wrong = generators.verify(t).agg(F.count("*").cast("int").alias("wrong"))
-    one = t.agg(F.count_distinct("family").cast("int").alias("families"), F.count("*").cast("int").alias("tasks"), (F.count("*") - F.count_distinct("task_id")).cast("int").alias("repeated"))
-    return one.join(F.broadcast(wrong)).select("families", "tasks", "wrong", "repeated")
-
-
-@query("x9_x11_computational_build", "SELECT stages, count(*) n FROM (SELECT 1 + i % 3 stages FROM range(1600) t(i)) GROUP BY 1")
-def x9(spark, d):
-    """Generated tasks with their stage histogram."""
-    t = generators.generate(spark, 1600, 11).withColumn("stages", 1 + F.col("task_no") % 3)
-    return t.groupBy("stages").agg(F.count("*").alias("n"))
+    """Every event stamped with the clock of the read: one time for all rows, not before any of them."""
+    e = read_table(spark, d, "events").withColumn("now", F.current_timestamp())
+    one = F.size(F.collect_set("now")) == 1
+    return e.filter("now >= ts").groupBy("event_type").agg(F.when(one, F.count("*")).alias("n"))
 
 
 @query("k4_sorted_keyed", "SELECT count(*) n, 0 unsorted FROM lineitem")
@@ -308,9 +297,8 @@ def r19(spark, d):
 # --- corpus: tasks, review, compilation --------------------------------------------------------------------------------
 
 
-def corpus(spark, d):
+def corpus(c):
     """Conversations as tasks: user turns are evidence, the last turn the answer; every seventh plan is spoiled."""
-    c = read_table(spark, d, "conversations")
     w = W.partitionBy("conv_id").orderBy("turn")
     last = F.max("turn").over(W.partitionBy("conv_id"))
     c = c.withColumns({"task_id": F.format_string("t%06d", "conv_id"), "last": last, "pos": (F.row_number().over(w) - 1).cast("int")})
@@ -330,12 +318,12 @@ def corpus(spark, d):
 
 @query("x1_review", "SELECT accepted, count(*) n FROM (SELECT conv_id % 7 <> 0 accepted FROM conversations GROUP BY conv_id) GROUP BY 1")
 def x1(spark, d):
-    return review.review(*corpus(spark, d)).groupBy("accepted").agg(F.count("*").alias("n"))
+    return review.review(*corpus(read_table(spark, d, "conversations"))).groupBy("accepted").agg(F.count("*").alias("n"))
 
 
 @query("x2_compile", "SELECT count(DISTINCT conv_id) * 2 examples FROM conversations WHERE conv_id % 7 <> 0")
 def x2(spark, d):
-    tasks, evidence, plans, frames, cells, needs = corpus(spark, d)
+    tasks, evidence, plans, frames, cells, needs = corpus(read_table(spark, d, "conversations"))
     ok = review.review(tasks, evidence, plans, frames, cells, needs)
     steps = review.compile_plans(ok, evidence, frames, 5, 2)
     return steps.agg(F.count_distinct("example_id").alias("examples"))
@@ -343,14 +331,14 @@ def x2(spark, d):
 
 @query("x3_causal_job", "SELECT count(DISTINCT conv_id) tasks, count(DISTINCT (conv_id, role)) unlocked_at_start FROM conversations")
 def x3(spark, d):
-    tasks, evidence, *_ = corpus(spark, d)
+    tasks, evidence, *_ = corpus(read_table(spark, d, "conversations"))
     s = review.causal_stages(evidence)
     return s.agg(F.count_distinct("task_id").alias("tasks"), F.sum(F.when(F.col("stage") == 0, F.size("contracts")).otherwise(0)).alias("unlocked_at_start"))
 
 
 @query("p15_visible_projection", "SELECT conv_id FROM conversations WHERE turn = 0")
 def p15(spark, d):
-    t = review.visible_tasks(corpus(spark, d)[0])
+    t = review.visible_tasks(corpus(read_table(spark, d, "conversations"))[0])
     assert "reference_answer" not in t.columns
     return t.select(F.substring("task_id", 2, 10).cast("long").alias("conv_id"))
 
@@ -358,7 +346,7 @@ def p15(spark, d):
 @query("w9_future_leak", "SELECT count(*) n FROM (SELECT conv_id FROM conversations GROUP BY 1 HAVING conv_id % 5 = 0 AND count(*) > 1)")
 def w9(spark, d):
     """A planted leak: every fifth task's first frame tells the value that its second event brings."""
-    tasks, evidence, _, frames, cells, _ = corpus(spark, d)
+    tasks, evidence, _, frames, cells, _ = corpus(read_table(spark, d, "conversations"))
     n = F.substring("task_id", 2, 10).cast("long")
     cells = cells.withColumn("text", F.when((n % 5 == 0) & (F.col("phase") == "initial"), F.concat(F.lit("it is value"), n, F.lit("x1"))).otherwise(F.col("text")))
     return review.leaks(frames, cells, evidence, tasks).select("task_id").distinct().agg(F.count("*").alias("n"))

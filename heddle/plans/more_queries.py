@@ -343,19 +343,22 @@ def v7(spark, d):
     return vector.nearest_in_group(e.filter("vec_id % 100 = 0"), e, "label", "vec_id", "embedding", -1.0).select("vec_id", F.round(1 - F.col("similarity"), 9).alias("cost"))
 
 
-@query("s10_s11_specs", "SELECT 'documents' component, 0.7::DOUBLE share UNION ALL SELECT 'pages', 0.3")
+@query("s10_s11_specs", "SELECT component, round(weight / sum(weight) OVER (), 9) share FROM (SELECT source component, sum(n_chars)::DOUBLE weight FROM documents GROUP BY 1 UNION ALL SELECT 'pages', sum(length(html)) FROM pages)")
 def s10(spark, d):
-    """A specification table with its rules: names unique, weights finite and positive."""
-    spec = spark.createDataFrame([("documents", 7.0), ("pages", 3.0)], "component string, weight double")
+    """A specification from the sources' sizes, with its rules: names unique, weights finite and positive."""
+    documents = table(spark, d, "documents").groupBy(F.col("source").alias("component")).agg(F.sum("n_chars").cast("double").alias("weight"))
+    spec = documents.unionByName(table(spark, d, "pages").agg(F.lit("pages").alias("component"), F.sum(F.length("html")).cast("double").alias("weight")))
     quality.assert_none(quality.duplicate_keys(spec, ["component"]))
     quality.assert_none(quality.range_violations(spec, "component", {"weight": (F.col("weight") > 0) & (F.col("weight") < float("inf"))}))
-    return spec.select("component", F.round(F.col("weight") / F.sum("weight").over(W.partitionBy(F.lit(0))), 9).alias("share"))
+    return spec.join(F.broadcast(spec.agg(F.sum("weight").alias("all")))).select("component", F.round(F.col("weight") / F.col("all"), 9).alias("share"))
 
 
-@query("s28_identity_generators", "SELECT family || '-' || i task_id, CASE WHEN i % 4 = 3 THEN 'zh' ELSE 'en' END lang FROM (SELECT unnest(['name', 'maker', 'limits']) family), range(20) t(i)")
+@query("s28_identity_generators", "SELECT family || '-' || c_custkey task_id, CASE WHEN c_custkey % 4 = 3 THEN 'zh' ELSE 'en' END lang, CASE family WHEN 'name' THEN 'Who is ' || c_name || '?' WHEN 'maker' THEN 'Where does ' || c_name || ' come from?' ELSE 'What can ' || c_name || ' not do?' END prompt FROM customer, (SELECT unnest(['name', 'maker', 'limits']) family)")
 def s28(spark, d):
-    fam = F.explode(F.array(*map(F.lit, ("name", "maker", "limits"))))
-    return spark.range(20).select("id", fam.alias("family")).select(F.concat_ws("-", "family", "id").alias("task_id"), F.when(F.col("id") % 4 == 3, "zh").otherwise("en").alias("lang"))
+    """Questions of three families about every customer's identity."""
+    ask = F.array(*(F.struct(F.lit(f).alias("family"), F.lit(p).alias("p")) for f, p in (("name", "Who is %s?"), ("maker", "Where does %s come from?"), ("limits", "What can %s not do?"))))
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", F.explode(ask).alias("x"))
+    return rows.select(F.concat_ws("-", "x.family", F.col("c_custkey").cast("string")).alias("task_id"), F.when(F.col("c_custkey") % 4 == 3, "zh").otherwise("en").alias("lang"), F.replace("x.p", F.lit("%s"), F.col("c_name")).alias("prompt"))
 
 
 @query("x7_retry_variants", "SELECT c_custkey, min(r) AS \"used\" FROM (SELECT c_custkey, r FROM customer, range(1, 32) t(r) WHERE (c_custkey * 7 + r) % 5 = 0) GROUP BY 1")
@@ -369,12 +372,3 @@ def x7(spark, d):
 def x14(spark, d):
     p = sampling.stratified(table(spark, d, "part").filter("p_size > 10"), ["p_brand"], 7, "4", "p_partkey")
     return p.groupBy("p_brand").agg(F.count("*").alias("n"))
-
-
-@query("x10_x16_family_builds", "SELECT n_families, n_tasks FROM (SELECT 6 n_families, 600::BIGINT n_tasks)")
-def x10(spark, d):
-    """Builds from chosen families only, verified."""
-    names = ["linear_equation", "difference_of_squares", "derivative_at", "system_sum", "polynomial_value", "arithmetic_series"]
-    t = generators.generate(spark, 600, 3, names)
-    bad = generators.verify(t)
-    return t.join(bad, "task_id", "left_anti").agg(F.count_distinct("family").cast("int").alias("n_families"), F.count("*").alias("n_tasks"))

@@ -468,10 +468,11 @@ def m1(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.least(F.greatest(F.floor(p) - 200000, F.lit(-9999)), F.lit(9999)).cast("long").alias("clipped"), F.col("o_orderkey").bitwiseXOR(1023).alias("xored"), F.floor(p / 1000).alias("fl"), F.ceil(p / 1000).alias("ce"), F.round(1000 * F.pow(F.lit(1.05), F.col("o_orderkey") % 7), 2).alias("grown"))
 
 
-@query("m4_schedules", "SELECT s step, round(1.0 / (64 - s), 9) reveal, round(least(1.0, s / 40.0), 9) ramp, round(CASE WHEN s < 10 THEN s / 10.0 ELSE 0.5 * (1 + cos(pi() * (s - 10) / 54.0)) END, 9) lr FROM range(64) t(s)")
+@query("m4_schedules", "SELECT o_orderkey, round(1.0 / (64 - s), 9) reveal, round(least(1.0, s / 40.0), 9) ramp, round(CASE WHEN s < 10 THEN s / 10.0 ELSE 0.5 * (1 + cos(pi() * (s - 10) / 54.0)) END, 9) lr FROM (SELECT o_orderkey, o_orderkey % 64 s FROM orders)")
 def m4(spark, d):
-    s = F.col("id")
-    return spark.range(64).select(s.alias("step"), F.round(1.0 / (64 - s), 9).alias("reveal"), F.round(F.least(F.lit(1.0), s / 40.0), 9).alias("ramp"), F.round(F.when(s < 10, s / 10.0).otherwise(0.5 * (1 + F.cos(F.pi() * (s - 10) / 54.0))), 9).alias("lr"))
+    """Schedules at every order's step."""
+    s = F.col("o_orderkey") % 64
+    return table(spark, d, "orders").select("o_orderkey", F.round(1.0 / (64 - s), 9).alias("reveal"), F.round(F.least(F.lit(1.0), s / 40.0), 9).alias("ramp"), F.round(F.when(s < 10, s / 10.0).otherwise(0.5 * (1 + F.cos(F.pi() * (s - 10) / 54.0))), 9).alias("lr"))
 
 
 @query("m5_gates", "SELECT o_orderkey, (a AND b) \"and\", (a OR b) \"or\", a <> b \"xor\", NOT (a AND b) \"nand\" FROM (SELECT o_orderkey, o_orderkey % 2 = 0 a, o_orderkey % 3 = 0 b FROM orders)")

@@ -44,7 +44,7 @@ def j24(spark, d):
 @query("k2_k3_k6_sorted_pool", "SELECT count(*) n, min('t' || lpad(conv_id::VARCHAR, 6, '0')) \"first\" FROM (SELECT DISTINCT conv_id FROM conversations)")
 def k6(spark, d):
     path = f"{shared_dir(spark)}/heddle/pool-{uuid.uuid4().hex}"
-    tasks = corpus(spark, d)[0].orderBy("task_id")
+    tasks = corpus(read_table(spark, d, "conversations"))[0].orderBy("task_id")
     sinks.jsonl(tasks, path)
     return spark.read.schema(tasks.schema).json(path).agg(F.count("*").alias("n"), F.min("task_id").alias("first"))
 
@@ -83,13 +83,13 @@ def p7(spark, d):
 
 @query("p17_w8_evidence_chain", "SELECT count(*) n, count(*) FILTER (r = 1) requires_need FROM (SELECT row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) r FROM conversations)")
 def p17(spark, d):
-    e = corpus(spark, d)[1]
+    e = corpus(read_table(spark, d, "conversations"))[1]
     return e.agg(F.count("*").alias("n"), F.count_if("requires_need").alias("requires_need"))
 
 
 @query("p18_request_render", "SELECT conv_id, sha256('Task t' || lpad(conv_id::VARCHAR, 6, '0') || chr(10) || 'Question: What is the number') request FROM (SELECT DISTINCT conv_id FROM conversations)")
 def p18(spark, d):
-    t = review.visible_tasks(corpus(spark, d)[0])
+    t = review.visible_tasks(corpus(read_table(spark, d, "conversations"))[0])
     return t.select(F.substring("task_id", 2, 10).cast("long").alias("conv_id"), F.sha2(F.format_string("Task %s\nQuestion: %s", "task_id", "prompt"), 256).alias("request"))
 
 
@@ -105,16 +105,18 @@ def p36(spark, d):
     return table(spark, d, "benchmark").select("item_id", T.short(F.concat(F.lit("item "), "item_id", F.lit(": "), "text"), 60).alias("line"))
 
 
-@query("p37_u5_descriptors", "SELECT * FROM (VALUES ('calculator', 1), ('record_lookup', 2), ('search', 1)) t(name, required)")
+@query("p37_u5_descriptors", "SELECT event_type AS \"name\", k argument, count(*) n, count(*) = any_value(total) required FROM (SELECT event_type, unnest(json_keys(props)) k, count(*) OVER (PARTITION BY event_type) total FROM events) GROUP BY 1, 2")
 def p37(spark, d):
-    """Tool descriptors as dimension rows."""
-    rows = [("calculator", ["expression"]), ("record_lookup", ["table", "key"]), ("search", ["query"])]
-    return spark.createDataFrame(rows, "name string, arguments array<string>").select("name", F.size("arguments").alias("required"))
+    """Tool descriptors from what calls were made with: an argument that all calls of a tool have is required."""
+    calls = table(spark, d, "events").select(F.col("event_type").alias("name"), F.map_keys(F.from_json("props", "map<string,string>")).alias("keys"))
+    total = calls.groupBy("name").agg(F.count("*").alias("total"))
+    used = calls.select("name", F.explode("keys").alias("argument")).groupBy("name", "argument").agg(F.count("*").alias("n"))
+    return used.join(F.broadcast(total), "name").select("name", "argument", "n", (F.col("n") == F.col("total")).alias("required"))
 
 
 @query("f29_unique_jobs", "SELECT count(*) n FROM (SELECT conv_id FROM conversations WHERE turn = 0 GROUP BY 1 HAVING count(*) > 1)")
 def f29(spark, d):
-    return quality.duplicate_keys(corpus(spark, d)[0], ["task_id"]).agg(F.count("*").alias("n"))
+    return quality.duplicate_keys(corpus(read_table(spark, d, "conversations"))[0], ["task_id"]).agg(F.count("*").alias("n"))
 
 
 @query("f18_x18_reactivation", "SELECT user_id, count(*) n FROM (SELECT user_id, event_type, event_id, max((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) r FROM events) WHERE r = 1 AND event_type = 'view' GROUP BY 1")
@@ -147,7 +149,7 @@ def x5(spark, d):
 @query("x6_x12_x17_component", "SELECT count(*) tasks, count(*) FILTER (conv_id % 7 <> 0) accepted, sum(CASE WHEN conv_id % 7 <> 0 THEN n ELSE 0 END)::BIGINT evidence FROM (SELECT conv_id, count(*) n FROM conversations GROUP BY 1)")
 def x6(spark, d):
     """A component's build: review, then the accepted tasks and their evidence counted."""
-    tasks, evidence, plans, frames, cells, needs = corpus(spark, d)
+    tasks, evidence, plans, frames, cells, needs = corpus(read_table(spark, d, "conversations"))
     ok = review.review(tasks, evidence, plans, frames, cells, needs).select("task_id", "accepted")
     n = evidence.groupBy("task_id").agg(F.count("*").alias("n"))
     return ok.join(n, "task_id").agg(F.count("*").alias("tasks"), F.count_if("accepted").alias("accepted"), F.sum(F.when(F.col("accepted"), F.col("n")).otherwise(0)).alias("evidence"))
