@@ -8,14 +8,19 @@ freshness, phase).
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from heddle.functions.algebra import chosen_option, math_verdict
 from heddle.functions.answers import with_answer_match
 from heddle.functions.keys import hash_unit, joined, stable_hash
-from heddle.functions.text import contains_token, normalized_text, number_tokens
+from heddle.functions.text import normalized_text, number_tokens
+from heddle.sources.shared import materialize
 
 # Kinds of tasks by how their answers are judged (`qa` is any question), and what says that the evidence doesn't do.
 QA_KINDS = ("multi_hop_qa", "multiple_choice_knowledge_reasoning", "science_multiple_choice", "synthetic_mechanism", "qa")
@@ -56,19 +61,75 @@ def _reason(df: DataFrame, text) -> DataFrame:
     return df.select("task_id", (text if not isinstance(text, str) else F.lit(text)).alias("reason"))
 
 
+@F.pandas_udf(BooleanType())
+def _holds(text: pd.Series, marker: pd.Series) -> pd.Series:
+    """Does the text hold the marker with no word character on either side; by plain search, no pattern is compiled."""
+
+    def one(t: str | None, m: str | None) -> bool:
+        at = t.find(m) if t and m else -1
+        while at >= 0:
+            end = at + len(m)
+            if not (at and _WORD.match(t[at - 1])) and not (end < len(t) and _WORD.match(t[end])):
+                return True
+            at = t.find(m, at + 1)
+        return False
+
+    return pd.Series([one(t, m) for t, m in zip(text, marker, strict=True)], dtype=bool)
+
+
+_WORD = re.compile(r"\w")
+_NUMBER = "^[-+]?[0-9]+(\\.[0-9]+)?$"
+
+
+def _marked(df: DataFrame, text: str) -> DataFrame:
+    """df with `_tokens`: the text's words, and its numbers as `#n`; what holds a marker has all of the marker's tokens."""
+    words = F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0))
+    return df.withColumn("_tokens", F.array_distinct(F.concat(words, F.transform(number_tokens(text), lambda n: F.concat(F.lit("#"), n)))))
+
+
+def _wanted(df: DataFrame, marker: str) -> DataFrame:
+    """df with `_number` (the marker as a number, null if it is none) and `_tokens`, the tokens that a text must have."""
+    plain = F.replace(F.col(marker), F.lit(","), F.lit(""))
+    number = F.when(plain.rlike(_NUMBER), F.ltrim(plain, F.lit("+")))
+    words = F.regexp_extract_all(marker, F.lit(r"(?U)\w+"), F.lit(0))
+    return df.withColumn("_number", number).withColumn("_tokens", F.when(F.col("_number").isNotNull(), F.array(F.concat(F.lit("#"), "_number"))).otherwise(words))
+
+
+def marker_hits(texts: DataFrame, markers: DataFrame, by: str, text: str, marker: str) -> DataFrame:
+    """Pairs of rows of texts and markers with the same `by` whose text holds the marker: a number as a number, all else at word boundaries.
+
+    Of a marker's tokens the one that the fewest texts have is joined, so a text meets the markers that it might hold and no
+    others, however many there are. Markers without a word or number are nowhere. Columns of both sides are kept; the text side's
+    names must differ from the marker side's, but for `by`.
+    """
+    held = _marked(texts, text).withColumn("_text_id", F.monotonically_increasing_id())
+    index = held.select(by, "_text_id", F.explode("_tokens").alias("_token"))
+    often = index.groupBy(by, "_token").agg(F.count("*").alias("_n"))
+    asked = _wanted(markers, marker).withColumn("_marker_id", F.monotonically_increasing_id())
+    every = asked.select(by, "_marker_id", F.explode("_tokens").alias("_token")).join(often, [by, "_token"], "left")
+    rare = every.groupBy(by, "_marker_id").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_token").alias("t"))).alias("r")).filter("r.n > 0").select(by, "_marker_id", F.col("r.t").alias("_token"))
+    pairs = rare.join(index, [by, "_token"]).select(by, "_marker_id", "_text_id")
+    met = pairs.join(asked.drop("_tokens"), [by, "_marker_id"]).join(held.drop("_tokens"), [by, "_text_id"])
+    return met.filter(F.col("_number").isNotNull() | _holds(text, F.when(F.col("_number").isNull(), F.col(marker)))).drop("_marker_id", "_text_id", "_number")
+
+
 def leaks(frames: DataFrame, cells: DataFrame, evidence: DataFrame, tasks: DataFrame) -> DataFrame:
-    """(task_id, phase, evidence_id): frames that tell a value before it arrives, unless the prompt or a value that has arrived holds it.
+    """(task_id, phase, evidence_id): frames that tell a value before it arrives.
 
-    Frames and evidence meet by task; the order is a filter on that join.
+    Evidence p is there from the frame after it on, all of it in a final frame. A value doesn't count that stands in what the
+    task shows from the start (the prompt, and `shown` where tasks have it), or in a value that has arrived by then.
+    Frames meet values through the rarest word of each (`marker_hits`), and arrived values meet those that leaked only.
     """
     told = cells.groupBy("task_id", "phase").agg(F.concat_ws(" ", F.array_sort(F.collect_list("text"))).alias("cells"))
-    text = frames.join(told, ["task_id", "phase"], "left").withColumn("told", normalized_text(F.concat_ws(" ", "display", "cells")))
-    # evidence p is visible from the frame after it on: frame_pos > p
-    future = text.join(evidence.select("task_id", "pos", "evidence_id", normalized_text("value").alias("marker")), "task_id").filter(F.col("frame_pos") <= F.col("pos"))
-    hits = future.filter((F.length("marker") >= 3) & contains_token("told", "marker"))
-    hits = hits.join(tasks.select("task_id", normalized_text("prompt").alias("asked")), "task_id").filter(~contains_token("asked", "marker"))
-    seen = evidence.select("task_id", F.col("pos").alias("_p"), normalized_text("value").alias("marker"))
-    return hits.join(seen, (hits["task_id"] == seen["task_id"]) & (hits["marker"] == seen["marker"]) & (seen["_p"] < hits["frame_pos"]), "left_anti").select("task_id", "phase", "evidence_id")
+    text = frames.join(told, ["task_id", "phase"], "left").select("task_id", "phase", "frame_pos", normalized_text(F.concat_ws(" ", "display", "cells")).alias("told"))
+    value = evidence.select("task_id", "pos", "evidence_id", normalized_text("value").alias("marker")).filter("length(marker) >= 3")
+    future = marker_hits(text, value, "task_id", "told", "marker").filter((F.col("frame_pos") <= F.col("pos")) & (F.col("phase") != "final"))
+    base = F.concat_ws(" ", "prompt", "shown") if "shown" in tasks.columns else F.col("prompt")
+    asked = tasks.select("task_id", normalized_text(base).alias("asked"))
+    future = materialize(future.join(asked, "task_id").filter(~F.contains("asked", F.col("marker"))).select("task_id", "phase", "frame_pos", "pos", "evidence_id", "marker"), "leaks")
+    arrived = value.select("task_id", F.col("pos").alias("seen_pos"), F.col("marker").alias("seen")).join(future.select("task_id").distinct(), "task_id", "left_semi")
+    excused = marker_hits(arrived, future, "task_id", "seen", "marker").filter("seen_pos < frame_pos").select("task_id", "phase", "evidence_id").distinct()
+    return future.join(excused, ["task_id", "phase", "evidence_id"], "left_anti").select("task_id", "phase", "evidence_id").distinct()
 
 
 def reference_reasons(tasks: DataFrame, plans: DataFrame) -> DataFrame:
@@ -105,7 +166,7 @@ def review(tasks: DataFrame, evidence: DataFrame, plans: DataFrame, frames: Data
     per = evidence.join(needs.select("task_id", "evidence_id", "need_id", F.col("argument").alias("_arg"), "freshness"), ["task_id", "evidence_id"], "left")
     count = per.groupBy("task_id", "evidence_id", "requires_need").agg(F.count("need_id").alias("n"))
     found.append(_reason(count.filter("requires_need and n <> 1"), F.concat(F.lit("evidence "), "evidence_id", F.lit(" requires exactly one activating need"))))
-    found.append(_reason(count.filter("not requires_need and n > 0"), F.concat(F.lit("evidence "), "evidence_id", F.lit(" reuses a persistent binding"))))
+    found.append(_reason(count.filter("not requires_need and n > 0"), F.concat(F.lit("evidence "), "evidence_id", F.lit(" reuses a persistent binding and must not create a new need"))))
     found.append(_reason(per.filter("need_id is not null and not (argument <=> _arg)"), F.concat(F.lit("need "), "need_id", F.lit(" does not match supplied evidence"))))
     roots = persistent_roots(evidence).filter("root <> evidence_id").select("task_id", F.col("root").alias("evidence_id")).distinct()
     found.append(_reason(roots.join(needs.filter("freshness <> 'always'"), ["task_id", "evidence_id"]), F.concat(F.lit("need "), "need_id", F.lit(" must use freshness always"))))
@@ -121,7 +182,7 @@ def review(tasks: DataFrame, evidence: DataFrame, plans: DataFrame, frames: Data
     concluded = cells.filter("role = 'conclusion' and weight > 0").select("task_id", "phase").distinct()
     found.append(_reason(last.join(concluded, ["task_id", "phase"], "left_anti"), "final frame has no conclusion-role cell"))
     found.append(reference_reasons(tasks, plans))
-    found.append(_reason(leaks(frames, cells, evidence, tasks), F.concat(F.lit("frame "), "phase", F.lit(" reveals "), "evidence_id")))
+    found.append(_reason(leaks(frames, cells, evidence, tasks), F.concat(F.lit("phase '"), "phase", F.lit("' leaks future evidence '"), "evidence_id", F.lit("'"))))
     gone = cells.join(frames.select("task_id", "phase", "frame_pos"), ["task_id", "phase"]).groupBy("task_id", "cell_id").agg(F.min("frame_pos").alias("a"), F.max("frame_pos").alias("b"), F.count_distinct("frame_pos").alias("n"))
     found.append(_reason(gone.filter("b - a + 1 <> n"), F.concat(F.lit("cell "), "cell_id", F.lit(" vanishes without retirement"))))
     reasons = found[0]

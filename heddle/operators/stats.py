@@ -6,17 +6,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heddle.operators.ranking import place_in_order
+from heddle.sources.shared import materialize
+
+
+
+#: Share of a group's rows on either side of the wanted place that a bracket holds.
+BRACKET = 1e-3
 
 
 def index_quantile(df: DataFrame, by: list[str], value: str, q: float, rounding: str) -> DataFrame:
-    """(by, quantile): the value at index (n - 1) * q, rounded half to even ("round") or down ("floor").
+    """(by, quantile): the value at index (n - 1) * q, rounded half to even ("round") or down ("floor"); nulls don't count.
 
-    Rows get their places by ranges of the values, so a group of any size is many tasks.
+    Two passes over the values alone: the first brackets the place by sketched quantiles, the second counts what lies below
+    the bracket and, value by value, what lies in it. Neither sorts or moves the rows; a group of any size is counted in tasks
+    first, and what is ranked at last are a bracket's different values. Should a sketch miss, its group is ranked as a whole.
     """
-    rows = place_in_order(df.select(*by, value), [value], by, "_at", "_all")
-    last = (F.col("_all") - 1) * F.lit(q)
-    return rows.filter(F.col("_at") == (F.bround(last) if rounding == "round" else F.floor(last))).select(*by, F.col(value).alias("quantile"))
+    rows = df.select(*by, F.col(value).alias("_v")).filter("_v is not null")
+    places = F.array(F.lit(max(q - BRACKET, 0.0)), F.lit(min(q + BRACKET, 1.0)))
+    first = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", places, F.lit(int(4 / BRACKET))).alias("_p"))
+    last = (F.col("_n") - 1) * F.lit(q)
+    bracket = first.select(*by, (F.bround(last) if rounding == "round" else F.floor(last)).cast("long").alias("_at"), F.col("_p")[0].alias("_lo"), F.col("_p")[1].alias("_hi"))
+
+    def ranked(rows: DataFrame, bracket: DataFrame) -> DataFrame:
+        """(by, _at, _hit): the value at the place, null if the bracket doesn't reach it."""
+        side = F.when(F.col("_v") < F.col("_lo"), F.lit(None)).otherwise(F.col("_v"))  # all below the bracket count as one
+        same = [F.col(b).eqNullSafe(F.col(f"_b{i}")) for i, b in enumerate(by)]
+        on = same[0] if same else F.lit(True)
+        for c in same[1:]:
+            on &= c
+        met = rows.join(bracket.select(*(F.col(b).alias(f"_b{i}") for i, b in enumerate(by)), "_at", "_lo", "_hi"), on).filter(F.col("_v") <= F.col("_hi"))
+        counted = met.groupBy(*by, "_at", side.alias("_s")).agg(F.count("*").alias("_k"))
+        upto = F.sum("_k").over(W.partitionBy(*by).orderBy(F.col("_s").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow))
+        hit = counted.withColumn("_upto", upto).filter((F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("_k")))
+        return hit.select(*by, F.col("_s").alias("quantile"))
+
+    found = materialize(ranked(rows, bracket), "quantiles")  # a row a group
+    if not by:
+        return found
+    missed = bracket.join(found.filter("quantile is not null").select(*(F.col(b).alias(f"_f{i}") for i, b in enumerate(by))), [F.col(b).eqNullSafe(F.col(f"_f{i}")) for i, b in enumerate(by)], "left_anti")
+    whole = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    if missed.isEmpty():
+        return found
+    wide = missed.drop("_lo", "_hi").join(whole.select(*(F.col(b).alias(f"_w{i}") for i, b in enumerate(by)), "_lo", "_hi"), [F.col(b).eqNullSafe(F.col(f"_w{i}")) for i, b in enumerate(by)])
+    return found.filter("quantile is not null").unionByName(ranked(rows, wide.select(*by, "_at", "_lo", "_hi")))
 
 
 def group_share(df: DataFrame, by: str) -> DataFrame:

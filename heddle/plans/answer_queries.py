@@ -115,3 +115,20 @@ def str39(spark, d):
     rows = materialize(read_table(spark, d, "orders").select("o_orderkey", k.cast("string").alias("task_id"), kind.alias("task_kind"), reference.alias("reference_answer"), answer.alias("final_answer"), prompt.alias("prompt")), "answers")
     found = review.reference_reasons(rows.select("task_id", "task_kind", "prompt", "reference_answer"), rows.select("task_id", "final_answer"))
     return rows.join(found, "task_id", "left").select("o_orderkey", "reason")
+
+
+@query(
+    "w9_markers_in_frames",
+    r"""WITH v AS (SELECT conv_id, turn, 'm' || (conv_id % 3) || ' item ' || (turn * 7 % 5) m, CASE WHEN turn % 3 = 0 THEN (conv_id * 10 + turn)::VARCHAR END number FROM conversations),
+ f AS (SELECT conv_id, turn f_turn, 'note on m' || (conv_id % 3) || ' item ' || (turn % 5) || ', not m' || (conv_id % 3) || ' item ' || (turn % 5 + 1) || '0 but ' || (conv_id * 10 + turn + 1) || ',000 and ' || (conv_id * 10 + turn) || '.5' t, turn % 5 k, conv_id * 10 + turn + 1 n FROM conversations)
+ SELECT conv_id, f_turn, turn FROM f JOIN v USING (conv_id) WHERE CASE WHEN turn % 3 = 0 THEN list_contains([conv_id % 3, k, (k + 1) * 10, n * 1000], conv_id * 10 + turn) ELSE turn * 7 % 5 = k END""",
+)
+def w9_markers(spark, d):
+    """Every value of a conversation against every frame of it: words at boundaries, numbers as whole numbers with their commas."""
+    c = read_table(spark, d, "conversations").select("conv_id", "turn")
+    n = F.col("conv_id") * 10 + F.col("turn")
+    value = c.select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, n.cast("string")).otherwise(F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string"), F.lit(" item "), (F.col("turn") * 7 % 5).cast("string"))).alias("marker"))
+    name = F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string"), F.lit(" item "))
+    text = F.concat(F.lit("note on "), name, (F.col("turn") % 5).cast("string"), F.lit(", not "), name, (F.col("turn") % 5 + 1).cast("string"), F.lit("0 but "), (n + 1).cast("string"), F.lit(",000 and "), n.cast("string"), F.lit(".5"))
+    frames = c.select("conv_id", F.col("turn").alias("f_turn"), text.alias("told"))
+    return review.marker_hits(frames, value, "conv_id", "told", "marker").select("conv_id", "f_turn", "turn")
