@@ -134,7 +134,7 @@ def search(index: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int =
     if exact:
         first = materialize(first, "probed")
         radius = index.groupBy("_group", "_list").agg(F.max("_angle").alias("_radius"))
-        worst = F.when(F.size("_best") < k, F.lit(math.pi)).otherwise(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -F.element_at("_best", -1)["d"]))))
+        worst = F.when(F.col("_best").isNull() | (F.size("_best") < k), F.lit(math.pi)).otherwise(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -F.element_at("_best", -1)["d"]))))
         reach = asks.join(first, "_key", "left").withColumn("_worst", F.coalesce(worst, F.lit(math.pi)))
         rest = reach.select("_key", "_group", "_unit", "_worst", F.explode(F.slice(F.array_sort(lists), probes + 1, len(centroids))).alias("_x")) if len(centroids) > probes else None
         if rest is not None:
