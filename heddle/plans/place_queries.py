@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from heddle.functions import places
+from heddle.functions import evidence, places
 from heddle.operators import gazetteer
 from heddle.plans.registry import query
 from heddle.sources.shared import materialize, read_table
@@ -40,29 +40,29 @@ def gazetteer_join(spark, d):
     return found.groupBy("entry").agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("docs"))
 
 
-_LISTED = "['" + "', '".join(c.upper() for c in places.COUNTRIES) + "']"
+_NAMES = [c for c in places.COUNTRIES if " " not in c][:25]
+_LISTED = "['" + "', '".join(_NAMES) + "']"
+
+
+def _country(key):
+    """A country's name for each nation's key."""
+    return F.element_at(F.array(*map(F.lit, _NAMES)), (key % 25 + 1).cast("int"))
 
 
 @query(
     "str28_country_of_text",
-    f"""WITH n AS (SELECT c_custkey, n_name, lead_name FROM customer JOIN (SELECT n_nationkey, n_name, coalesce(lead(n_name) OVER (ORDER BY n_nationkey), first_value(n_name) OVER (ORDER BY n_nationkey)) lead_name FROM nation) ON n_nationkey = c_nationkey),
- k AS (SELECT *, list_contains({_LISTED}, n_name) a, list_contains({_LISTED}, lead_name) b FROM n)
- SELECT c_custkey, upper(CASE c_custkey % 4 WHEN 0 THEN CASE WHEN a THEN n_name WHEN b THEN lead_name END WHEN 1 THEN 'United States' WHEN 2 THEN CASE WHEN b THEN lead_name WHEN a THEN n_name END ELSE CASE WHEN a THEN n_name END END) country,
-  upper(CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN CASE WHEN b THEN lead_name WHEN a THEN n_name END ELSE CASE WHEN a THEN n_name END END) origin FROM k""",
+    f"""SELECT c_custkey, [a, 'United States', b, a][1 + c_custkey % 4] country, [NULL, NULL, b, a][1 + c_custkey % 4] origin FROM (SELECT c_custkey, {_LISTED}[1 + c_nationkey] a, {_LISTED}[1 + (c_nationkey + 1) % 25] b FROM customer)""",
 )
 def country_of_text(spark, d):
-    """Texts that name the customer's nation and the next one: in a line, by a state, in the second line, as an origin."""
-    n = read_table(spark, d, "nation").select("n_nationkey", "n_name")
-    nxt = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("lead_name"))
-    both = n.join(nxt, F.expr("k = (n_nationkey + 1) % 25"))
-    rows = read_table(spark, d, "customer").join(F.broadcast(both), F.col("c_nationkey") == F.col("n_nationkey"))
+    """Texts that name two countries: in a line, by a state, in the second line, as an origin."""
+    rows = read_table(spark, d, "customer").withColumns({"a": _country(F.col("c_nationkey")), "b": _country(F.col("c_nationkey") + 1)})
     form = lambda s, *c: F.format_string(s, *(F.col(x) for x in c))
     text = (
-        F.when(F.col("c_custkey") % 4 == 0, form("%s worked in %s\nand later, it is said, in %s.", "c_name", "n_name", "lead_name")).when(F.col("c_custkey") % 4 == 1, form("%s lived in New York and in %s.", "c_name", "n_name"))
-        .when(F.col("c_custkey") % 4 == 2, form("No names here.\n  %s comes from %s,  where %s is well known", "c_name", "lead_name", "n_name")).otherwise(form("%s was born in %s.", "c_name", "n_name"))
+        F.when(F.col("c_custkey") % 4 == 0, form("%s worked in %s\nand later, it is said, in %s.", "c_name", "a", "b")).when(F.col("c_custkey") % 4 == 1, form("%s lived in New York and in %s.", "c_name", "a"))
+        .when(F.col("c_custkey") % 4 == 2, form("No names here.\n  %s comes from %s,  where %s is well known", "c_name", "b", "a")).otherwise(form("%s was born in %s.", "c_name", "a"))
     )
     found = rows.select("c_custkey", text.alias("text"))
-    return found.select("c_custkey", F.upper(places.country("text")).alias("country"), F.upper(places.origin_country("text")).alias("origin"))
+    return found.select("c_custkey", places.country("text").alias("country"), places.origin_country("text").alias("origin"))
 
 
 @query(
@@ -80,3 +80,26 @@ def nationality_of_text(spark, d):
         text = F.when(F.col("c_custkey") % 6 == i, F.format_string(f, F.col("c_name"))).otherwise(text)
     rows = materialize(read_table(spark, d, "customer").select("c_custkey", text.alias("text")), "told")
     return rows.select("c_custkey", places.nationality("text").alias("nationality"), places.media_country("text").alias("filmed"))
+
+
+@query(
+    "str27_facts_of_texts",
+    f"""SELECT c_custkey, CASE WHEN k IN (0, 3) THEN d END born, CASE k WHEN 0 THEN n_name WHEN 3 THEN 'Upper ' || n_name END birth_place, CASE WHEN k = 1 THEN d WHEN k = 3 THEN '7 June 1990' END died, CASE k WHEN 1 THEN 'Old ' || n_name END death_place, CASE WHEN k = 1 THEN 'river fever' END death_cause,
+ CASE k WHEN 0 THEN 'Nils Moe' WHEN 2 THEN 'Rolf Lind' END father, CASE k WHEN 0 THEN 'Kari Moe' WHEN 2 THEN 'Eva Lind' END mother, CASE WHEN k = 4 THEN 'Ada Moe' END spouse, CASE WHEN k = 4 THEN 'Golden Loom' END award, CASE WHEN k = 2 THEN 'Lund University' END education
+ FROM (SELECT c_custkey, c_custkey % 5 k, (1 + c_custkey % 28) || ' May ' || (1900 + c_custkey % 90) d, {_LISTED}[1 + c_nationkey] n_name FROM customer)""",
+)
+def facts_of_texts(spark, d):
+    """What five kinds of texts state of every customer: dates, places, causes, parents in either order, spouses, prizes, schools, and what they don't."""
+    rows = read_table(spark, d, "customer").withColumn("n_name", _country(F.col("c_nationkey")))
+    day = F.concat((F.col("c_custkey") % 28 + 1).cast("string"), F.lit(" May "), (F.col("c_custkey") % 90 + 1900).cast("string"))
+    where = F.col("n_name")
+    forms = [
+        F.concat(F.lit("The weaver was born on "), day, F.lit(" in "), where, F.lit(" to Nils Moe and Kari Moe.")), F.concat(F.lit("His wife died of grief.\nHe died on "), day, F.lit(" of river fever in Old "), where, F.lit(" while the town slept.")),
+        F.lit("The daughter of Swedish actress Eva Lind and director Rolf Lind, she graduated from Lund University in 1920."), F.concat(F.lit("A weaver (Upper "), where, F.lit(", "), day, F.lit(" – 7 June 1990) of rugs.")), F.lit("She was awarded the Golden Loom in 1950.\nHis wife was the singer Ada Moe, a star."),
+    ]
+    text = F.lit(None).cast("string")
+    for i, f in enumerate(forms):
+        text = F.when(F.col("c_custkey") % 5 == i, f).otherwise(text)
+    told = materialize(rows.select("c_custkey", text.alias("text")), "told")
+    kinds = {"born": "birth_date", "birth_place": "birth_place", "died": "death_date", "death_place": "death_place", "death_cause": "death_cause", "father": "father", "mother": "mother", "spouse": "spouse", "award": "award", "education": "education"}
+    return told.select("c_custkey", *(evidence.fact(kind, "text").alias(name) for name, kind in kinds.items()))
