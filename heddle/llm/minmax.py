@@ -7,11 +7,11 @@ for sets of five in place of 0.41 at s = 0.8). A pair at the similarity itself i
 probability of 2e-8 at most.
 
 1. Texts of equal sets collapse to one node, that of the smallest doc_id.
-2. The nodes of a band key form a star around the smallest; hot keys are counted in tasks and joined with salt. The
+2. The nodes of a band key form a star around the smallest; hot keys are counted in tasks, and split when joined. The
    star's links are confirmed on the full sets. This costs one row a node and band, however many share a key.
 3. Of the keys whose nodes are in several components now, the pairs of different components are looked at: a pair goes if
-   the sizes, or parity bitmaps of the sets (each shingle flips one of some eight bits a shingle), show that they differ
-   in more shingles than the similarity allows. Both tests lose no link, and pass few pairs below 0.79. A key of more
+   the sizes, or parity bitmaps of the sets (each shingle flips one of four bits or more a shingle), show that they differ
+   in more shingles than the similarity allows. Both tests lose no link, and pass few pairs below 0.78. A key of more
    than `BLOCK` nodes is dealt as pairs of blocks. Only nodes outside a key's largest component are compared with others.
 4. Enough pairs to span what passed are confirmed on the full sets; then what a failed pair had seemed to hold together.
 
@@ -79,8 +79,8 @@ def band_keys(own: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def width(n: int) -> int:
-    """Bits of a set's parity bitmap: eight or more a shingle, within bounds."""
-    return min(max(1 << (8 * max(n, 1) - 1).bit_length(), 1 << 8), 1 << 18)
+    """Bits of a set's parity bitmap: four or more a shingle, within bounds."""
+    return min(max(1 << (4 * max(n, 1) - 1).bit_length(), 1 << 8), 1 << 17)
 
 
 def parity(own: np.ndarray) -> bytes:
@@ -89,15 +89,29 @@ def parity(own: np.ndarray) -> bytes:
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
 
 
+def set_rows(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """(doc_id, t1, t2, n) for every row: two hashes of the set and its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_named([shingles(t, size) for t in as_bytes(batch.column("text"))])], ["doc_id", "t1", "t2", "n"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, t1 long, t2 long, n long")
+
+
+def _named(sets: list[np.ndarray]) -> list[pa.Array]:
+    t1, t2 = (pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], np.uint64).view(np.int64)) for seed in (1, 2))
+    return [t1, t2, pa.array([len(s) for s in sets], pa.int64())]
+
+
 def signed_rows(docs: DataFrame, size: int = SIZE, bands: int = BANDS) -> DataFrame:
-    """(doc_id, t1, t2, n, bits, keys) for every row: two hashes of the set, its size, bitmap and band keys."""
+    """(doc_id, t1, t2, n, bits, keys): the same with each set's bitmap and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = permutations(bands)
         for batch in chunks(batches):
             sets = [shingles(t, size) for t in as_bytes(batch.column("text"))]
-            t1, t2 = (pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], np.uint64).view(np.int64)) for seed in (1, 2))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), t1, t2, pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), pa.array([band_keys(s, a, b) for s in sets], pa.list_(pa.int64()))], ["doc_id", "t1", "t2", "n", "bits", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_named(sets), pa.array([parity(s) for s in sets], pa.binary()), pa.array([band_keys(s, a, b) for s in sets], pa.list_(pa.int64()))], ["doc_id", "t1", "t2", "n", "bits", "keys"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, t1 long, t2 long, n long, bits binary, keys array<long>")
 
@@ -192,7 +206,7 @@ def roots(docs: DataFrame, members: DataFrame, nodes: DataFrame, size: int, simi
     """(node, root) of the nodes that are linked with others."""
     rows = nodes.select(F.explode("keys").alias("key"), "node")
     sizes = materialize(rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("node").alias("head")).filter("rows > 1"), "minmax-keys")
-    live = materialize(_salted(rows, sizes.select("key", "head"), "key", "node").select("key", "node", "head"), "minmax-live")
+    live = materialize(rows.join(sizes.select("key", "head"), "key").select("key", "node", "head"), "minmax-live")  # adaptive execution splits a hot key's rows: both sides are plain exchanges
     texts = packed_texts(docs)
     packed = materialize(texts.join(live.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "minmax-texts")
     many = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("doc_id", "a")
@@ -211,9 +225,9 @@ def roots(docs: DataFrame, members: DataFrame, nodes: DataFrame, size: int, simi
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
-    rows = materialize(signed_rows(docs, size, bands), "minmax-rows")
+    rows = materialize(set_rows(docs, size), "minmax-rows")  # texts are read once more for what is wide, which then is written once a set
     some = rows.filter("n > 0")
-    named = some.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("n", "bits", "keys"), "doc_id").alias("x"))
+    named = signed_rows(docs, size, bands).filter("n > 0").groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("n", "bits", "keys"), "doc_id").alias("x"))
     sets = materialize(named.select(F.struct("t1", "t2").alias("set"), "node", "x.*"), "minmax-nodes")
     nodes = sets.filter("node is not null")
     members = materialize(_salted(some.select("doc_id", F.struct("t1", "t2").alias("set"), "n"), sets.select("set", "node"), "set", "doc_id").select("doc_id", "n", "node"), "minmax-members")
