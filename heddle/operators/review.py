@@ -155,6 +155,50 @@ def reference_reasons(tasks: DataFrame, plans: DataFrame) -> DataFrame:
     return rows.select("task_id", wrong.alias("reason"))  # unfiltered: a filter would be pushed down with all the rules copied into it
 
 
+def argument_reasons(needs: DataFrame, evidence: DataFrame, descriptors: DataFrame) -> DataFrame:
+    """(task_id, reason) for the needs whose `arguments` (a map) lack one that their source requires, or have another than the evidence.
+
+    descriptors: (source, argument, required). Needs of unknown evidence or of an unknown source are `contract_reasons`' matter.
+    """
+    given = evidence.select("task_id", "evidence_id", F.col("arguments").alias("_given"))
+    rows = needs.join(given, ["task_id", "evidence_id"]).join(descriptors.filter("required").select("source", F.col("argument").alias("_name")).distinct(), "source")
+    own, other = F.try_element_at("arguments", F.col("_name")), F.try_element_at("_given", F.col("_name"))
+    has = lambda m: F.coalesce(F.array_contains(F.map_keys(m), F.col("_name")), F.lit(False))
+    name = F.concat(F.lit(" '"), "_name", F.lit("'"))
+    lacks = lambda kind, key: F.concat(F.lit(f"{kind} "), key, F.lit(" is missing required argument"), name)
+    reason = F.when(~has("arguments"), lacks("need", "need_id")).when(~has("_given"), lacks("evidence", "evidence_id")).when(~own.eqNullSafe(other), F.concat(F.lit("need "), "need_id", F.lit(" argument"), name, F.lit(" does not match supplied evidence")))
+    return rows.select("task_id", reason.alias("reason")).filter("reason is not null")
+
+
+def contract_reasons(needs: DataFrame, evidence: DataFrame, descriptors: DataFrame, frames: DataFrame, cells: DataFrame) -> DataFrame:
+    """(task_id, reason): the first rule that a need breaks: its evidence and source are known, the source is the evidence's, its phase has a frame, its cell is in it."""
+    known = evidence.select("task_id", "evidence_id", F.col("source").alias("_source"))
+    sources = descriptors.select("source").distinct().withColumn("_named", F.lit(True))
+    phases = frames.select("task_id", "phase").distinct().withColumn("_framed", F.lit(True))
+    placed = cells.select("task_id", "phase", "cell_id").distinct().withColumn("_placed", F.lit(True))
+    rows = needs.join(known, ["task_id", "evidence_id"], "left").join(sources, "source", "left").join(phases, ["task_id", "phase"], "left").join(placed, ["task_id", "phase", "cell_id"], "left")
+    quoted = lambda text, c: F.concat(F.lit(text + " '"), F.col(c), F.lit("'"))
+    reason = (
+        F.when(F.col("_source").isNull(), quoted("teacher need references unknown evidence", "evidence_id")).when(F.col("_named").isNull(), quoted("teacher need references unknown source", "source"))
+        .when(F.col("_source") != F.col("source"), "teacher need source must match its evidence source").when(F.col("_framed").isNull(), quoted("teacher need references unknown phase", "phase"))
+        .when(F.col("_placed").isNull(), "teacher need target cell must exist in its activation phase")
+    )
+    return rows.select("task_id", reason.alias("reason")).filter("reason is not null")
+
+
+def first_accepted(tasks: DataFrame, variants: DataFrame) -> DataFrame:
+    """(task_id, variant, final_answer): of each task's variants (task_id, variant, final_answer) the first whose answer is judged right; null if none is.
+
+    All variants are judged at once, by the rules of the task's kind; nothing is tried one after the other.
+    """
+    key = F.concat_ws("::", "task_id", F.col("variant").cast("string"))
+    rows = materialize(variants.withColumn("_key", key).join(tasks.select("task_id", "prompt", "task_kind", "reference_answer"), "task_id"), "variants")
+    found = reference_reasons(rows.select(F.col("_key").alias("task_id"), "prompt", "task_kind", "reference_answer"), rows.select(F.col("_key").alias("task_id"), "final_answer"))
+    judged = rows.join(found.withColumnRenamed("task_id", "_key"), "_key", "left")
+    best = F.min(F.when(F.col("reason").isNull(), F.struct("variant", "final_answer")))
+    return judged.groupBy("task_id").agg(best.alias("b")).select("task_id", "b.variant", "b.final_answer")
+
+
 def review(tasks: DataFrame, evidence: DataFrame, plans: DataFrame, frames: DataFrame, cells: DataFrame, needs: DataFrame) -> DataFrame:
     """(task_id, accepted, reasons, fingerprint, duplicate_of) for every plan.
 

@@ -132,3 +132,40 @@ def w9_markers(spark, d):
     text = F.concat(F.lit("note on "), name, (F.col("turn") % 5).cast("string"), F.lit(", not "), name, (F.col("turn") % 5 + 1).cast("string"), F.lit("0 but "), (n + 1).cast("string"), F.lit(",000 and "), n.cast("string"), F.lit(".5"))
     frames = c.select("conv_id", F.col("turn").alias("f_turn"), text.alias("told"))
     return review.marker_hits(frames, value, "conv_id", "told", "marker").select("conv_id", "f_turn", "turn")
+
+
+@query(
+    "x1_arguments_and_contracts",
+    r"""WITH k AS (SELECT l_orderkey o, l_linenumber n, min(l_partkey) p FROM lineitem GROUP BY 1, 2),
+ r AS (SELECT CASE WHEN p % 5 = 0 THEN 'need n' || n || ' is missing required argument ''part''' WHEN p % 5 = 1 THEN 'evidence e' || n || ' is missing required argument ''part''' WHEN p % 5 = 2 THEN 'need n' || n || ' argument ''part'' does not match supplied evidence' END reason FROM k WHERE n <> 6
+ UNION ALL SELECT CASE WHEN n = 7 THEN 'teacher need references unknown phase ''after:e7''' WHEN n = 6 THEN 'teacher need references unknown source ''s6''' WHEN n = 5 THEN 'teacher need target cell must exist in its activation phase' END FROM k)
+ SELECT reason, count(*) n FROM r WHERE reason IS NOT NULL GROUP BY 1""",
+)
+def x1_contracts(spark, d):
+    """A need and its evidence for every line of an order: arguments left out or changed, sources, phases and cells that aren't there."""
+    line = read_table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    task, n, p = F.col("l_orderkey").cast("string").alias("task_id"), F.col("l_linenumber").cast("string"), F.col("p")
+    part = F.create_map(F.lit("part"), p.cast("string"), F.lit("note"), F.lit("x"))
+    bare, other = F.create_map(F.lit("note"), F.lit("x")), F.create_map(F.lit("part"), F.concat(F.lit("0"), p.cast("string")))
+    phase, cell = F.when(F.col("l_linenumber") == 7, "after:e7").otherwise("initial"), F.when(F.col("l_linenumber") == 5, "gone").otherwise("c1")
+    asked, given = F.when(p % 5 == 0, bare).when(p % 5 == 2, other).otherwise(part), F.when(p % 5 == 1, bare).otherwise(part)
+    rows = materialize(line.select(task, F.concat(F.lit("s"), n).alias("source"), F.concat(F.lit("e"), n).alias("evidence_id"), F.concat(F.lit("n"), n).alias("need_id"), phase.alias("phase"), cell.alias("cell_id"), asked.alias("asked"), given.alias("given")), "needs")
+    needs, evidence = rows.drop("given").withColumnRenamed("asked", "arguments"), rows.select("task_id", "evidence_id", "source", F.col("given").alias("arguments"))
+    arguments = F.array(F.struct(F.lit("part").alias("argument"), F.lit(True).alias("required")), F.struct(F.lit("note").alias("argument"), F.lit(False).alias("required")))
+    tools = rows.filter("source <> 's6'").select("source").distinct().select("source", F.explode(arguments).alias("x")).select("source", "x.*")
+    frames = rows.select("task_id", F.lit("initial").alias("phase")).distinct()
+    found = review.argument_reasons(needs, evidence, tools).unionByName(review.contract_reasons(needs, evidence, tools, frames, frames.withColumn("cell_id", F.lit("c1"))))
+    return found.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("x7_reviewed_variants", r"SELECT o_orderkey, CASE WHEN k > 0 THEN k END::INT variant, CASE WHEN k > 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'Order ' || o_orderkey ELSE '\frac{' || 2 * o_orderkey || '}{2}' END END final_answer FROM (SELECT o_orderkey, o_orderkey % 6 k FROM orders)")
+def x7_variants(spark, d):
+    """Five variants of every order's answer, of which at most one is right: names for one half of the orders, fractions for the other."""
+    o = read_table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("task_id"))
+    k, v, odd = F.col("o_orderkey"), F.col("variant"), F.col("o_orderkey") % 2 == 1
+    name = F.concat(F.lit("Order "), k.cast("string"))
+    tasks = o.select("task_id", F.lit("?").alias("prompt"), F.when(odd, "competition_math").otherwise("multi_hop_qa").alias("task_kind"), F.when(odd, k.cast("string")).otherwise(name).alias("reference_answer"))
+    right = v == k % 6
+    answer = F.when(right & odd, F.format_string("\\frac{%d}{2}", 2 * k)).when(right, name).when(odd, F.format_string("\\frac{%d}{2}", 2 * k + v)).otherwise(F.lit("no such order"))
+    variants = o.withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(5)))).select("task_id", "variant", answer.alias("final_answer"))
+    return review.first_accepted(tasks, variants).select(F.col("task_id").cast("long").alias("o_orderkey"), "variant", "final_answer")
