@@ -1,73 +1,28 @@
-"""Cases that fall silent: deadlines as event-time timers in keyed state."""
+"""Cases that fall silent: deadlines as the ends of session windows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from datetime import datetime, timedelta
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
-
-OUT = "case string, silent_since timestamp, deadline timestamp, events long"
-
-
-def _ms(t: pd.Timestamp) -> int:
-    return t.tz_localize("UTC").value // 10**6 if t.tzinfo is None else t.value // 10**6
-
-
-def _time(ms: int) -> datetime:
-    return datetime(1970, 1, 1) + timedelta(milliseconds=ms)
 
 
-class Silence(StatefulProcessor):
-    """Holds the times of a case's events that may still be joined by others, and a timer for the deadline of each."""
-
-    def __init__(self, limit_ms: int) -> None:
-        self.limit = limit_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.times = handle.getListState("times", T.StructType([T.StructField("ms", T.LongType())]))
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
-        new = [_ms(t) for pdf in rows for t in pdf["ts"]]
-        self.times.appendList([(t,) for t in new])
-        for t in set(new):
-            self.handle.registerTimer(t + self.limit)
-        return iter(())
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        """The watermark is past this deadline, so no event before it can come any more: whatever ended until then is said."""
-        now, times = expiredTimerInfo.getExpiryTimeInMs(), sorted(t for (t,) in self.times.get())
-        out, start = [], 0
-        for i, t in enumerate(times):
-            if t + self.limit > now:
-                break
-            if i + 1 == len(times) or times[i + 1] > t + self.limit:
-                out.append((key[0], _time(t), _time(t + self.limit), i + 1 - start))
-                start = i + 1
-        if out:
-            self.times.clear()
-            if start < len(times):
-                self.times.put([(t,) for t in times[start:]])
-            yield pd.DataFrame(out, columns=["case", "silent_since", "deadline", "events"])
-
-    def close(self) -> None:
-        pass
+def _ms(span: str) -> int:
+    return int(pd.Timedelta(span).total_seconds() * 1000)
 
 
 def deadlines(stream: DataFrame, case: str, time: str, limit: str, late: str) -> DataFrame:
     """(case, silent_since, deadline, events): a row whenever a case has had no event for longer than `limit`, once the watermark
-    (`late` behind the latest event) is past that; events counts those since the case began or was last silent.
+    (`late` behind the latest event) has reached that; events counts those since the case began or was last silent.
+
+    An event before the deadline puts it off, in whatever order events come; one whose own deadline the watermark has
+    reached is dropped by Spark. State is one row for each stretch of a case that may still be joined, and goes with its
+    deadline. What is not silent yet has no row. Rows with a null case or time are left out; times count in milliseconds.
 
-    An event before the deadline puts it off, in whatever order events come. State holds the times of a case since it was
-    last silent, and a deadline removes them. Events behind the watermark are dropped by Spark. What is not silent yet has no
-    row. Rows with a null case or time are left out; times count in milliseconds. The state store must be RocksDB.
+    Spark joins an event at a session's very end to it, as is meant here.
     """
-    limit_ms = int(pd.Timedelta(limit).total_seconds() * 1000)
-    rows = stream.select(F.col(case).cast("string").alias("case"), F.col(time).cast("timestamp").alias("ts")).filter("case is not null and ts is not null").withWatermark("ts", late)
-    return rows.groupBy("case").transformWithStateInPandas(Silence(limit_ms), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+    at = F.timestamp_millis(F.unix_millis(F.col(time).cast("timestamp")))
+    rows = stream.select(F.col(case).cast("string").alias("case"), at.alias("ts")).filter("case is not null and ts is not null")
+    rows = rows.withWatermark("ts", f"{_ms(late)} milliseconds")
+    silent = rows.groupBy(F.session_window("ts", f"{_ms(limit)} milliseconds"), "case").agg(F.max("ts").alias("silent_since"), F.count("*").alias("events"))
+    return silent.select("case", "silent_since", F.timestamp_millis(F.unix_millis("silent_since") + _ms(limit)).alias("deadline"), "events")
