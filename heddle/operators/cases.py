@@ -103,12 +103,15 @@ FOLDS: dict[str, Callable[[Column], Column]] = {
 
 
 def logic_cases(spark: SparkSession, n: int | DataFrame, seed: int, probe: bool = False) -> DataFrame:
-    """(task_no, family, capacity, spec, answer): families and capacities in turn. Probe cases draw from other seeds; holdout is by specification."""
+    """(task_no, family, capacity, spec, answer): families and capacities in turn. Holdout is by specification, whatever the seeds: a hash of
+    all cells but the last says whether a training case ends in an even or an odd one, and a probe case ends in the other."""
     names = list(FOLDS)
     base = numbered(spark, n)
     base = base.withColumns({"family": F.element_at(F.array(*map(F.lit, names)), (F.col("task_no") % len(names) + 1).cast("int")), "capacity": F.element_at(F.array(*map(F.lit, CAPACITIES)), (F.floor(F.col("task_no") / len(names)) % len(CAPACITIES) + 1).cast("int"))})
     cell = lambda i: F.pmod(F.xxhash64(F.lit(seed * 2 + int(probe)), F.col("task_no"), i), F.lit(10)).cast("long")
-    base = base.withColumn("spec", F.transform(F.sequence(F.lit(1), F.col("capacity")), cell))
+    base = base.withColumn("_head", F.transform(F.sequence(F.lit(1), F.col("capacity") - 1), cell))
+    last, side = cell(F.col("capacity")), F.pmod(F.xxhash64(F.array_join(F.transform("_head", lambda x: x.cast("string")), ",")) + int(probe), F.lit(2))
+    base = base.withColumn("spec", F.concat("_head", F.array(F.floor(last / 2) * 2 + side))).drop("_head")
     answer = F.lit(None).cast("long")
     for name, fold in FOLDS.items():
         answer = F.when(F.col("family") == name, fold(F.col("spec"))).otherwise(answer)

@@ -56,6 +56,17 @@ def test_logic_answers_equal_python(spark):
     assert all(r["answer"] == fold(r["family"], r["spec"]) for r in rows)
 
 
+def test_no_specification_is_on_both_sides(spark):
+    """So many short specifications that draws from two seeds meet; whatever the seeds, training and probes never do."""
+    n = spark.range(0, 40 * 40_000, 40).select(F.col("id").alias("task_no"))  # one family, eight cells
+    train, probe = (cases.logic_cases(spark, n, s, probe=p).select(F.array_join(F.transform("spec", lambda v: v.cast("string")), ",").alias("k")) for s, p in ((1, False), (2, True)))
+    assert train.intersect(probe).count() == 0
+    last = train.select(F.substring_index("k", ",", -1).alias("x")).groupBy("x").count().collect()
+    assert len(last) == 10 and min(r["count"] for r in last) > 3500
+    same = cases.logic_cases(spark, n, 3, probe=True).select("task_no", "spec").intersect(cases.logic_cases(spark, n, 3).select("task_no", "spec"))
+    assert same.count() == 0
+
+
 def test_corrections_and_languages(spark):
     c = cases.corrections(spark, 20, 1)
     assert cases.audit_corrections(c).count() == 0
