@@ -102,10 +102,10 @@ def marker_hits(texts: DataFrame, markers: DataFrame, by: str, text: str, marker
     others, however many there are. Markers without a word or number are nowhere. Columns of both sides are kept; the text side's
     names must differ from the marker side's, but for `by`.
     """
-    held = _marked(texts, text).withColumn("_text_id", F.monotonically_increasing_id())
+    held = materialize(_marked(texts, text).withColumn("_text_id", F.monotonically_increasing_id()), "marker-texts")  # numbers differ where a side is computed again
     index = held.select(by, "_text_id", F.explode("_tokens").alias("_token"))
     often = index.groupBy(by, "_token").agg(F.count("*").alias("_n"))
-    asked = _wanted(markers, marker).withColumn("_marker_id", F.monotonically_increasing_id())
+    asked = materialize(_wanted(markers, marker).withColumn("_marker_id", F.monotonically_increasing_id()), "markers")
     every = asked.select(by, "_marker_id", F.explode("_tokens").alias("_token")).join(often, [by, "_token"], "left")
     rare = every.groupBy(by, "_marker_id").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_token").alias("t"))).alias("r")).filter("r.n > 0").select(by, "_marker_id", F.col("r.t").alias("_token"))
     pairs = rare.join(index, [by, "_token"]).select(by, "_marker_id", "_text_id")

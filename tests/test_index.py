@@ -96,3 +96,11 @@ def test_markers(spark):
 
     got = sorted((r["i"], r["j"]) for r in review.marker_hits(a, b, "k", "t", "m").collect())
     assert got == sorted((i, j) for i, (k, t) in enumerate(texts) for j, (q, m) in enumerate(markers) if k == q and t and m and holds(t, m)) and len(got) > 50
+
+
+def test_marker_hits_number_their_rows_once(spark):
+    """Both sides are numbered and then read several times: with numbers that aren't written, other splits of a shuffle lost hits."""
+    a = spark.range(600).select((F.col("id") % 60).alias("k"), F.concat(F.lit("it is value"), "id", F.lit(" here")).alias("t")).groupBy("k", "t").agg(F.count("*").alias("n"))
+    b = spark.range(600).select((F.col("id") % 60).alias("k"), F.concat(F.lit("value"), "id").alias("m")).groupBy("k", "m").agg(F.count("*").alias("c"))
+    hits = review.marker_hits(a, b, "k", "t", "m")
+    assert "monotonically" not in hits._jdf.queryExecution().toString() and hits.count() == 600
