@@ -32,13 +32,13 @@ def serial_chain(spark: SparkSession, n: int | DataFrame, seed: int, depth: int
 
 
 def verify_chain(tasks: DataFrame, records: DataFrame, depth: int = 5) -> DataFrame:
-    """Tasks whose answer isn't what the hops lead to: one join a hop."""
-    at = tasks.withColumn("at", F.col("start"))
+    """Tasks whose answer isn't what the hops lead to: one join a hop, never a broadcast (a small file of keys makes a large table of records)."""
+    at, records = tasks.withColumn("at", F.col("start")), records.hint("merge")
     for _ in range(depth - 1):
         hop = records.select("task_no", F.col("key").alias("at"), F.col("next_key").alias("_next"))
-        at = at.join(hop, ["task_no", "at"]).withColumn("at", F.col("_next")).drop("_next")
+        at = at.hint("merge").join(hop, ["task_no", "at"]).withColumn("at", F.col("_next")).drop("_next")
     end = at.join(records.select("task_no", F.col("key").alias("at"), "value"), ["task_no", "at"])
-    return tasks.join(end.filter(F.col("value").eqNullSafe(F.col("answer"))), "task_no", "left_anti")
+    return tasks.join(end.filter(F.col("value").eqNullSafe(F.col("answer"))).hint("merge"), "task_no", "left_anti")
 
 
 def parallel_join(spark: SparkSession, n: int | DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -75,7 +75,7 @@ def fork_join(spark: SparkSession, n: int | DataFrame, seed: int) -> tuple[DataF
 
 def verify_values(tasks: DataFrame, records: DataFrame, how: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Tasks whose answer isn't what `how` makes of their records (one row a task: task_no, got)."""
-    return tasks.join(how(records), "task_no", "left").filter(~F.col("answer").eqNullSafe(F.col("got")))
+    return tasks.join(how(records).hint("merge"), "task_no", "left").filter(~F.col("answer").eqNullSafe(F.col("got")))
 
 
 def product(records: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def s24(spark, d):
     t, r = cases.stale_override(spark, n, 4)
     out = out.unionByName(counted(t, cases.verify_values(t, r, cases.authoritative), "stale_override"))
     t, r = cases.fork_join(spark, n, 5)
-    scaled = t.join(r.groupBy("task_no").agg(F.sum("value").alias("s")), "task_no").filter(F.col("s") * F.col("scale") != F.col("answer"))
+    scaled = t.join(r.groupBy("task_no").agg(F.sum("value").alias("s")).hint("merge"), "task_no").filter(F.col("s") * F.col("scale") != F.col("answer"))
     return out.unionByName(counted(t, scaled, "fork_join"))
 
 

@@ -108,3 +108,12 @@ def test_math_surfaces(spark):
     assert one("$\\dfrac{1}{2}$", "\\frac{1}{2}") and one("3, (1, 2)", "(1,2), 3") and one("1,234", "1234") and one("\\text{ yes }", "yes")
     assert not one("1, 2", "1, 3") and not one("\\frac{1}{2}", "\\frac{2}{1}")
     assert not one("X", "x") and one("2 and 3", "3, 2") and one("3\\text{ or }4", "4, 3") and not one("band", "b,")
+
+
+def test_records_are_never_broadcast(spark):
+    """900,000 keys are a file of 4 MB but records of gigabytes: no join of a verifier may collect them."""
+    small = spark.range(20).select(F.col("id").alias("task_no"))
+    t, r = cases.serial_chain(spark, small, 1)
+    p, v = cases.parallel_join(spark, small, 3)
+    for plan in (cases.verify_chain(t, r), cases.verify_values(p, v, cases.product)):
+        assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString() and plan.count() == 0
