@@ -105,26 +105,44 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return done
 
 
-def closure(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, node) for every node that a path of one edge or more leads to from each of `sources` (node).
+def _closure(edges: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(starts, pairs, of): sources (node) with their component, the pairs of components (component, at) that a path of one edge
+    or more leads between, from those of the sources, and every node's component.
 
     Paths are followed between strong components, pair by pair, and only from pairs that the round before found: a cycle
-    costs one node, and a source's own component is followed once for all sources in it. Members are put back at the end.
+    costs one node, and a source's own component is followed once for all sources in it.
     """
     edges = materialize(edges.select("src", "dst").filter("src is not null and dst is not null").distinct(), "closure-edges")
     of = materialize(strong_components(edges).unionByName(edges.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))).groupBy("node").agg(F.max("component").alias("component")), "closure-nodes")
     a, b = (of.select(F.col("node").alias(c), F.col("component").alias(k)) for c, k in (("src", "_a"), ("dst", "_b")))
     between = edges.join(a, "src").join(b, "dst").groupBy("_a", "_b").agg(F.count("*").alias("n"))
     steps = materialize(between.filter("_a <> _b").select("_a", "_b"), "closure-steps")
-    cyclic = between.filter("_a = _b").select(F.col("_a").alias("component"))  # these reach themselves
+    cyclic = between.filter("_a = _b").select(F.col("_a").alias("_own"))  # these reach themselves
     starts = sources.select("node").distinct().join(of, "node")
-    own = starts.select(F.col("component").alias("start")).distinct()
-    frontier = materialize(own.select("start", F.col("start").alias("at")), "closure-pairs")
+    frontier = materialize(starts.select("component").distinct().withColumn("at", F.col("component")), "closure-pairs")
     seen = frontier
     while not frontier.isEmpty():
-        reached = frontier.join(steps, F.col("at") == F.col("_a")).select("start", F.col("_b").alias("at")).distinct()
-        frontier = materialize(reached.join(seen, ["start", "at"], "left_anti"), "closure-pairs")
+        reached = frontier.join(steps, F.col("at") == F.col("_a")).select("component", F.col("_b").alias("at")).distinct()
+        frontier = materialize(reached.join(seen, ["component", "at"], "left_anti"), "closure-pairs")
         seen = seen.unionByName(frontier)
-    pairs = seen.filter("start <> at").unionByName(seen.filter("start = at").join(cyclic, F.col("at") == F.col("component")).select("start", "at"))
+    itself = seen.filter("component = at")
+    return starts, seen.filter("component <> at").unionByName(itself.join(cyclic, F.col("at") == F.col("_own")).select("component", "at")), of
+
+
+def closure(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node) for every node that a path of one edge or more leads to from each of `sources` (node): as many rows as there are such pairs.
+
+    Members of components are put back at the end; where only sums over the nodes are asked for, `closure_sums` doesn't."""
+    starts, pairs, of = _closure(edges, sources)
     members = of.select(F.col("component").alias("at"), F.col("node").alias("_to"))
-    return starts.select(F.col("node").alias("source"), F.col("component").alias("start")).join(pairs, "start").join(members, "at").select("source", F.col("_to").alias("node"))
+    return starts.withColumnRenamed("node", "source").join(pairs, "component").join(members, "at").select("source", F.col("_to").alias("node"))
+
+
+def closure_sums(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, n, nodes): how many nodes `closure` has for each source that reaches any, and their sum.
+
+    Nodes are summed in their component, components in the source's component, and sources get the sums: no pair of nodes is built."""
+    starts, pairs, of = _closure(edges, sources)
+    each = of.groupBy(F.col("component").alias("at")).agg(F.count("*").alias("n"), F.sum("node").alias("nodes"))
+    sums = pairs.join(each, "at").groupBy("component").agg(F.sum("n").alias("n"), F.sum("nodes").alias("nodes"))
+    return starts.join(sums, "component").select(F.col("node").alias("source"), "n", "nodes")

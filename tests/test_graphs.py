@@ -39,6 +39,15 @@ def test_components_and_closure(spark, nodes, many):
     assert sorted(map(tuple, pairs)) == sorted((s, n) for s in sources for n in reached.get(s, ()))
 
 
+def test_closure_sums(spark):
+    """As counted from the closure, with no join of sources and nodes: what a source reaches is summed before sources meet it."""
+    rng = random.Random(1)
+    edges = [(rng.randrange(20), rng.randrange(40)) for _ in range(60)] + [(100, 101), (101, 100), (300, 300)]
+    df, sources = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(i,) for i in [*range(22), 100, 300, 999]], "node long")
+    want = {s: r for s in [*range(22), 100, 300, 999] if (r := reach(edges, s))}
+    assert sorted(map(tuple, graph.closure_sums(df, sources).collect())) == sorted((s, len(r), sum(r)) for s, r in want.items())
+
+
 def test_empty_graph(spark):
     none = spark.createDataFrame([], "src long, dst long")
     assert graph.strong_components(none).count() == 0
