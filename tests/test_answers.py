@@ -101,3 +101,17 @@ def test_answers_by_kind(spark, kind, reference, answer, right):
     tasks = spark.createDataFrame([("t", "(A) 29 (B) 39", kind, reference)], "task_id string, prompt string, task_kind string, reference_answer string")
     found = review.reference_reasons(tasks, spark.createDataFrame([("t", answer)], "task_id string, final_answer string")).collect()
     assert all(r["reason"] is None for r in found) is right
+
+
+def test_first_accepted_judges_rows_where_they_are(spark):
+    """Plain numbers need no Python and say the same as the parser; variants meet their tasks once."""
+    pairs = [(a, b) for a in ("7", "$ 7 $", "+7", "-7", r"\frac{14}{2}", r"-\dfrac{14}{2}", r"\tfrac{7}{3}", r"\frac{0}{5}", "0", "999999999", r"\frac{999999999}{999999998}") for b in ("7", "-7", r"\frac{21}{9}", "000", r"\frac{999999998}{999999997}")]
+    df = spark.createDataFrame(pairs, "a string, b string").select(algebra.ratio_verdict("a", "b").alias("plain"), algebra.math_verdict("a", "b").alias("said"))
+    assert all(r["plain"] == r["said"] for r in df.collect())
+    other = spark.createDataFrame([("1/2", "1"), ("x", "1"), (r"\frac{1}{0}", "1"), ("1234567890", "1"), ("\x017/", "7"), (None, "1"), ("1.5", "2")], "a string, b string")
+    assert {r[0] for r in other.select(algebra.ratio_verdict("a", "b")).collect()} == {None}
+    tasks = spark.createDataFrame([("m", "?", "competition_math", "7"), ("q", "?", "multi_hop_qa", "Paris"), ("o", "?", "competition_math", "x+1"), ("n", "?", "qa", None), ("w", "?", "competition_math", "7")], "task_id string, prompt string, task_kind string, reference_answer string")
+    variants = spark.createDataFrame([("m", 1, "8"), ("m", 2, r"\frac{14}{2}"), ("m", 3, "7"), ("q", 1, "Rome"), ("q", 2, "the Paris"), ("o", 1, "x+2"), ("o", 2, "1+x"), ("n", 1, "any"), ("w", 1, "6")], "task_id string, variant int, final_answer string")
+    found = review.first_accepted(tasks, variants)
+    assert {(r["task_id"], r["variant"]) for r in found.collect()} == {("m", 2), ("q", 2), ("o", 2), ("n", 1), ("w", None)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
