@@ -117,9 +117,7 @@ def s16(spark, d):
 def k4(spark, d):
     path = folder(spark, "sorted")
     sinks.sorted_keyed(read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), path, ["l_orderkey", "l_linenumber"])
-    x = spark.read.parquet(path).select("l_orderkey", "_metadata.file_path", "_metadata.row_index")
-    before = F.lag("l_orderkey").over(W.partitionBy("file_path").orderBy("row_index"))
-    return x.withColumn("b", before).agg(F.count("*").alias("n"), F.count_if(F.col("b") > F.col("l_orderkey")).cast("int").alias("unsorted"))
+    return sinks.unsorted(spark, path, "l_orderkey")
 
 
 @query("k5_manifest_sink", "SELECT count(*) n, max(n_chars) most FROM documents")
