@@ -5,7 +5,9 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,29 +15,37 @@ from pyspark.sql import functions as F
 def allocate_slots(cells: DataFrame, key: str, capacity: int) -> DataFrame:
     """(key, frame_pos, cell_id, slot): each cell keeps its slot while it lives; a slot is free again after the frame in which its cell retires.
 
-    cells(key, frame_pos, cell_id, retired). Free slots are taken in a hash order of the key, so runs agree. A key's cells
-    are bounded by its frames and the capacity; more live cells than slots is an error.
+    cells(key, frame_pos, cell_id, retired). Free slots are taken in a hash order of the key, so runs agree. A task walks its
+    keys' cells in order, holding the live cells of one key, which the capacity bounds; more live cells than slots is an error.
     """
     kind = cells.schema[key].dataType.simpleString()
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = str(pdf[key].iloc[0])
-        free = sorted(range(capacity), key=lambda i: pd.util.hash_array(pd.array([f"{name}|{i}"], dtype=object).to_numpy())[0])
-        held, out = {}, []
-        for pos, frame in pdf.sort_values(["frame_pos", "cell_id"]).groupby("frame_pos", sort=True):
-            gone = []
-            for cell, retired in zip(frame["cell_id"], frame["retired"], strict=True):
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, frame, free, held, gone = None, None, [], {}, []
+        for batch in batches:
+            keys, order = batch.column(0).to_pylist(), {}
+            names = list(dict.fromkeys(map(str, keys)))
+            if names:
+                hashes = pd.util.hash_array(np.array([f"{k}|{i}" for k in names for i in range(capacity)], dtype=object)).reshape(len(names), capacity)
+                order = dict(zip(names, hashes.argsort(axis=1, kind="stable").tolist(), strict=True))
+            slot = []
+            for k, pos, cell, retired in zip(map(str, keys), *(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                if k != name:
+                    name, frame, free, held, gone = k, pos, list(order[k]), {}, []
+                elif pos != frame:
+                    free += [held.pop(c) for c in gone]
+                    frame, gone = pos, []
                 if cell not in held:
                     if not free:
                         raise ValueError(f"{name}: more than {capacity} live cells")
                     held[cell] = free.pop(0)
-                out.append((pdf[key].iloc[0], pos, cell, held[cell]))
+                slot.append(held[cell])
                 if retired:
                     gone.append(cell)
-            free += [held.pop(c) for c in gone]
-        return pd.DataFrame(out, columns=[key, "frame_pos", "cell_id", "slot"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(slot, pa.int32())], [key, "frame_pos", "cell_id", "slot"])
 
-    return cells.groupBy(key).applyInPandas(one, f"{key} {kind}, frame_pos int, cell_id string, slot int")
+    rows = cells.select(key, F.col("frame_pos").cast("int").alias("frame_pos"), F.col("cell_id").cast("string").alias("cell_id"), "retired")
+    return rows.repartition(key).sortWithinPartitions(key, "frame_pos", "cell_id").mapInArrow(walk, f"{key} {kind}, frame_pos int, cell_id string, slot int")
 
 
 SAFE_IMPORTS = frozenset(("math", "itertools", "functools", "collections", "re", "string", "heapq", "bisect", "fractions", "decimal"))

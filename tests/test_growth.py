@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from heddle.plans import registry
+from heddle.operators import slots
+from heddle.plans import answer_queries, build_queries, more_queries, registry  # noqa: F401  the modules register their queries
 from heddle.sources import sinks
 
 
@@ -28,3 +29,19 @@ def test_unsorted_rows_are_counted_as_files_are_read(spark, tmp_path):
         assert tuple(sinks.unsorted(spark, f"{tmp_path}/y", "k").first()) == (4, 1)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_slots_are_walked_across_batches(spark):
+    """A key's cells in several batches, frames that end with a batch, keys in between; no group is held as a whole."""
+    cells = [(u, f, c, c == "e") for u in range(7) for f in range(40) for c in ("a", "e", f"x{f // 10}")]
+    df = spark.createDataFrame(cells, "user_id long, frame_pos int, cell_id string, retired boolean")
+    whole = {tuple(r) for r in slots.allocate_slots(df, "user_id", 8).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        out = slots.allocate_slots(df, "user_id", 8)
+        got = {tuple(r) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == whole and len(got) == len(cells) and len({(u, f, s) for u, f, _, s in got}) == len(cells)
+    assert all(len({s for u, _, c, s in got if (u, c) == (k, "a")}) == 1 for k in range(7))
+    assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
