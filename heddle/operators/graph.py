@@ -36,14 +36,16 @@ def reachable(edges: DataFrame, start: DataFrame, blocked: DataFrame | None = No
 def chain(df: DataFrame, key: str, parent: str, limit: int) -> DataFrame:
     """(key, hops, ancestor): each row's ancestors up to `limit` hops; a cycle back to the row itself ends its chain.
 
-    Doubles as pointer chase: one self-join a hop, each on the key, with the limit known beforehand.
+    Doubles as pointer chase: one self-join a hop, each on the key, with the limit known beforehand. Rows and hops are
+    written, so that a task holds one join's rows however many hops there are.
     """
-    links = df.select(F.col(key).alias("_k"), F.col(parent).alias("_p"))
+    df = materialize(df.select(key, parent), "chain-links")
+    links = df.filter(F.col(parent).isNotNull()).select(F.col(key).alias("_k"), F.col(parent).alias("_p"))
     hop = df.select(key, F.lit(1).alias("hops"), F.col(parent).alias("ancestor")).filter("ancestor is not null")
     out = hop
     for n in range(2, limit + 1):
         hop = hop.join(links, hop["ancestor"] == links["_k"]).select(key, F.lit(n).alias("hops"), F.col("_p").alias("ancestor"))
-        hop = hop.filter(F.col("ancestor").isNotNull() & (F.col("ancestor") != F.col(key)))
+        hop = materialize(hop.filter(F.col("ancestor").isNotNull() & (F.col("ancestor") != F.col(key))), "chain-hop")
         out = out.unionByName(hop)
     return out
 
