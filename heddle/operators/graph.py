@@ -18,16 +18,19 @@ def reachable(edges: DataFrame, start: DataFrame, blocked: DataFrame | None = No
     """(node, distance) of all nodes reached from `start` (node) along `edges` (src, dst) without entering blocked nodes.
 
     Frontier by frontier, each written and deduplicated against all seen before: cycles end, and a diamond's node is
-    visited once. The number of rounds is the longest shortest path.
+    visited once. The number of rounds is the longest shortest path. Edges are written once, and blocked nodes are taken from
+    what a round reaches, not from the edges.
     """
+    edges = materialize(edges.select("src", "dst"), "reach-edges")
     if blocked is not None:
-        edges = edges.join(blocked.select(F.col("node").alias("dst")), "dst", "left_anti")
+        blocked = materialize(blocked.select("node").distinct(), "reach-blocked")
         start = start.join(blocked, "node", "left_anti")
     seen = materialize(start.select("node").distinct().withColumn("distance", F.lit(0)), "reach")
     frontier, step = seen, 0
     while not frontier.isEmpty():
         step += 1
         near = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+        near = near if blocked is None else near.join(blocked, "node", "left_anti")
         frontier = materialize(near.join(seen, "node", "left_anti").withColumn("distance", F.lit(step)), "reach")
         seen = seen.unionByName(frontier)
     return seen

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from heddle.operators import slots
+from heddle.operators import graph, slots
 from heddle.plans import answer_queries, build_queries, more_queries, registry  # noqa: F401  the modules register their queries
 from heddle.sources import sinks
 
@@ -45,3 +45,23 @@ def test_slots_are_walked_across_batches(spark):
     assert got == whole and len(got) == len(cells) and len({(u, f, s) for u, f, _, s in got}) == len(cells)
     assert all(len({s for u, _, c, s in got if (u, c) == (k, "a")}) == 1 for k in range(7))
     assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chain_and_reach_read_what_they_wrote(spark):
+    """A hop is one join over written rows, and blocked nodes are taken from what is reached."""
+    df = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, 5), (6, 7), (7, 6)], "k long, p long")
+    out = graph.chain(df, "k", "p", 4)
+    assert {tuple(r) for r in out.collect()} == {(2, 1, 1), (3, 1, 2), (3, 2, 1), (4, 1, 3), (4, 2, 2), (4, 3, 1), (5, 1, 5), (6, 1, 7), (7, 1, 6)}
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (3, 1), (2, 4), (4, 5), (9, 9)], "src long, dst long")
+    counted = spark.sparkContext.accumulator(0)
+
+    def once(batches):
+        for b in batches:
+            counted.add(b.num_rows)
+            yield b
+
+    read = edges.mapInArrow(once, "src long, dst long")
+    got = graph.reachable(read, spark.createDataFrame([(1,)], "node long"), spark.createDataFrame([(4,), (4,)], "node long"))
+    assert {tuple(r) for r in got.collect()} == {(1, 0), (2, 1), (3, 2)}
+    assert counted.value == 7
