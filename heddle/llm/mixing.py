@@ -26,11 +26,14 @@ from __future__ import annotations
 import heapq
 from fractions import Fraction
 
+import numpy as np
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heddle.llm.common import read_table
+from heddle.llm.common import materialize, read_table
 
 BLOCK_ROWS = 16
 SLOTS = 1 << 18
@@ -84,6 +87,13 @@ def rank_rows(rows: DataFrame, group: str, key: list[str], seed: int = 0) -> Dat
     return joined.withColumn("_rank", F.col("_before") + F.col("_place") - 1).drop("_hash", "_bucket", "_place", "_group", "_b", "_before")
 
 
+def _scheduled(docs: DataFrame, weights: dict[str, float] | None, power: float, block_rows: int) -> tuple[dict[str, int], int, list[tuple]]:
+    """Rows of each source, rows of a block, and the schedule."""
+    sizes = {r["s"]: r["n"] for r in docs.groupBy(F.coalesce("source", F.lit("")).alias("s")).agg(F.count("*").alias("n")).collect()}
+    size = block_size(sum(sizes.values()), block_rows)
+    return sizes, size, schedule({s: -(-n // size) for s, n in sorted(sizes.items())}, weights if weights is not None else {s: n**power for s, n in sizes.items()})
+
+
 def mix_rows(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block_rows: int = BLOCK_ROWS, seed: int = 0) -> DataFrame:
     """docs with mix_block, mix_phase, mix_slot, mix_release, mix_deadline and mix_position, the row's place in the mixture (ascending, not dense).
 
@@ -93,9 +103,7 @@ def mix_rows(docs: DataFrame, weights: dict[str, float] | None = None, power: fl
     columns = [c for c in docs.columns if c not in ADDED]
     text = F.xxhash64("text") if "text" in columns else F.lit(0)
     packed = docs.select(F.struct(*columns).alias("_row"), source.alias("_source"), F.col("doc_id").alias("_id"), text.alias("_text"))
-    sizes = {r["s"]: r["n"] for r in docs.groupBy(source.alias("s")).agg(F.count("*").alias("n")).collect()}
-    size = block_size(sum(sizes.values()), block_rows)
-    table = schedule({s: -(-n // size) for s, n in sorted(sizes.items())}, weights if weights is not None else {s: n**power for s, n in sizes.items()})
+    _, size, table = _scheduled(docs, weights, power, block_rows)
     plan = docs.sparkSession.createDataFrame(table, "_s string, mix_block long, mix_phase int, mix_slot long, mix_release long, mix_deadline long")
     if len(table) <= 2 * SLOTS:  # always, unless there are more than SLOTS sources
         plan = F.broadcast(plan)
@@ -106,7 +114,51 @@ def mix_rows(docs: DataFrame, weights: dict[str, float] | None = None, power: fl
 
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
     """docs, its columns as they are, sorted by their place in the mixture."""
-    return mix_rows(docs, **options).orderBy("mix_position").select(*docs.columns)
+    rows = docs.unionByName(docs.limit(0))  # what is sorted has no files any more (see dealt_positions)
+    return mix_rows(rows, **options).orderBy("mix_position").select(*docs.columns)
+
+
+def dealt_positions(docs: DataFrame, power: float = 0.5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """docs with mix_position, the schedule's positions dealt out in the order in which the rows stand: for rows that
+    `in_mixed_order` wrote, those of `mix_rows`.
+
+    A table read from Parquet stands in the order of its files and of the rows in them; parts of such a table, and rows
+    that know no files, are written first. A table read and then sorted otherwise than by `in_mixed_order` must be written
+    by the caller. Only numbers of rows are looked at (the driver sees one a file and one a source); nothing is shuffled.
+    """
+    columns = [c for c in docs.columns if c not in ADDED]
+    try:
+        meta = docs.metadataColumn("_metadata")
+        rows = docs.select(*columns, meta["file_path"].alias("_file"), meta["row_index"].alias("_index"))
+        files = rows.groupBy("_file").agg(F.count("*").alias("n"), F.max("_index").alias("last")).collect()
+        whole = all(f["n"] == f["last"] + 1 for f in files)
+    except AnalysisException:
+        whole = False
+    if not whole:
+        return dealt_positions(materialize(docs.select(*columns), "mix-order"), power, block_rows)
+    starts, start = [], 0
+    for f in sorted(files, key=lambda f: (len(f["_file"]), f["_file"])):  # a part's number has five digits or more
+        starts.append((f["_file"], start))
+        start += f["n"]
+    # slots follow each other, so a position is a row's place and what the blocks before it lack: a source's last may be short
+    sizes, size, table = _scheduled(docs, None, power, block_rows)
+    ends, gaps, upto, lack = [], [0], 0, 0
+    for source, block, *_ in table:
+        rest = min(size, sizes[source] - block * size)
+        upto += rest
+        if rest < size:
+            lack += size - rest
+            ends.append(upto)
+            gaps.append(lack)
+    known_ends, known_gaps = np.array(ends, np.int64), np.array(gaps, np.int64)
+
+    @F.pandas_udf("long")
+    def position(place: pd.Series) -> pd.Series:
+        return place + known_gaps[np.searchsorted(known_ends, place, "right")]
+
+    known = docs.sparkSession.createDataFrame(starts, "_path string, _start long")
+    placed = rows.join(F.broadcast(known), F.col("_file") == F.col("_path"))
+    return placed.select(*columns, position(F.col("_start") + F.col("_index")).alias("mix_position"))
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,15 +39,16 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, in the order of the mixture: weights in proportion to the square root of a source's documents.
 
-    Files are written in that order; since no reader promises to keep it, the last stage states each document's place."""
+    Files are written in that order; since no reader promises to keep it, the last stage reads each document's file and
+    row, and states its place."""
     return mixing.in_mixed_order(docs.select(*COLUMNS))
 
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, mix_position, ids): the training tokens of every document and its place in the mixture.
 
-    The place follows from the rows alone (see mixing), so it is that of the stage before."""
-    return bpe.encode(mixing.mix_rows(docs.select(*COLUMNS)), "mix_position")
+    Places go by the order in which the stage before wrote the documents (see mixing); nothing is mixed again."""
+    return bpe.encode(mixing.dealt_positions(docs), "mix_position")
 
 
 STAGES = [("toxicity", drop_toxic), ("simhash", drop_near_duplicates), ("secrets", redact_secrets), ("mix", mix_sources), ("bpe", encode_bpe)]

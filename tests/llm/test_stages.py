@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.helpers import documents
 
-from heddle.llm import bpe, pipeline_stages
+from heddle.llm import bpe, mixing, pipeline_stages
 
 ODD = [(1, None, None, None), (2, "", "aa", "s"), (3, " \n\t ", "aa", "s"), (None, "no id here", "aa", "s"), (None, None, None, None), (4, "x", "aa", None), (4, "x", "aa", None), (4, "another text of four", "aa", "s"), (5, "été ñandú 日本 🙂 " * 400, "bb", "t"), (6, "a" * 300_000, "aa", "t"), (7, "password=hunter2222", None, "s")]
 
@@ -44,3 +45,19 @@ def test_stage_on_odd_rows(spark, folder, name, stage):
     if name == "secrets":
         assert {r["text"] for r in got if r["doc_id"] == 7} == {"[assign]"} and {r["text"] for r in got if r["doc_id"] == 1} == {None}
     assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_places_follow_the_order_that_the_mix_wrote(spark, tmp_path):
+    rows = [(i, f"text {i}", "aa", f"s{i % 3}" if i % 7 else None) for i in range(500)]
+    read = lambda df, name: (df.write.parquet(f"{tmp_path}/{name}"), spark.read.parquet(f"{tmp_path}/{name}"))[1]
+    docs = read(documents(spark, rows).select(*pipeline_stages.COLUMNS).repartition(5), "docs")
+    places = lambda df: {r["doc_id"]: r["mix_position"] for r in pipeline_stages.encode_bpe(spark, df, "").collect()}
+    want = {r["doc_id"]: r["mix_position"] for r in mixing.mix_rows(docs).collect()}
+    mixed = pipeline_stages.mix_sources(spark, docs, "")
+    assert places(read(mixed, "mixed")) == want and places(mixed) == want
+    assert sorted(places(docs).values()) == sorted(want.values()) and places(docs) != want  # without the stage: another order
+    turned = mixed.select("*").withColumn("_p", F.monotonically_increasing_id()).orderBy(F.desc("_p")).drop("_p")
+    got = places(read(turned, "turned"))
+    assert sorted(got, key=got.get) == sorted(want, key=want.get, reverse=True)
+    some = places(docs.filter("doc_id < 100"))  # no whole files
+    assert len(some) == len(set(some.values())) == 100
