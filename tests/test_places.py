@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from heddle.functions import places
@@ -54,6 +56,25 @@ def test_hits(spark, overlapping, limit):
     assert gazetteer.hits(df, "id", "text", entries.limit(0), "name", overlapping, limit).count() == 0
 
 
+def test_only_phrases_that_may_be_entries_reach_the_join(spark):
+    text = "one two three new york city four five york new " * 2_000
+    rows = spark.createDataFrame([(1, text, 0), (2, "Of none", 1), (3, "", 2)], "_key int, _text string, _row long")
+    listed = spark.createDataFrame([("new york city",), ("york",), ("the",)], "phrase string")
+    got = gazetteer._phrases(rows, listed).groupBy("phrase").count().collect()
+    assert {r["phrase"]: r["count"] for r in got} == {"new": 4_000, "new york": 2_000, "new york city": 2_000, "york": 4_000}  # of some 60,000
+
+
+def test_walks_and_hits_hold_little():
+    text = "x y " * 200_000
+    trie = gazetteer.Trie(["x", "y x z"])
+    tracemalloc.start()
+    assert sum(1 for _ in trie.find(text)) == 200_000 and tracemalloc.get_traced_memory()[1] < 1 << 20
+    tracemalloc.stop()
+    batch = pa.RecordBatch.from_pydict({"_key": [7, 8], "_text": [text, "x"]})
+    sizes = [(b.num_rows, set(b.column("_key").to_pylist())) for b in gazetteer._cut(((b, i, *h) for b, i, t in gazetteer._texts([batch]) for h in trie.find(t)), ["_key"])]
+    assert sum(n for n, _ in sizes) == 200_001 and max(n for n, _ in sizes) == gazetteer.HITS and sizes[-1][1] == {7, 8}
+
+
 COUNTRY = [
     ("He moved from Spain to Italy.", "Spain"), ("Work in South Korea and Korea", "South Korea"), ("Nothing here.\nIt was made in bosnia and herzegovina.", "Bosnia and Herzegovina"), ("Born in West Virginia, raised in France.", "United States"), ("Paid in US$ in Chile", "Chile"), ("A U.S. senator", "United States"),
     ("Indianapolis is no India", "India"), ("Guineas and Chad", None), ("one\ntwo\nthree\nfour\nin Japan", None), ("", None), (None, None),
