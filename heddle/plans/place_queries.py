@@ -44,6 +44,11 @@ _NAMES = [c for c in places.COUNTRIES if " " not in c][:25]
 _LISTED = "['" + "', '".join(_NAMES) + "']"
 
 
+def _spread(rows):
+    """rows dealt over the cluster: rules read them for long, while a table of few bytes is a task or two."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+
+
 def _country(key):
     """A country's name for each nation's key."""
     return F.element_at(F.array(*map(F.lit, _NAMES)), (key % 25 + 1).cast("int"))
@@ -61,7 +66,7 @@ def country_of_text(spark, d):
         F.when(F.col("c_custkey") % 4 == 0, form("%s worked in %s\nand later, it is said, in %s.", "c_name", "a", "b")).when(F.col("c_custkey") % 4 == 1, form("%s lived in New York and in %s.", "c_name", "a"))
         .when(F.col("c_custkey") % 4 == 2, form("No names here.\n  %s comes from %s,  where %s is well known", "c_name", "b", "a")).otherwise(form("%s was born in %s.", "c_name", "a"))
     )
-    found = rows.select("c_custkey", text.alias("text"))
+    found = _spread(rows.select("c_custkey", text.alias("text")))
     return found.select("c_custkey", places.country("text").alias("country"), places.origin_country("text").alias("origin"))
 
 
@@ -78,7 +83,7 @@ def nationality_of_text(spark, d):
     text = F.lit(None).cast("string")
     for i, f in enumerate(forms):
         text = F.when(F.col("c_custkey") % 6 == i, F.format_string(f, F.col("c_name"))).otherwise(text)
-    rows = materialize(read_table(spark, d, "customer").select("c_custkey", text.alias("text")), "told")
+    rows = materialize(_spread(read_table(spark, d, "customer").select("c_custkey", text.alias("text"))), "told")
     return rows.select("c_custkey", places.nationality("text").alias("nationality"), places.media_country("text").alias("filmed"))
 
 
@@ -100,6 +105,6 @@ def facts_of_texts(spark, d):
     text = F.lit(None).cast("string")
     for i, f in enumerate(forms):
         text = F.when(F.col("c_custkey") % 5 == i, f).otherwise(text)
-    told = materialize(rows.select("c_custkey", text.alias("text")), "told")
+    told = materialize(_spread(rows.select("c_custkey", text.alias("text"))), "told")
     kinds = {"born": "birth_date", "birth_place": "birth_place", "died": "death_date", "death_place": "death_place", "death_cause": "death_cause", "father": "father", "mother": "mother", "spouse": "spouse", "award": "award", "education": "education"}
-    return told.select("c_custkey", *(evidence.fact(kind, "text").alias(name) for name, kind in kinds.items()))
+    return told.select("c_custkey", evidence.facts(kinds, "text").alias("f")).select("c_custkey", "f.*")

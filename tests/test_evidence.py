@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 import pytest
 
 from heddle.functions import evidence
@@ -37,3 +39,18 @@ def test_facts(spark, kind):
 
 def test_every_kind_has_cases():
     assert set(CASES) == {*evidence.RULES, "father", "mother"}
+
+
+def test_several_facts_equal_each_alone(spark, monkeypatch):
+    texts = [t for cases in CASES.values() for t, _ in cases] + ["OLA WAS BORN ON 4 MAY 1931 IN BERGEN", "Ola d\u0130ed on 7 June 1990, marr\u0130ed to Eva Lind", "Kari\u017f wa\u017f born in Voss", "", None]
+    kinds = {f"f_{k}": k for k in CASES}
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [tuple(r)[1:] for r in df.select("i", evidence.facts(kinds, "t").alias("f")).select("i", "f.*").orderBy("i").collect()]
+    # without the words that rules need, every rule reads every line
+    bare = {k: [dataclasses.replace(r, needs=()) for r in rules] for k, rules in evidence.RULES.items()}
+    assert any(r.needs for rules in evidence.RULES.values() for r in rules)
+    monkeypatch.setattr(evidence, "RULES", bare)
+    assert got == [tuple(None if t is None else evidence.parents_of(t)[k == "mother"] if k in ("father", "mother") else evidence.fact_of(k, t) for k in CASES) for t in texts]
+    seen = []
+    monkeypatch.setattr(evidence, "lines", lambda t, cut=evidence.lines: seen.append(t) or cut(t))
+    assert evidence.facts_of(CASES, texts[0])[0] == "4 May 1931" and len(seen) == 1  # a text is cut into lines once
