@@ -24,10 +24,11 @@ pass through `mix_rows`, whatever their names, but for those it adds.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -94,6 +95,11 @@ def _scheduled(docs: DataFrame, weights: dict[str, float] | None, power: float,
     return sizes, size, schedule({s: -(-n // size) for s, n in sorted(sizes.items())}, weights if weights is not None else {s: n**power for s, n in sizes.items()})
 
 
+def _local_table(spark: SparkSession, rows: list[tuple], columns: list[tuple[str, pa.DataType]]) -> DataFrame:
+    """The driver's rows as a table. By Arrow, since a plain list would be read by Python workers of its own on the executors."""
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(columns)], schema=pa.schema(columns)))
+
+
 def mix_rows(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block_rows: int = BLOCK_ROWS, seed: int = 0) -> DataFrame:
     """docs with mix_block, mix_phase, mix_slot, mix_release, mix_deadline and mix_position, the row's place in the mixture (ascending, not dense).
 
@@ -104,7 +110,7 @@ def mix_rows(docs: DataFrame, weights: dict[str, float] | None = None, power: fl
     text = F.xxhash64("text") if "text" in columns else F.lit(0)
     packed = docs.select(F.struct(*columns).alias("_row"), source.alias("_source"), F.col("doc_id").alias("_id"), text.alias("_text"))
     _, size, table = _scheduled(docs, weights, power, block_rows)
-    plan = docs.sparkSession.createDataFrame(table, "_s string, mix_block long, mix_phase int, mix_slot long, mix_release long, mix_deadline long")
+    plan = _local_table(docs.sparkSession, table, [("_s", pa.string()), ("mix_block", pa.int64()), ("mix_phase", pa.int32()), ("mix_slot", pa.int64()), ("mix_release", pa.int64()), ("mix_deadline", pa.int64())])
     if len(table) <= 2 * SLOTS:  # always, unless there are more than SLOTS sources
         plan = F.broadcast(plan)
     rows = rank_rows(packed, "_source", ["_id", "_text"], seed).withColumn("_block", F.expr(f"_rank div {size}"))
@@ -125,6 +131,7 @@ def dealt_positions(docs: DataFrame, power: float = 0.5, block_rows: int = BLOCK
     A table read from Parquet stands in the order of its files and of the rows in them; parts of such a table, and rows
     that know no files, are written first. A table read and then sorted otherwise than by `in_mixed_order` must be written
     by the caller. Only numbers of rows are looked at (the driver sees one a file and one a source); nothing is shuffled.
+    Spark's functions alone: a Python function here would hold a second worker for each task of a stage that encodes.
     """
     columns = [c for c in docs.columns if c not in ADDED]
     try:
@@ -136,10 +143,6 @@ def dealt_positions(docs: DataFrame, power: float = 0.5, block_rows: int = BLOCK
         whole = False
     if not whole:
         return dealt_positions(materialize(docs.select(*columns), "mix-order"), power, block_rows)
-    starts, start = [], 0
-    for f in sorted(files, key=lambda f: (len(f["_file"]), f["_file"])):  # a part's number has five digits or more
-        starts.append((f["_file"], start))
-        start += f["n"]
     # slots follow each other, so a position is a row's place and what the blocks before it lack: a source's last may be short
     sizes, size, table = _scheduled(docs, None, power, block_rows)
     ends, gaps, upto, lack = [], [0], 0, 0
@@ -150,15 +153,19 @@ def dealt_positions(docs: DataFrame, power: float = 0.5, block_rows: int = BLOCK
             lack += size - rest
             ends.append(upto)
             gaps.append(lack)
-    known_ends, known_gaps = np.array(ends, np.int64), np.array(gaps, np.int64)
-
-    @F.pandas_udf("long")
-    def position(place: pd.Series) -> pd.Series:
-        return place + known_gaps[np.searchsorted(known_ends, place, "right")]
-
-    known = docs.sparkSession.createDataFrame(starts, "_path string, _start long")
-    placed = rows.join(F.broadcast(known), F.col("_file") == F.col("_path"))
-    return placed.select(*columns, position(F.col("_start") + F.col("_index")).alias("mix_position"))
+    parts, start = [], 0
+    for f in sorted(files, key=lambda f: (len(f["_file"]), f["_file"])):  # a part's number has five digits or more
+        first, last = bisect_right(ends, start), bisect_right(ends, start + f["n"] - 1)
+        parts.append((f["_file"], start, ends[first:last], gaps[first : last + 1]))
+        start += f["n"]
+    longs = pa.list_(pa.int64())
+    known = _local_table(docs.sparkSession, parts, [("_path", pa.string()), ("_start", pa.int64()), ("_ends", longs), ("_gaps", longs)])
+    placed = rows.join(F.broadcast(known), F.col("_file") == F.col("_path")).withColumn("_place", F.col("_start") + F.col("_index"))
+    # how many of the file's ends lie at or before a place, by bisection: a step for each power of two, the largest first
+    steps = [1 << i for i in reversed(range(max((len(p[2]) for p in parts), default=0).bit_length()))]
+    passed = lambda n, step: F.when(F.get("_ends", n + step - 1) <= F.col("_place"), n + step).otherwise(n)
+    before = F.aggregate(F.array(*map(F.lit, steps)).cast("array<int>"), F.lit(0), passed)
+    return placed.select(*columns, (F.col("_place") + F.get("_gaps", before)).alias("mix_position"))
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,3 +62,15 @@ def test_places_follow_the_order_that_the_mix_wrote(spark, tmp_path):
     assert sorted(got, key=got.get) == sorted(want, key=want.get, reverse=True)
     some = places(docs.filter("doc_id < 100"))  # no whole files
     assert len(some) == len(set(some.values())) == 100
+
+
+def test_a_task_that_encodes_has_one_python_worker(spark, tmp_path):
+    rows = [(i, f"text {i}", "aa", f"source {i % 300}") for i in range(1_000)]  # 300 short blocks
+    docs = documents(spark, rows).select(*pipeline_stages.COLUMNS)
+    pipeline_stages.mix_sources(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    encoded = pipeline_stages.encode_bpe(spark, spark.read.parquet(f"{tmp_path}/mixed"), "")
+    plan = encoded._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"MapInArrow|EvalPython|InPandas|PythonUDTF", plan)) == 1  # each is a worker of its own, kept with the encoder it loaded
+    want = {r["doc_id"]: r["mix_position"] for r in mixing.mix_rows(docs).collect()}
+    assert {r["doc_id"]: r["mix_position"] for r in encoded.collect()} == want
+    assert pipeline_stages.encode_bpe(spark, docs.limit(0), "").count() == 0
